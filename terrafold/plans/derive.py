@@ -97,28 +97,27 @@ SELECT 'S' || s_suppkey, 'S', ((s_suppkey*7919) % 36000)/100.0 - 180.0,
  ((s_suppkey*104729) % 16000)/100.0 - 80.0 FROM supplier"""
 
 
-# --- polylines on a 10-unit grid, one in fifty moved off the node by 5 mm ------------------------
+# --- polylines along a 10-unit grid: a third end off the grid, one start in fifty is 5 mm off ------
 
 def lines(spark, sf) -> DataFrame:
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
     k = F.col("id")
+    x = ((k % 300) * 10).cast("double")
+    y = ((F.floor(k / 300) % 500) * 10).cast("double")
     return o.select(
-        "id", "o_custkey",
-        (((k * 37) % 2000) * 10 + F.when(k % 50 == 0, 0.005).otherwise(0.0)).alias("x1"),
-        (((k * 91) % 1500) * 10 + F.lit(0.0)).alias("y1"),
-        (((k * 37) % 2000) * 10 + 5.0).alias("x2"), (((k * 91) % 1500) * 10 + 0.0).alias("y2"),
-        (((k * 37) % 2000 + 1 + k % 3) * 10 + 0.0).alias("x3"),
-        (((k * 91) % 1500 + k % 2) * 10 + 0.0).alias("y3"),
+        "id", "o_custkey", (x + F.when(k % 50 == 0, 0.005).otherwise(0.0)).alias("x1"), y.alias("y1"),
+        (x + 5.0).alias("x2"), y.alias("y2"), (x + 10.0).alias("x3"),
+        (y + F.when(k % 3 == 0, 5.0).otherwise(0.0)).alias("y3"),
     )
 
 
 CTE["lines"] = """
 SELECT o_orderkey AS id, o_custkey,
- ((o_orderkey*37) % 2000)*10 + CASE WHEN o_orderkey % 50 = 0 THEN 0.005::DOUBLE ELSE 0.0::DOUBLE END AS x1,
- CAST(((o_orderkey*91) % 1500)*10 AS DOUBLE) AS y1,
- ((o_orderkey*37) % 2000)*10 + 5.0::DOUBLE AS x2, CAST(((o_orderkey*91) % 1500)*10 AS DOUBLE) AS y2,
- CAST(((o_orderkey*37) % 2000 + 1 + o_orderkey % 3)*10 AS DOUBLE) AS x3,
- CAST(((o_orderkey*91) % 1500 + o_orderkey % 2)*10 AS DOUBLE) AS y3
+ (o_orderkey % 300)*10 + CASE WHEN o_orderkey % 50 = 0 THEN 0.005::DOUBLE ELSE 0.0::DOUBLE END AS x1,
+ CAST(((o_orderkey // 300) % 500)*10 AS DOUBLE) AS y1,
+ (o_orderkey % 300)*10 + 5.0::DOUBLE AS x2, CAST(((o_orderkey // 300) % 500)*10 AS DOUBLE) AS y2,
+ (o_orderkey % 300)*10 + 10.0::DOUBLE AS x3,
+ ((o_orderkey // 300) % 500)*10 + CASE WHEN o_orderkey % 3 = 0 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS y3
 FROM orders"""
 
 

@@ -51,7 +51,16 @@ SELECT z.zone, count(*) AS n, min(p.id) AS first_id, max(p.id) AS last_id FROM p
 _pred_query("intersects", MEET)
 _pred_query("touches", f"({MEET}) AND NOT ({INNER})")
 _pred_query("within", IN_Z)
-_pred_query("contains", Z_IN)
+
+
+@query("spatial_join_contains", with_sql("parcels", "zones", body=f"""
+SELECT z.zone, p.id FROM parcels p JOIN zones z ON {IN_Z}"""))
+def spatial_contains(spark, sf):
+    z = _zones(spark, sf).select("zone", *[F.col(c).alias("z" + c) for c in S.BOX])
+    j = S.spatial_join(z, V.parcels(spark, sf), "contains", 50.0, tuple("z" + c for c in S.BOX), S.BOX)
+    return j.select("zone", "id")
+
+
 _pred_query("overlaps", f"({INNER}) AND NOT ({IN_Z}) AND NOT ({Z_IN})")
 
 
@@ -154,16 +163,16 @@ targets AS (
  SELECT id AS fid, 0 AS rank, 0 AS pos, x1 AS x, y1 AS y FROM lines UNION ALL SELECT id, 0, 1, x3, y3 FROM lines
  UNION ALL SELECT id, 1, 0, x1, y1 FROM lines UNION ALL SELECT id, 1, 1, x2, y2 FROM lines UNION ALL SELECT id, 1, 2, x3, y3 FROM lines
  UNION ALL SELECT id, 2, 0, (x1+x2)/2, (y1+y2)/2 FROM lines UNION ALL SELECT id, 2, 1, (x2+x3)/2, (y2+y3)/2 FROM lines),
-probes AS (SELECT zone AS pid, minx*10 AS px, floor(miny*10/10)*10 + 0.25 AS py FROM zones),
+probes AS (SELECT zone AS pid, minx*1.5 AS px, floor(miny*2.5/10)*10 + 0.25 AS py FROM zones),
 foot AS (SELECT pid, fid, min(struct_pack(d := d, x := fx, y := fy)) AS n FROM (
   SELECT pid, fid, sqrt((fx-px)*(fx-px)+(fy-py)*(fy-py)) AS d, fx, fy FROM (
    SELECT pid, px, py, fid, ax + t*(bx-ax) AS fx, ay + t*(by_-ay) AS fy FROM (
     SELECT pid, px, py, fid, ax, ay, bx, by_, greatest(0.0, least(1.0, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS t
     FROM probes JOIN (SELECT id AS fid, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_ FROM lines UNION ALL SELECT id, x2, y2, x3, y3 FROM lines) s
-     ON px + 0.5 >= least(ax,bx) AND px - 0.5 <= greatest(ax,bx) AND py + 0.5 >= least(ay,by_) AND py - 0.5 <= greatest(ay,by_)))) GROUP BY pid, fid),
+     ON px + 4.0 >= least(ax,bx) AND px - 4.0 <= greatest(ax,bx) AND py + 4.0 >= least(ay,by_) AND py - 4.0 <= greatest(ay,by_)))) GROUP BY pid, fid),
 cand AS (SELECT pid, d, fid, rank, pos, x, y FROM (SELECT pid, sqrt((px-x)*(px-x)+(py-y)*(py-y)) AS d, fid, rank, pos, x, y FROM probes JOIN targets
-   ON abs(px-x) <= 0.5 AND abs(py-y) <= 0.5) WHERE d <= 0.5
- UNION ALL SELECT pid, n.d, fid, 3, 0, n.x, n.y FROM foot WHERE n.d > 0 AND n.d <= 0.5)
+   ON abs(px-x) <= 4.0 AND abs(py-y) <= 4.0) WHERE d <= 4.0
+ UNION ALL SELECT pid, n.d, fid, 3, 0, n.x, n.y FROM foot WHERE n.d > 0 AND n.d <= 4.0)
 SELECT pid, ['endpoint','vertex','midpoint','edge'][rank+1] AS mode, round(x, 6) AS x, round(y, 6) AS y, round(d, 6) AS distance, fid
 FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, fid, rank, pos) AS rn FROM cand) WHERE rn = 1"""
 
@@ -171,8 +180,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, fid, rank, pos)
 @query("snap_points", with_sql("lines", "zones", body="X").replace(" X", ", " + SNAP_TARGETS.strip()))
 def snap_points(spark, sf):
     probes = _zones(spark, sf).select(
-        F.col("zone").alias("pid"), (F.col("minx") * 10).alias("px"),
-        (F.floor(F.col("miny") * 10 / 10) * 10 + 0.25).alias("py"))
+        F.col("zone").alias("pid"), (F.col("minx") * 1.5).alias("px"),
+        (F.floor(F.col("miny") * 2.5 / 10) * 10 + 0.25).alias("py"))
     feats = V.line_geoms(spark, sf).select(F.col("id").alias("fid"), "geom")
-    s = S.snap_join(probes, feats, 0.5, size=10.0)
+    s = S.snap_join(probes, feats, 4.0, size=10.0)
     return s.select("pid", "mode", *[F.round(c, 6).alias(c) for c in ("x", "y", "distance")], "fid")
