@@ -154,26 +154,31 @@ def st_length(g, measure=ring_length) -> Column:
 
 def envelope(g) -> Column:
     """``struct<minx,miny,maxx,maxy,minz,maxz>``; null for an empty geometry."""
-    v = vertices(g)
-    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
-    zs = F.transform(v, lambda p: p["z"])
-    return F.when(
-        F.size(v) > 0,
-        F.struct(
-            F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
-            F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"),
-            F.array_min(zs).alias("minz"), F.array_max(zs).alias("maxz"),
-        ),
-    )
+    def box(v):
+        lo = lambda k: F.array_min(F.transform(v, lambda p: p[k]))
+        hi = lambda k: F.array_max(F.transform(v, lambda p: p[k]))
+        return F.when(F.size(v) > 0, F.struct(
+            lo("x").alias("minx"), lo("y").alias("miny"), hi("x").alias("maxx"), hi("y").alias("maxy"),
+            lo("z").alias("minz"), hi("z").alias("maxz")))
+
+    return let(vertices(g), box)
+
+
+def pin(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters and projections read instead of working out again.
+
+    The optimiser copies a projected expression into every filter pushed below it; a generated row is
+    not copied, and costs neither a shuffle nor a scan.
+    """
+    kept = [c for c in df.columns if c not in cols]
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.withColumn("_pin", row).select(*kept, *[F.col(f"_pin.{n}").alias(n) for n in cols])
 
 
 def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
-    e = envelope(geom)
-    df = df.withColumn("_env", e)
-    return df.select(
-        *[c for c in df.columns if c != "_env"],
-        *[F.col(f"_env.{n}").alias(n) for n in ("minx", "miny", "maxx", "maxy")],
-    )
+    names = ("minx", "miny", "maxx", "maxy")
+    kept = [c for c in df.columns if c not in names]
+    return pin(df.select(*kept), _env=envelope(geom)).select(*kept, *[F.col(f"_env.{n}").alias(n) for n in names])
 
 
 def _moments(edges: Column, ox, oy) -> Column:
@@ -347,18 +352,15 @@ def reduce_precision(g, scale: float) -> Column:
 
 
 def stride_decimate(ring: Column, limit: int) -> Column:
-    """Keep at most ``limit`` vertices of a closed ring by an even stride, closing it again."""
-    n = F.size(ring)
+    """Keep ``limit`` evenly spaced vertices of a longer ring; a closed ring is closed again."""
     closed = F.when(is_closed(ring), 1).otherwise(0)
+    n = F.size(ring) - closed
 
     def keep(r):
-        stride = F.ceil((n - closed) / F.lit(float(limit - 1)))
-        kept = F.filter(F.transform(r, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
-                        lambda e: (e["i"] < n - closed) & (e["i"] % stride == 0))
-        out = F.transform(kept, lambda e: e["v"])
-        return F.concat(out, F.slice(out, 1, 1))
+        picked = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(r, F.floor(i * n / F.lit(float(limit))).cast("int")))
+        return F.when(closed == 1, F.concat(picked, F.slice(picked, 1, 1))).otherwise(picked)
 
-    return F.when(n <= limit, ring).otherwise(keep(ring))
+    return ring if limit < 4 else F.when(n <= limit, ring).otherwise(keep(ring))
 
 
 def explode_parts(df: DataFrame, geom: str = "geom") -> DataFrame:

@@ -266,7 +266,7 @@ def thinness(area, perimeter) -> Column:
 
 def check_slivers(features: DataFrame, max_thinness: float = 0.01, max_area: float = 10.0) -> DataFrame:
     d = features.where(G.base_kind("geom") == G.POLYGON)
-    d = d.withColumn("_a", G.st_area("geom")).withColumn("_p", G.st_length("geom"))
+    d = G.pin(d, _a=G.st_area("geom"), _p=G.st_length("geom"))
     d = d.where((F.col("_a") > 0) & (F.col("_p") > 0) & (F.col("_a") <= max_area))
     d = d.withColumn("_t", thinness(F.col("_a"), F.col("_p"))).where(F.col("_t") <= max_thinness)
     c = G.st_centroid("geom")

@@ -175,15 +175,16 @@ def reduce_precision(spark, sf):
 
 
 @query("stride_decimation", with_sql("parcels", body="""
-SELECT id, CASE WHEN 3 + id % 30 + 1 <= 12 THEN 3 + id % 30 + 1
- ELSE CAST(ceil((3 + id % 30) / ceil((3 + id % 30)/11.0)) AS BIGINT) + 1 END AS n FROM parcels"""))
+SELECT id, least(3 + id % 30, 12) + 1 AS n, round(cos(2*pi()*floor(least(3 + id % 30, 12) - 1) * (CASE WHEN 3 + id % 30 <= 12 THEN 1 ELSE 0 END) / (3 + id % 30)
+ + CASE WHEN 3 + id % 30 > 12 THEN 2*pi()*floor(11*(3 + id % 30)/12.0::DOUBLE)/(3 + id % 30) ELSE 0 END), 6) AS last_x FROM parcels"""))
 def stride_decimation(spark, sf):
     n = (F.lit(3) + F.col("id") % 30).cast("int")
     ring = F.transform(F.sequence(F.lit(0), n - 1), lambda i: G.vertex(
         F.cos(i * 2 * 3.141592653589793 / n), F.sin(i * 2 * 3.141592653589793 / n)))
     ring = F.concat(ring, F.slice(ring, 1, 1))
     d = V.parcels(spark, sf).select("id", ring.alias("ring"))
-    return d.select("id", F.size(G.stride_decimate(F.col("ring"), 12)).cast("long").alias("n"))
+    d = d.select("id", G.stride_decimate(F.col("ring"), 12).alias("r"))
+    return d.select("id", F.size("r").cast("long").alias("n"), R(F.element_at("r", -2)["x"]).alias("last_x"))
 
 
 @query("extent_by_key", with_sql("parcels", body="""
