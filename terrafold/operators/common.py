@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,6 +30,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_id(*cols) -> Column:
+    """128-bit content id: stable across retries, and free of collisions at any row count met in practice."""
+    return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit("second"), *cols).alias("k"))
+
+
 def dense_position(df: DataFrame, pos: str, out: str, keys: list[str] | None = None, block: int = 65536) -> DataFrame:
     """Zero-based rank of a unique integer ``pos`` per key, without a window over the whole key.
 
