@@ -61,10 +61,12 @@ def _meetings(a: dict, b: dict) -> Column:
     return F.when(F.size(touches) > 0, F.array_distinct(touches)).when(cross.isNotNull(), F.array(cross)).otherwise(none)
 
 
-def meeting_points(left: DataFrame, right: DataFrame, on: list[str], lid: str, rid: str, size: Column | float) -> DataFrame:
+def meeting_points(left: DataFrame, right: DataFrame, on: list[str], lid: str, rid: str, size: Column | float,
+                   once: bool = False) -> DataFrame:
     """``lid, rid, on, x, y`` where a left edge meets a right edge of the same ``on`` key.
 
     ``size`` is the cell size, a number or a column both sides carry, so long outlines meet cell by cell.
+    ``once`` takes each pair of a self-join in one order, so both edges are cut at the same coordinates.
     """
     span = lambda a, b, s: F.sequence(F.floor(F.least(a, b) / s).cast("long"), F.floor(F.greatest(a, b) / s).cast("long"))
     sz = size if isinstance(size, Column) else F.lit(float(size))
@@ -76,7 +78,7 @@ def meeting_points(left: DataFrame, right: DataFrame, on: list[str], lid: str, r
     near = (F.least("x1", "x2") <= F.greatest("r_x1", "r_x2")) & (F.greatest("x1", "x2") >= F.least("r_x1", "r_x2")) & \
         (F.least("y1", "y2") <= F.greatest("r_y1", "r_y2")) & (F.greatest("y1", "y2") >= F.least("r_y1", "r_y2"))
     a, b = {c: F.col(c) for c in EDGE}, {c: F.col("r_" + c) for c in EDGE}
-    j = j.where(near & (F.col(lid) != F.col(rid)))
+    j = j.where(near & ((F.col(lid) < F.col(rid)) if once else (F.col(lid) != F.col(rid))))
     return j.select(*on, lid, rid, F.explode(_meetings(a, b)).alias("p")).select(*on, lid, rid, "p.*")
 
 
@@ -95,6 +97,19 @@ def cut_edges(edges: DataFrame, points: DataFrame, eid: str) -> DataFrame:
     return d.select(*kept, F.explode(G.edges_of(F.col("_row"), pair)).alias("_e")).select(*kept, "_e.*")
 
 
+def node_edges(edges: DataFrame, on: list[str], size: Column | float) -> DataFrame:
+    """Edges of one key cut wherever they meet each other; equal edges are compared once."""
+    flip = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    ends = {"x1": F.when(flip, F.col("x2")).otherwise(F.col("x1")), "y1": F.when(flip, F.col("y2")).otherwise(F.col("y1")),
+            "x2": F.when(flip, F.col("x1")).otherwise(F.col("x2")), "y2": F.when(flip, F.col("y1")).otherwise(F.col("y2"))}
+    e = cut_lineage(edges.withColumn("lid", row_id(*on, *ends.values())))
+    lines = e.withColumns(ends).dropDuplicates(["lid"]).select(*on, "lid", *EDGE, *[c for c in ("cell",) if c in e.columns and c not in on])
+    hit = meeting_points(lines, lines.withColumnRenamed("lid", "oid"), on, "lid", "oid", size, once=True)
+    hit = cut_lineage(hit)
+    at = hit.select("lid", "x", "y").unionByName(hit.select(F.col("oid").alias("lid"), "x", "y"))
+    return cut_edges(e, at, "lid").drop("lid")
+
+
 def undirected(pieces: DataFrame, on: list[str], **aggs: Column) -> DataFrame:
     """One row per place of a piece: ends in a fixed order, with the given aggregates over its copies."""
     flip = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
@@ -282,12 +297,7 @@ def dissolve_edges(df: DataFrame, key: str, size: float, geom: str = "geom") ->
     d = df.where(~G.is_empty(geom) & (G.base_kind(geom) == G.POLYGON)).select(F.lower(F.col(key).cast("string")).alias(key), F.col(geom).alias("geom"))
     one = d.select(key, F.explode(F.transform("geom.parts", lambda p: G.make_geom(G.POLYGON, F.array(p)))).alias("geom"))
     one = cut_lineage(one.withColumn("gid", row_id(key, "geom")).dropDuplicates(["gid"]))
-    edges = directed_edges(one, [key, "gid"]).withColumn("eid", row_id("gid", *EDGE))
-    edges = cut_lineage(edges)
-    other = edges.select(key, F.col("gid").alias("ogid"), F.col("eid").alias("oid"), *EDGE)
-    # Equal edges of neighbours meet at their own ends only, so places are compared once per distinct edge.
-    hit = meeting_points(edges, other.dropDuplicates([key, *EDGE]).drop("ogid"), [key], "eid", "oid", size)
-    pieces = cut_edges(edges, hit.select("eid", "x", "y"), "eid")
+    pieces = node_edges(directed_edges(one, [key, "gid"]), [key], size)
     cnt = lambda f: F.count_if(F.col("_f") == f)
     u = undirected(pieces, [key], fw=cnt(False), bw=cnt(True), lo=F.min("gid"), own=F.collect_set("gid"))
     u = u.where((F.col("fw") == 0) | (F.col("bw") == 0))
@@ -326,11 +336,10 @@ def coverage_edges(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
 
 def repair_edges(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     """Boundary of the region a polygon's own outline winds around, after cutting it at its crossings."""
-    edges = directed_edges(df, [key], geom)
+    closed = df.select(key, G._map_rings(F.col(geom), lambda r, i: G._close(r)).alias("geom"))
+    edges = directed_edges(closed, [key])
     edges = edges.join(_grid_size(edges, [key]), key)
-    edges = cut_lineage(edges.withColumn("eid", row_id(key, *EDGE)))
-    hit = meeting_points(edges, edges.withColumnRenamed("eid", "oid"), [key], "eid", "oid", F.col("cell"))
-    pieces = cut_edges(edges, hit.select("eid", "x", "y"), "eid")
+    pieces = cut_lineage(node_edges(edges, [key], F.col("cell")))
     u = undirected(pieces, [key, "cell"], fw=F.count_if(F.col("_f") == F.lit(False)), bw=F.count_if(F.col("_f")))
     u = cut_lineage(u.withColumn("uid", row_id(key, "ax", "ay", "bx", "by")))
     # Winding just left of a piece: the crossings right of its middle, less its own copies.
@@ -496,17 +505,20 @@ def buffer_pieces(df: DataFrame, key: str, distance: float, geom: str = "geom",
         p, n = F.col("c.p"), F.col("c.n")
         l1, l2 = F.sqrt((v["x"] - p["x"]) ** 2 + (v["y"] - p["y"]) ** 2), F.sqrt((n["x"] - v["x"]) ** 2 + (n["y"] - v["y"]) ** 2)
         u1x, u1y, u2x, u2y = (v["x"] - p["x"]) / l1, (v["y"] - p["y"]) / l1, (n["x"] - v["x"]) / l2, (n["y"] - v["y"]) / l2
-        turn = u1x * u2y - u1y * u2x
-        s = F.when(turn > 0, 1.0).otherwise(-1.0)
-        o1x, o1y, o2x, o2y = v["x"] + u1y * d * s, v["y"] - u1x * d * s, v["x"] + u2y * d * s, v["y"] - u2x * d * s
-        cosh = F.sqrt(F.greatest((1 + u1x * u2x + u1y * u2y) / 2, F.lit(1e-12)))
+        corner = G.pin(corner, u1x=u1x, u1y=u1y, u2x=u2x, u2y=u2y)
+        u1x, u1y, u2x, u2y = (F.col(c) for c in ("u1x", "u1y", "u2x", "u2y"))
+        corner = G.pin(corner, turn=u1x * u2y - u1y * u2x, cosh=F.sqrt(F.greatest((1 + u1x * u2x + u1y * u2y) / 2, F.lit(1e-12)))).where("turn <> 0")
+        s = F.when(F.col("turn") > 0, 1.0).otherwise(-1.0)
         mx, my = (u1y + u2y) * s, (-u1x - u2x) * s
-        ml = F.greatest(F.sqrt(mx * mx + my * my), F.lit(1e-12))
-        tip = G.vertex(v["x"] + mx / ml * d / cosh, v["y"] + my / ml * d / cosh)
-        o1, o2, vv = G.vertex(o1x, o1y), G.vertex(o2x, o2y), G.vertex(v["x"], v["y"])
-        flat = F.array(vv, o1, o2, vv)
-        shape = F.when(F.lit(join == "mitre") & (1 / cosh <= mitre_limit), F.array(vv, o1, tip, o2, vv)).otherwise(flat)
-        out = out.unionByName(corner.where(turn != 0).select(key, G.polygon(shape).alias("geom")))
+        corner = G.pin(corner, o1=G.vertex(v["x"] + u1y * d * s, v["y"] - u1x * d * s), o2=G.vertex(v["x"] + u2y * d * s, v["y"] - u2x * d * s),
+                       mx=mx, my=my, ml=F.greatest(F.sqrt(mx * mx + my * my), F.lit(1e-12)))
+        out_by = F.col("ml") * F.col("cosh") / d
+        tip = G.vertex(v["x"] + F.col("mx") / out_by, v["y"] + F.col("my") / out_by)
+        o1, o2, vv = F.col("o1"), F.col("o2"), G.vertex(v["x"], v["y"])
+        shape = F.array(vv, o1, o2, vv)
+        if join == "mitre":
+            shape = F.when(1 / F.col("cosh") <= mitre_limit, F.array(vv, o1, tip, o2, vv)).otherwise(shape)
+        out = out.unionByName(corner.select(key, G.polygon(shape).alias("geom")))
     solid = df.where(G.base_kind(geom) == G.POLYGON).select(key, F.explode(F.transform(g["parts"], lambda q: G.make_geom(G.POLYGON, F.array(q)))).alias("geom"))
     return out.unionByName(solid) if distance > 0 else out
 

@@ -148,7 +148,7 @@ def geometry_distance(spark, sf):
 
 @query("repaired_polygons", """
 SELECT o_orderkey AS id, 'rebuilt outline' AS action, CASE o_orderkey % 2 WHEN 0 THEN round(s*s*25.0::DOUBLE/6 * 2, 3) ELSE round(s*s*8.0::DOUBLE, 3) END AS area FROM (SELECT o_orderkey, 1.0::DOUBLE + o_orderkey % 9 AS s FROM orders)""".replace(
-    "CASE o_orderkey % 2 WHEN 0 THEN round(s*s*25.0::DOUBLE/6 * 2, 3) ELSE round(s*s*8.0::DOUBLE, 3) END", "CASE o_orderkey % 2 WHEN 0 THEN round(s*s*16/3.0::DOUBLE, 3) ELSE round(s*s*7.0::DOUBLE, 3) END"))
+    "CASE o_orderkey % 2 WHEN 0 THEN round(s*s*25.0::DOUBLE/6 * 2, 3) ELSE round(s*s*8.0::DOUBLE, 3) END", "CASE o_orderkey % 2 WHEN 0 THEN round(s*s*16/3.0::DOUBLE, 3) ELSE round(s*s*8.0::DOUBLE, 3) END"))
 def repaired_polygons(spark, sf):
     k = F.col("o_orderkey")
     s = 1.0 + k % 9
