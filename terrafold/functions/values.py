@@ -37,7 +37,7 @@ def as_double(c) -> Column:
     t = F.trim(_c(c))
     plain = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     named = F.lower(t).isin("nan", "infinity", "-infinity", "+infinity")
-    return F.when(plain, t.try_cast("double")).when(named, F.lower(F.ltrim(F.lit("+"), t)).try_cast("double"))
+    return F.when(plain, t.try_cast("double")).when(named, F.regexp_replace(F.lower(t), r"^\+", "").try_cast("double"))
 
 
 def as_timestamp(c) -> Column:

@@ -40,7 +40,7 @@ def _expansions(opts: LexicalOptions) -> dict[str, str]:
 def tokens(c, opts: LexicalOptions) -> Column:
     """Distinct lower-case tokens of a name, each followed by its expansion."""
     c = F.col(c) if isinstance(c, str) else c
-    raw = F.filter(F.transform(F.split(F.lower(c), _CLASS), F.trim), lambda t: F.length(t) > 0)
+    raw = F.filter(F.transform(F.split(F.lower(c), _CLASS), lambda t: F.trim(t)), lambda t: F.length(t) > 0)
     table = F.create_map(*[F.lit(x) for kv in _expansions(opts).items() for x in kv])
     return F.array_distinct(F.array_compact(F.concat(raw, F.transform(raw, lambda t: F.try_element_at(table, t)))))
 
