@@ -23,21 +23,25 @@ def as_boolean(c) -> Column:
     return F.when(t == "true", F.lit(True)).when(t == "false", F.lit(False))
 
 
+# A failed cast costs far more than a failed pattern, so patterns come first.
+_INT = r"^[+-]?[0-9]+$"
+_REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def as_long(c) -> Column:
     t = F.trim(_c(c))
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    return F.when(t.rlike(_INT), t.try_cast("bigint"))
 
 
 def as_integer(c) -> Column:
     t = F.trim(_c(c))
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
+    return F.when(t.rlike(_INT), t.try_cast("int"))
 
 
 def as_double(c) -> Column:
     t = F.trim(_c(c))
-    plain = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     named = F.lower(t).isin("nan", "infinity", "-infinity", "+infinity")
-    return F.when(plain, t.try_cast("double")).when(named, F.regexp_replace(F.lower(t), r"^\+", "").try_cast("double"))
+    return F.when(t.rlike(_REAL), t.try_cast("double")).when(named, F.regexp_replace(F.lower(t), r"^\+", "").try_cast("double"))
 
 
 def as_timestamp(c) -> Column:
@@ -48,7 +52,8 @@ def as_timestamp(c) -> Column:
 
 def leading_zero(c) -> Column:
     """A zero that carries meaning, as in a plot number: ``007`` but not ``0.7`` or ``0``."""
-    return _c(c).rlike(r"^0[^.]")
+    c = _c(c)
+    return F.startswith(c, F.lit("0")) & (F.length(c) > 1) & (F.substring(c, 2, 1) != ".")
 
 
 def canonical_string(c, data_type: str) -> Column:

@@ -404,14 +404,15 @@ def check_integrity(features: DataFrame, datasets: DataFrame, unclassified: str
 def cap_findings(findings: DataFrame, n: int = 500) -> DataFrame:
     """First ``n`` findings per (rule, dataset) and one notice where more existed.
 
-    The rank filter is pushed below the shuffle, so each task sends at most ``n`` rows per group.
+    The rank filter is pushed below the shuffle, so each task sends at most ``n + 1`` rows per group; the
+    row past the limit is itself the proof that more existed and becomes the notice.
     """
     w = W.partitionBy("rule", "dataset").orderBy(F.col("pos").asc_nulls_first(), "code", "feature_id", "message")
-    kept = findings.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    full = findings.groupBy("rule", "dataset").agg(F.count("*").alias("_n"), F.min("category").alias("_cat")).where(F.col("_n") > n)
-    notice = finding(full, "", INFO, F.col("_cat"), F.concat(F.lit("Findings suppressed after the limit for "), F.col("rule")),
-                     "QaQc.FindingsTruncated", rule=F.col("rule"))
-    return kept.unionByName(notice)
+    d = findings.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n + 1)
+    notice = {"severity": F.lit(INFO), "code": F.lit("QaQc.FindingsTruncated"), "message": F.concat(F.lit("Findings suppressed after the limit for "), F.col("rule")),
+              "dataset": F.col("dataset"), "rule": F.col("rule"), "category": F.col("category")}
+    over = F.col("_rn") == n + 1
+    return d.select(*[F.when(over, notice.get(c, F.lit(None)).cast(t)).otherwise(F.col(c)).alias(c) for c, t in FINDING])
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:

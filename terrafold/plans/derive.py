@@ -129,7 +129,10 @@ def line_geoms(spark, sf) -> DataFrame:
 # --- source elements from part -------------------------------------------------------------------
 
 def elements(spark, sf) -> DataFrame:
-    p = load(spark, sf, "part")
+    return elements_of(load(spark, sf, "part"))
+
+
+def elements_of(p: DataFrame) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "Point").when(F.col("p_size") % 3 == 1, "Line").otherwise("Polygon")
     layer = F.upper(F.get(F.split("p_name", " "), F.lit(1)))
     area = F.when(kind == "Polygon", F.col("p_retailprice"))

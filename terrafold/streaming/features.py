@@ -22,9 +22,9 @@ from ..operators import spatial as S
 from ..operators.build import BuildProfile
 
 
-def landing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
+def landing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000, glob: str = "*") -> DataFrame:
     """Stream of a landing directory; the batch size bounds what one trigger takes."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).format(fmt).load(path)
 
 
 def stream_features(stream: DataFrame, profile: BuildProfile) -> DataFrame:
