@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions.encode import geom_from_wkt
+from .json_case import either_case
 
-DOCUMENT = """location string, formatKey string, declaredCrs string, units string, metadata map<string,string>, warnings array<string>,
-layers array<struct<name:string, isVisible:boolean, metadata:map<string,string>, elements:array<struct<id:string, geometryKind:string,
-geometryWkt:string, nativeType:string, text:string, attributes:map<string,string>>>>>"""
+DOCUMENT = """struct<location:string, formatKey:string, declaredCrs:string, units:string, metadata:map<string,string>, warnings:array<string>,
+layers:array<struct<name:string, isVisible:boolean, metadata:map<string,string>, elements:array<struct<id:string, geometryKind:string,
+geometryWkt:string, nativeType:string, text:string, attributes:map<string,string>>>>>>"""
 KINDS = ("Unknown", "Point", "Line", "Polygon", "Annotation")
 
 
 def read_bridge_json(spark: SparkSession, path, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Elements and warnings of documents, one JSON object per line, or per file with ``multiline``.
 
-    Keys match in any case.  Bad WKT keeps the element without geometry; an unknown kind is ``Unknown``.
+    Keys may start in lower or upper case.  Bad WKT keeps the element without geometry; an unknown kind
+    is ``Unknown``.
     """
-    return parse_documents(spark.read.schema(DOCUMENT).option("multiLine", multiline).json(path))
+    text = spark.read.text(path, wholetext=multiline).where(F.length(F.trim("value")) > 0)
+    return parse_documents(G.pin(text, d=either_case("value", DOCUMENT, "layers")).select("d.*"))
 
 
 def parse_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators.classify import MappingRule
+from .json_case import either_case
 
 RULE = """struct<ruleName:string, priority:int, targetFeatureClass:string, featureClass:string, layerNames:array<string>, entityTypes:array<string>,
 geometryTypes:array<string>, blockNames:array<string>, textPattern:string, colors:array<string>, lineTypes:array<string>, xData:array<string>,
 attributes:map<string,string>, minimumArea:double, maximumArea:double, minimumLength:double, maximumLength:double, requiredCRS:string, conditions:map<string,string>>"""
-PROFILE = f"profileId string, name string, version string, author string, supportedCRS string, rules array<{RULE}>, _corrupt_record string"
+PROFILE = f"struct<profileId:string, name:string, version:string, author:string, supportedCRS:string, rules:array<{RULE}>, _corrupt:string>"
 
 
 def load_profiles(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """Rules, one row each with file and position, and the files that did not read."""
-    raw = spark.read.schema(PROFILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
-    broken = F.col("_corrupt_record").isNotNull()
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    raw = G.pin(text, p=either_case("value", PROFILE, "rules")).select("file", "p.*")
+    broken = F.col("_corrupt").isNotNull() | (F.col("profileId").isNull() & F.col("rules").isNull())
     rules = raw.where(~broken).select("file", F.col("profileId").alias("profile_id"), F.col("name").alias("profile"), F.posexplode("rules").alias("rule_pos", "r"))
     rules = rules.select("file", "profile_id", "profile", "rule_pos", F.col("r.ruleName").alias("name"), F.coalesce("r.targetFeatureClass", "r.featureClass").alias("target"),
                          F.coalesce("r.priority", F.lit(0)).alias("priority"), F.col("r.layerNames").alias("layers"), F.col("r.entityTypes").alias("entity_types"),
