@@ -15,9 +15,14 @@ def has_status(status: str) -> Column:
     return F.col("status") == status
 
 
+def _moment(v) -> Column:
+    """A wall-clock time as the ledger stores it, whatever the session's zone."""
+    return v if isinstance(v, Column) else F.lit(str(v)).cast("timestamp_ntz")
+
+
 def finished_between(start, end) -> Column:
     """Half-open: from ``start`` up to, not including, ``end``."""
-    return F.col("finished_at").isNotNull() & (F.col("finished_at") >= F.lit(start)) & (F.col("finished_at") < F.lit(end))
+    return F.col("finished_at").isNotNull() & (F.col("finished_at") >= _moment(start)) & (F.col("finished_at") < _moment(end))
 
 
 def of_project(project) -> Column:
@@ -101,8 +106,8 @@ def run_summaries(runs: DataFrame, findings: DataFrame, features: DataFrame) ->
 
 def prune(runs: DataFrame, findings: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
     """Runs and findings that remain after dropping runs finished before ``cutoff``; unfinished runs stay."""
-    old = runs.where(F.col("finished_at").isNotNull() & (F.col("finished_at") < F.lit(cutoff)))
-    return runs.where(F.col("finished_at").isNull() | (F.col("finished_at") >= F.lit(cutoff))), findings.join(old.select("run_id"), "run_id", "left_anti")
+    old = runs.where(F.col("finished_at").isNotNull() & (F.col("finished_at") < _moment(cutoff)))
+    return runs.where(F.col("finished_at").isNull() | (F.col("finished_at") >= _moment(cutoff))), findings.join(old.select("run_id"), "run_id", "left_anti")
 
 
 def append_findings(findings: DataFrame, path: str) -> None:

@@ -22,6 +22,11 @@ from ..operators import spatial as S
 from ..operators.build import BuildProfile
 
 
+def _instant(c: str):
+    """A zone-free time read as UTC: watermarks need an instant, and days must not move with the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c).cast("timestamp_ntz")).cast("timestamp")
+
+
 def landing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000, glob: str = "*") -> DataFrame:
     """Stream of a landing directory; the batch size bounds what one trigger takes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).format(fmt).load(path)
@@ -170,13 +175,14 @@ class RunFold(StatefulProcessor):
 
 def stream_runs(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Live status per run from ``run_id, seq, status, at``; repeated deliveries inside the watermark are dropped."""
-    d = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
+    d = events.withColumn("at", _instant("at")).withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
     return d.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=RunFold(), outputStructType="run_id long, status string, illegal long", outputMode="Update", timeMode="None")
 
 
 def runs_per_window(runs: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Finished runs per window and status, final once the watermark has passed."""
-    d = runs.withColumn("finished_at", F.col("finished_at").cast("timestamp")).withWatermark("finished_at", late)
+    d = runs.withColumn("finished_at", _instant("finished_at")).withWatermark("finished_at", late)
     g = d.groupBy(F.window("finished_at", width).alias("w"), "status").agg(F.count("*").alias("n"))
-    return g.select(F.col("w.start").alias("window_start"), "status", "n")
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz"))
+    return g.select(start.alias("window_start"), "status", "n")
