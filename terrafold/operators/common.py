@@ -35,8 +35,9 @@ def row_id(*cols) -> Column:
     return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit("second"), *cols).alias("k"))
 
 
-def dense_position(df: DataFrame, pos: str, out: str, keys: list[str] | None = None, block: int = 65536) -> DataFrame:
-    """Zero-based rank of a unique integer ``pos`` per key, without a window over the whole key.
+def dense_position(df: DataFrame, pos: str, out: str, keys: list[str] | None = None, block: int = 65536,
+                   ties: tuple[str, ...] = ()) -> DataFrame:
+    """Zero-based rank of an integer ``pos`` (then ``ties``) per key, without a window over the whole key.
 
     Rows rank inside blocks of ``block`` consecutive positions; block sizes, one row per block, are
     summed up in a second, small window.
@@ -55,5 +56,5 @@ def dense_position(df: DataFrame, pos: str, out: str, keys: list[str] | None = N
         j = b.join(o, cond).drop("_ob", *[f"_k{i}" for i in range(len(keys))])
     else:
         j = b.join(offs, "_blk")
-    rank = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy(pos)) - 1
+    rank = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy(pos, *ties)) - 1
     return j.withColumn(out, F.col("_off") + rank).drop("_blk", "_off")

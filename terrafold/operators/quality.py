@@ -202,9 +202,10 @@ def overlap_areas(features: DataFrame, size: float, min_area: float = 1e-6, **kw
     Equal rectangles never overlap each other, so copies collapse to one row per rectangle before the
     join and are expanded only against the rectangles they really overlap.
     """
-    boxes = features.where(F.col("minx").isNotNull()).groupBy("dataset", *S.BOX).agg(F.min("feature_id").alias("_rep"))
-    a = boxes.select(F.col("dataset").alias("ds_a"), *[F.col(c).alias("a_" + c) for c in S.BOX])
-    b = boxes.select(F.col("dataset").alias("ds_b"), *[F.col(c).alias("b_" + c) for c in S.BOX])
+    boxes = features.where(F.col("minx").isNotNull()).groupBy("dataset", *S.BOX).agg(
+        F.min(F.struct("pos", "feature_id")).alias("_rep"), F.count("*").alias("_n"))
+    a = boxes.select(F.col("dataset").alias("ds_a"), *[F.col(c).alias("a_" + c) for c in S.BOX], F.col("_rep").alias("_ra"))
+    b = boxes.select(F.col("dataset").alias("ds_b"), *[F.col(c).alias("b_" + c) for c in S.BOX], F.col("_rep").alias("_rb"))
     ab, bb = tuple("a_" + c for c in S.BOX), tuple("b_" + c for c in S.BOX)
     first = F.struct(*[F.col(c) for c in ab]) < F.struct(*[F.col(c) for c in bb])
     j = S.spatial_join(a, b, "overlaps", size, ab, bb, **kw).where((F.col("ds_a") == F.col("ds_b")) & first)
@@ -212,11 +213,12 @@ def overlap_areas(features: DataFrame, size: float, min_area: float = 1e-6, **kw
     x1, y1 = F.least("a_maxx", "b_maxx"), F.least("a_maxy", "b_maxy")
     j = j.withColumns({"shared_area": (x1 - x0) * (y1 - y0), "x": (x0 + x1) / 2, "y": (y0 + y1) / 2})
     j = j.where(F.col("shared_area") > min_area)
-    fa = features.select(F.col("dataset").alias("ds_a"), *[F.col(c).alias("a_" + c) for c in S.BOX],
-                         F.col("feature_id").alias("id_a"), F.col("pos").alias("pos_a"))
-    fb = features.select(F.col("dataset").alias("ds_b"), *[F.col(c).alias("b_" + c) for c in S.BOX],
-                         F.col("feature_id").alias("id_b"), F.col("pos").alias("pos_b"))
-    j = j.join(fa, ["ds_a", *ab]).join(fb, ["ds_b", *bb])
+    # Only copies need the way back to their members; a rectangle of its own is its representative.
+    copies = features.join(boxes.where("_n > 1").select("dataset", *S.BOX), ["dataset", *S.BOX])
+    member = lambda t: copies.select(F.col("dataset").alias(f"ds_{t}"), *[F.col(c).alias(f"{t}_{c}") for c in S.BOX], F.struct("pos", "feature_id").alias(f"_m{t}"))
+    j = j.join(member("a"), ["ds_a", *ab], "left").join(member("b"), ["ds_b", *bb], "left")
+    own = lambda t: F.coalesce(f"_m{t}", f"_r{t}")
+    j = j.withColumns({"pos_a": own("a")["pos"], "id_a": own("a")["feature_id"], "pos_b": own("b")["pos"], "id_b": own("b")["feature_id"]})
     swap = F.col("pos_a") > F.col("pos_b")
     return j.select(
         F.col("ds_a").alias("dataset"), F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("feature_id"),
