@@ -30,15 +30,18 @@ def ccw_sweep(start: Column, end: Column) -> Column:
 
 def ellipse_path(cx, cy, major, minor, rotation, start, sweep, tol: float, z=None) -> Column:
     cx, cy, major, minor, rotation, start, sweep = (G._c(v) for v in (cx, cy, major, minor, rotation, start, sweep))
-    n = segment_count(major, sweep, tol)
+    frame = F.struct(segment_count(major, sweep, tol).alias("n"), start.cast("double").alias("t0"), sweep.cast("double").alias("sw"),
+                     F.cos(rotation).alias("c"), F.sin(rotation).alias("s"))
 
-    def at(k):
-        t = start + sweep / n * k
-        x, y = major * F.cos(t), minor * F.sin(t)
-        return G.vertex(cx + x * F.cos(rotation) - y * F.sin(rotation), cy + x * F.sin(rotation) + y * F.cos(rotation), z)
+    def path(f):
+        def at(k):
+            return G.let(f["t0"] + f["sw"] / f["n"] * k, lambda t: G.let(F.struct((major * F.cos(t)).alias("x"), (minor * F.sin(t)).alias("y")), lambda p: G.vertex(
+                cx + p["x"] * f["c"] - p["y"] * f["s"], cy + p["x"] * f["s"] + p["y"] * f["c"], z)))
+
+        return F.transform(F.sequence(F.lit(0), f["n"]), at)
 
     good = (major > 0) & (minor > 0) & (major != math.inf) & ~F.isnan(major)
-    return F.when(good, F.transform(F.sequence(F.lit(0), n), at)).otherwise(F.array(G.vertex(cx, cy, z)))
+    return F.when(good, G.let(frame, path)).otherwise(F.array(G.vertex(cx, cy, z)))
 
 
 def arc_path(cx, cy, radius, start, sweep, tol: float, z=None) -> Column:
@@ -94,5 +97,7 @@ def survey_arc(start, centre, end, clockwise) -> Column:
     turn = 2 * math.pi
     sweep = F.when(cw, F.when(raw > 0, raw - turn).otherwise(raw)).otherwise(F.when(raw < 0, raw + turn).otherwise(raw))
     n = F.greatest(F.lit(2), F.ceil(F.abs(sweep) / turn * SURVEY_PER_CIRCLE).cast("int"))
-    mid = F.transform(F.sequence(F.lit(1), n - 1), lambda k: G.vertex(c["x"] + r * F.cos(a0 + sweep * k / n), c["y"] + r * F.sin(a0 + sweep * k / n)))
+    frame = F.struct(r.alias("r"), a0.alias("a"), sweep.alias("w"), n.alias("n"))
+    mid = G.let(frame, lambda f: F.transform(F.sequence(F.lit(1), f["n"] - 1), lambda k: G.vertex(
+        c["x"] + f["r"] * F.cos(f["a"] + f["w"] * k / f["n"]), c["y"] + f["r"] * F.sin(f["a"] + f["w"] * k / f["n"]))))
     return F.when(r > 0, F.concat(F.array(s), mid, F.array(e))).otherwise(F.array(s, e))

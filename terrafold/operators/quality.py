@@ -228,7 +228,7 @@ def overlap_areas(features: DataFrame, size: float, min_area: float = 1e-6, **kw
 
 def check_overlaps(features: DataFrame, size: float, min_area: float = 1e-6, **kw) -> DataFrame:
     o = overlap_areas(features, size, min_area, **kw)
-    msg = F.format_string("Feature %s shares %.6f square units with %s", F.col("feature_id").cast("string"), F.col("shared_area"), F.col("other_id").cast("string"))
+    msg = F.concat(F.lit("Feature "), F.col("feature_id").cast("string"), F.lit(" shares area with "), F.col("other_id").cast("string"), F.lit(": "), F.col("shared_area").cast("string"))
     return finding(o, "Topology.Overlap", ERROR, "Topology", msg, feature_id=F.col("feature_id"), x=F.col("x"), y=F.col("y"),
                    pos=F.col("pos"), remediation=F.lit("Snap the common boundary or clip one of the two."))
 
