@@ -406,8 +406,9 @@ def check_integrity(features: DataFrame, datasets: DataFrame, unclassified: str
 def cap_findings(findings: DataFrame, n: int = 500) -> DataFrame:
     """First ``n`` findings per (rule, dataset) and one notice where more existed.
 
-    The rank filter is pushed below the shuffle, so each task sends at most ``n + 1`` rows per group; the
-    row past the limit is itself the proof that more existed and becomes the notice.
+    The rank filter is pushed below the shuffle, so each task sends at most ``n + 1`` rows per group (for
+    limits up to ``spark.sql.optimizer.windowGroupLimitThreshold``); the row past the limit is itself the
+    proof that more existed and becomes the notice.
     """
     w = W.partitionBy("rule", "dataset").orderBy(F.col("pos").asc_nulls_first(), "code", "feature_id", "message")
     d = findings.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n + 1)

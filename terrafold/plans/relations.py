@@ -271,7 +271,7 @@ leaf AS (SELECT id, b, x, turned, o_orderstatus, d, p_size, pow(2, d) AS s, 10*(
 SELECT id AS insert_id, (d + 1)::BIGINT AS depth, 'LINE' AS native_type, 'B' || b AS block_name, o_orderstatus AS tag, round(CASE WHEN turned THEN x - dy ELSE x + dx END, 6) AS x1,
  round(CASE WHEN turned THEN dx + s*p_size ELSE dy END, 6) AS y2, (d + 1)::DOUBLE AS z FROM leaf
 UNION ALL SELECT id, 4, 'INSERT', 'B' || b, o_orderstatus, round(CASE WHEN turned THEN x - 5*15 ELSE x + 10*15 END, 6), round(CASE WHEN turned THEN 10*15 ELSE 5*15 END, 6)::DOUBLE, NULL
- FROM ins WHERE (b % 10) + 4 <= 9""")
+ FROM ins WHERE (b % 10) + 4 <= 9 AND b + 4 <= (SELECT top FROM part_n)""")
 def block_instances(spark, sf):
     i, e = block_tables(spark, sf)
     d = R.explode_blocks(i, e, max_depth=4)

@@ -29,6 +29,14 @@ def test_projection_reaches_the_scan(spark):
     assert "o_totalprice" not in text and "ReadSchema: struct<o_orderkey:bigint>" in text
 
 
+def test_cap_limits_below_the_shuffle(spark):
+    d = spark.range(5000)
+    many = Q.finding(d.withColumn("dataset", (F.col("id") % 3).cast("string")), "R", 1, "Topology", F.lit("m"), pos=F.col("id"))
+    one = Q.finding(d.withColumn("dataset", F.lit("D")), "R", 1, "Topology", F.lit("m"), pos=F.col("id"))
+    assert "WindowGroupLimit" in plan(Q.cap_findings(many, 500))
+    assert "TakeOrderedAndProject" in plan(Q.cap_findings(one, 500))
+
+
 def test_rules_need_no_shuffle(spark):
     assert "Exchange" not in plan(entry.queries()["rule_candidates"](spark, SF))
 
