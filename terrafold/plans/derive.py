@@ -172,7 +172,7 @@ ATTR_NAMES = ("QTY", "PRICE", "CODE", "FLAG", "SHIPPED", "MIXED", "NOTE")
 
 
 def attrs_long(spark, sf) -> DataFrame:
-    """``(layer, element_id, pos, name, value)``; the id is order key, line number and part key."""
+    """``(layer, element_id, pos, name, value)``; the id joins the line's keys and its price."""
     li = load(spark, sf, "lineitem")
     k = F.col("l_orderkey")
     value = {
@@ -187,14 +187,14 @@ def attrs_long(spark, sf) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in value.items()])
     return li.select(
         F.concat(F.lit("L-"), F.col("l_returnflag")).alias("layer"),
-        F.concat_ws("-", k, "l_linenumber", "l_partkey", "l_suppkey").alias("element_id"),
+        F.concat_ws("-", k, "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("element_id"),
         (k * 10 + F.col("l_linenumber")).alias("pos"), F.explode(entries).alias("e"),
     ).select("layer", "element_id", "pos", "e.name", "e.value")
 
 
 CTE["attrs_wide"] = """
 SELECT 'L-' || l_returnflag AS layer,
- l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS element_id,
+ l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice*100) AS BIGINT) AS element_id,
  l_orderkey*10 + l_linenumber AS pos,
  CAST(CAST(l_quantity AS INT) AS VARCHAR) AS "QTY", printf('%.2f', l_extendedprice) AS "PRICE",
  lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS "CODE",

@@ -273,7 +273,7 @@ def quality_run(spark, sf):
 @query("flagship_parcel_quality", with_sql("parcels", body=f"""
 SELECT rule, least(n, 500) AS reported, n > 500 AS truncated, CASE rule WHEN 'Topology.Overlap' THEN 2 ELSE 1 END AS highest, true AS acceptable FROM (
  SELECT 'Topology.Overlap' AS rule, count(*) AS n FROM ({OVERLAP})
- UNION ALL SELECT 'Topology.Sliver', count(*) FROM orders WHERE o_orderkey % 50 IN (0,1))"""))
+ UNION ALL SELECT 'Topology.Sliver', count(*) FROM orders WHERE o_orderkey % 50 IN (0,1)) WHERE n > 0"""))
 def flagship_parcel_quality(spark, sf):
     found = Q.union_findings(
         Q.check_overlaps(parcel_features(spark, sf), 20.0), Q.check_slivers(sliver_features(spark, sf)))
