@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators.common import checkpoint_dir
 
-from . import chat, mixing, packing, quality, simhash, tokens
+from . import chat, mixing, packing, phrases, quality, simhash, suffix, tokens
 from .shared import keep, load
 
 QUERIES, ORACLES = {}, {}
@@ -58,6 +58,18 @@ def op5_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.chat_digests(load(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(probe))
 
 
+@query
+def op6_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix.remove_repeats(load(spark, sf, "documents"), 100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    found = phrases.remove_passages(load(spark, sf, "documents"), 50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_sizes(load(spark, sf, "documents"))
