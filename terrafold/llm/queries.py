@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators.common import checkpoint_dir
 
-from . import chat, mixing, packing, phrases, quality, simhash, suffix, tokens
+from . import caps, chat, classifier, mixing, packing, phrases, quality, simhash, suffix, tokens
 from .shared import keep, load
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +73,13 @@ def op7_phrases(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_sizes(load(spark, sf, "documents"))
+
+
+@query
+def op9_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return classifier.score_documents(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query
+def op10_caps(spark: SparkSession, sf: str) -> DataFrame:
+    return caps.vector_components(load(spark, sf, "embeddings"), 0.93)
