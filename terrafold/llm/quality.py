@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.geometry import pin
+
 from .shared import keep, words
 
 #: Rows of the sample on which rules are timed.
@@ -82,8 +84,10 @@ def _statistics(text: str, w: str, lines: str) -> dict[str, Column]:
 
 
 def _split(docs: DataFrame) -> DataFrame:
+    """``_row`` (the row as it is) with its text, words and lines, which filters read and do not work out again."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_t": t, "_w": words(t), "_l": F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), t.alias("_t"))
+    return pin(rows, _w=words(F.col("_t")), _l=F.filter(F.split("_t", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -111,14 +115,14 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """The rows that no rule rejects, with the columns of ``docs``; later rules run only on what earlier ones leave."""
     order = [r for r, _, _ in order_rules(docs, rules)]
     split = _split(docs)
-    return split.filter(_cascade(order, _statistics("_t", "_w", "_l")).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return split.filter(_cascade(order, _statistics("_t", "_w", "_l")).isNull()).select("_row.*")
 
 
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All statistics, the base verdict, the first failed rule of the cascade and ``kept`` for every row."""
     order = [r for r, _, _ in order_rules(docs, rules)]
     split = _split(docs.select("doc_id", "text"))
-    stats = split.select("doc_id", *[c.alias(n) for n, c in _statistics("_t", "_w", "_l").items()])
+    stats = split.select(F.col("_row.doc_id").alias("doc_id"), *[c.alias(n) for n, c in _statistics("_t", "_w", "_l").items()])
     by_name = {n: F.col(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")}
     base = [r for r in rules if r.name in BASE]
     failed = base[0].rejects(by_name)
