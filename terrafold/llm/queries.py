@@ -48,7 +48,7 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.simhash_components(load(spark, sf, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 @query

@@ -7,58 +7,85 @@ or outside) and is also sent to every shard that the triangle bound cannot rule
 fingerprints in the same way and compares what is left exactly. A shard gives links to one member of each of its
 connected groups, never all pairs. The sample decides the balance only; every link is found.
 
+Similarity of 0.8 on shingles moves some 15 % of the bits, which no tree over 64 bits can search, so ``SIMILAR`` takes
+256 bits in 16 parts: all pairs up to 31 differing bits agree in one part but for one bit and are found for certain; of
+those at the limit of 45 bits (similarity of 0.75 to 0.8) about 96 % are.
+
 Copies share a fingerprint and are compared once. Null texts have no words: fingerprint zero, linked like any other.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .repeats import mix
 from .shared import components, in_batches, keep
 
 BITS = 64
 #: Fingerprints with their home in one shard, about; sampled fingerprints per shard; pairs compared at once.
-SHARD, SAMPLE_PER_SHARD, PAIRS_AT_ONCE = 4096, 64, 1 << 21
-#: The sample never exceeds this many fingerprints (4 MB on the driver).
+SHARD, SAMPLE_PER_SHARD, PAIRS_AT_ONCE = 4096, 64, 1 << 18
+#: The sample never exceeds this many fingerprints (16 MB on the driver).
 SAMPLE = 1 << 19
-HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 
 
-def fingerprint(text: str, n: int = 3) -> int:
-    """A bit is one if it is set in over half of the hashes of the shingles."""
+@dataclass(frozen=True)
+class Scheme:
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the parts (word, mask) that trees stand over."""
+
+    shingle: int
+    words: int
+    most: int
+    parts: tuple[tuple[int, int], ...]
+    reach: int = 1
+    shard: int = SHARD
+
+    @property
+    def names(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
+
+
+CLOSE = Scheme(3, 1, 3, tuple((0, 0xFFFFFFFF << s) for s in (0, 32)))
+SIMILAR = Scheme(5, 4, 45, tuple((w, 0xFFFF << s) for w in range(4) for s in (0, 16, 32, 48)), shard=32768)
+
+
+def fingerprint(text: str, n: int = 3, words: int = 1) -> np.ndarray:
+    """A bit is one if it is set in over half of the hashes of the shingles; words beyond the first take hashes of the hashes."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(words, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(parts) <= n:
-        return digest(b" ".join(parts), 42)
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-1].tolist()]
     ends = (ends - 1).tolist()
     view = memoryview(line)
-    count, total = np.zeros(BITS, np.int64), len(parts) - n + 1
-    for lo in range(0, total, 1 << 14):
-        hi = min(total, lo + (1 << 14))
-        h = np.array([digest(view[a:b], 42) for a, b in zip(starts[lo:hi], ends[lo + n - 1:hi + n - 1])], "<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * count > total, bitorder="little").view("<u8")[0])
+    total = max(1, len(parts) - n + 1)
+    ends = ends[min(n, len(parts)) - 1:]
+    count = np.zeros(BITS * words, np.int64)
+    for lo in range(0, total, 1 << 13):
+        hi = min(total, lo + (1 << 13))
+        h = np.array([digest(view[a:b], 42) for a, b in zip(starts[lo:hi], ends[lo:hi])], "<u8")
+        h = np.stack([h, *(mix(h + np.uint64(k)) for k in range(1, words))], axis=1)
+        count += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * count > total, bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """``doc_id, f0, …`` (64 bits each, as signed longs) of every whole text."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, n) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, scheme.shingle, scheme.words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, scheme.words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(scheme.words))], names=["doc_id", *scheme.names])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return in_batches(texts).mapInArrow(run, "doc_id long, fp long")
+    return in_batches(texts).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in scheme.names)]))
 
 
 def build_tree(sample: np.ndarray, half: np.uint64, depth: int, seed: int) -> list[tuple[int, int]]:
@@ -115,16 +142,17 @@ class Groups:
                 root[:] = up
 
 
-def search(own: np.ndarray, every: np.ndarray, fp: np.ndarray, half: np.uint64, reach: int, most: int, groups: Groups, rng: np.random.Generator) -> None:
-    """Link all pairs of ``own`` and ``every`` (indices of ``fp``) that differ in at most ``most`` bits."""
+def search(own: np.ndarray, every: np.ndarray, fp: np.ndarray, part: tuple[int, int], reach: int, most: int, groups: Groups, rng: np.random.Generator) -> None:
+    """Link the pairs of ``own`` and ``every`` (rows of ``fp``) that the part's triangle bound leaves and that differ in at most ``most`` bits."""
+    word, mask = fp[:, part[0]], np.uint64(part[1])
     todo = [(own, every, 0)]
     while todo:
         own, every, tries = todo.pop()
         if not len(own) or len(every) < 2:
             continue
         if len(own) > 32 and len(own) * len(every) > 1 << 15 and tries < 3:
-            v = fp[own[rng.integers(len(own))]]
-            d, e = (np.bitwise_count((fp[x] ^ v) & half).astype(np.int64) for x in (own, every))
+            v = word[own[rng.integers(len(own))]]
+            d, e = (np.bitwise_count((word[x] ^ v) & mask).astype(np.int64) for x in (own, every))
             mu = int(np.median(d))
             mu = mu if d.max() > mu else mu - 1
             if (d <= mu).any() and (d > mu).any():
@@ -133,59 +161,63 @@ def search(own: np.ndarray, every: np.ndarray, fp: np.ndarray, half: np.uint64,
                 todo.append((own, every, tries + 1))
             continue
         step = max(1, PAIRS_AT_ONCE // len(every))
+        right = fp[every]
         for lo in range(0, len(own), step):
-            part = own[lo:lo + step]
-            i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[every][None, :]) <= most)
-            groups.link(part[i], every[j])
-
-
-def fingerprint_links(found: DataFrame, most: int = 3, shard: int = SHARD) -> DataFrame:
-    """``(a, b)`` links that join each connected group of the distinct fingerprints ``found (fp)``, a stored table."""
-    n = found.count()
-    reach = most // 2
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+            left = fp[own[lo:lo + step]]
+            bits = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
+            for k in range(1, fp.shape[1]):
+                bits = bits + np.bitwise_count(left[:, None, k] ^ right[None, :, k])
+            i, j = np.nonzero(bits <= most)
+            groups.link(own[lo:lo + step][i], every[j])
+
+
+def fingerprint_links(found: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(a, b)`` links that join each connected group of the distinct fingerprints ``found (id, f0, …)``, a stored table."""
+    n, parts, names, reach, most = found.count(), scheme.parts, scheme.names, scheme.reach, scheme.most
+    depth = max(0, int(np.ceil(np.log2(max(1, n / scheme.shard)))))
     bound = min(SAMPLE, SAMPLE_PER_SHARD << depth)
-    sample = np.array([r[0] for r in found.orderBy(F.xxhash64("fp")).limit(bound).collect()], np.int64).view(np.uint64)
-    trees = [build_tree(sample, half, depth, k) for k, half in enumerate(HALVES)]
+    sample = np.array([tuple(r) for r in found.select(*names).orderBy(F.xxhash64("id")).limit(bound).collect()], np.int64).reshape(-1, len(names)).view(np.uint64)
+    trees = [build_tree(sample[:, w], np.uint64(m), depth, k) for k, (w, m) in enumerate(parts)]
 
     def send(batches):
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            for k, half in enumerate(HALVES):
-                row, leaf, own = route(fp, trees[k], half, depth, reach)
-                yield pa.RecordBatch.from_arrays([pa.array((leaf * 2 + k).astype(np.int64)), pa.array(own), pa.array(fp[row].view(np.int64))], names=["leaf", "own", "fp"])
+            for k, (w, m) in enumerate(parts):
+                row, leaf, own = route(b.column(w + 1).to_numpy().view(np.uint64), trees[k], np.uint64(m), depth, reach)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array((leaf * len(parts) + k).astype(np.int64)), pa.array(own), *(b.column(i).take(at) for i in range(len(names) + 1))], names=["leaf", "own", "id", *names])
 
     def compare(key, table):
-        half = HALVES[key[0].as_py() % 2]
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(fp)  # the same links whatever the order of arrival
-        fp, own = fp[order], table.column("own").to_numpy(zero_copy_only=False)[order]
+        table = table.sort_by("id")  # the same links whatever the order of arrival
+        ids = table.column("id").to_numpy()
+        fp = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        own = table.column("own").to_numpy(zero_copy_only=False)
         groups = Groups(len(fp))
-        search(np.nonzero(own)[0], np.arange(len(fp)), fp, half, reach, most, groups, np.random.default_rng(key[0].as_py()))
+        search(np.nonzero(own)[0], np.arange(len(fp)), fp, parts[key[0].as_py() % len(parts)], reach, most, groups, np.random.default_rng(key[0].as_py()))
         at = np.nonzero(groups.root != np.arange(len(fp)))[0]
-        return pa.table({"a": pa.array(fp[at].view(np.int64)), "b": pa.array(fp[groups.root[at]].view(np.int64))})
+        return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[groups.root[at]])})
 
-    sent = in_batches(found.select("fp")).mapInArrow(send, "leaf long, own boolean, fp long")
+    columns = ", ".join(f"{c} long" for c in ("id", *names))
+    sent = in_batches(found.select("id", *names)).mapInArrow(send, f"leaf long, own boolean, {columns}")
     return sent.groupBy("leaf").applyInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row."""
-    prints = keep(fingerprints(docs, n))
-    groups = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(fingerprint_links(groups.select("fp"), most)).select(F.col("id").alias("fp"), "root")
-    linked = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = keep(linked)
+def simhash_components(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """``doc_id, f0, …, component_id`` for every row."""
+    key = F.col("f0") if scheme.words == 1 else F.xxhash64(*scheme.names)
+    prints = keep(fingerprints(docs, scheme).withColumn("id", key))
+    groups = keep(prints.groupBy("id", *scheme.names).agg(F.min("doc_id").alias("first")))
+    roots = components(fingerprint_links(groups, scheme))
+    linked = keep(groups.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = linked.join(lowest, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = linked.join(lowest, "root").select("id", "component_id")
+    return prints.join(names, "id").select("doc_id", *scheme.names, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the smallest ``doc_id``, of its rows the smallest text hash.
+def keep_one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that of the smallest ``doc_id``, one of its rows if it is repeated.
 
-    Rows without ``doc_id`` stay only where their component has no numbered row.
+    A row without ``doc_id`` stays only where its component has no numbered row; of such rows one stays.
     """
-    found = keep(simhash_components(docs, n, most)).filter("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(found.withColumnRenamed("doc_id", "_first"), docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    found = keep(simhash_components(docs, scheme)).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
