@@ -23,7 +23,8 @@ from .shared import in_batches
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
-PHRASE = 8
+#: Words of a phrase: lines shorter than this may be as common as they like.
+PHRASE = 25
 #: Bytes of a text hashed at once.
 PART = 1 << 18
 

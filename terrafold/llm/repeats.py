@@ -6,9 +6,9 @@ for about ``(n - k) / 2`` units. Around an anchor, a context reaches over every
 with equal contexts (a class) share their fate: all but the earliest are covered by it. Only the first of each class, in
 groups of several classes, need their units compared; their contexts are fetched and given to a solver.
 
-Equal contexts are combined inside each batch before the shuffle, so copies of one text do not meet in one task. Groups
-with more classes than ``GROUP`` are not solved in one task: each of their runs is compared by a 128-bit hash in an
-aggregate, which Spark combines before its shuffle.
+Equal contexts are combined inside each batch before the shuffle, so copies of one text do not meet in one task. A group
+with more classes than ``GROUP`` is split in blocks that are solved alike; what a block holds first is then compared with
+the other blocks by a 128-bit hash in an aggregate, which Spark combines before its shuffle.
 """
 
 from __future__ import annotations
@@ -188,14 +188,15 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
     whole = W.partitionBy("h", "cover")
     first_doc, first_at = F.first("doc").over(same), F.first("at").over(same)
     later = (F.col("doc") != F.col("_d")) | ((F.col("at") != F.col("_a")) & F.lit(unit.same_document))
+    blocks = F.ceil(F.sum(F.when(F.col("later"), 0).otherwise(1)).over(whole) / group).cast("int")
     found = (rows.withColumns({"_d": first_doc, "_a": first_at}).withColumn("later", F.col("cover") | later)
-             .withColumns({"_lo": F.min("c").over(whole), "_hi": F.max("c").over(whole), "classes": F.sum(F.when(F.col("later"), 0).otherwise(1)).over(whole)})
+             .withColumns({"_lo": F.min("c").over(whole), "_hi": F.max("c").over(whole), "blocks": blocks})
              .filter(F.col("later") | (F.col("_lo") != F.col("_hi"))))
-    found = keep(found.select("h", "doc", "at", "till", "later", (F.col("classes") > group).alias("hot")))
+    found = keep(found.select("h", "doc", "at", "till", "later", "blocks"))
     place = F.shiftright("at", 32)
     covers = found.filter("later").select("doc", _low("at").alias("low"), F.when(F.col("till") > 0, place).otherwise(F.greatest(place - side, F.lit(0))).alias("lo"),
                                           F.when(F.col("till") > 0, F.col("till")).otherwise(place + n).alias("hi"))
-    wanted = found.filter("not later").groupBy("doc", _low("at").alias("low")).agg(F.collect_list(F.struct(place.alias("pos"), "h", "hot")).alias("want"))
+    wanted = found.filter("not later").groupBy("doc", _low("at").alias("low")).agg(F.collect_list(F.struct(place.alias("pos"), "h", "blocks")).alias("want"))
     texts = _keyed(docs).withColumn("low", _low("key"))
 
     def fetch(batches):
@@ -205,20 +206,31 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
                 _, pieces = unit.split(text)
                 for x in want:
                     lo = max(0, x["pos"] - side)
-                    out.append((x["h"], x["hot"], doc, low, lo, unit.context(pieces, lo, x["pos"] + n)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "hot", "doc", "low", "lo", "context"])
+                    out.append((x["h"], x["blocks"], doc, low, lo, unit.context(pieces, lo, x["pos"] + n)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "blocks", "doc", "low", "lo", "context"])
 
     joined = texts.join(wanted, ["doc", "low"]).select("doc", "low", "text", "want")
-    contexts = keep(in_batches(joined).mapInArrow(fetch, "h long, hot boolean, doc long, low long, lo long, context binary"))
+    contexts = in_batches(joined).mapInArrow(fetch, "h long, blocks int, doc long, low long, lo long, context binary")
+    contexts = contexts.withColumn("block", F.pmod(F.xxhash64("doc", "low", "lo"), F.col("blocks")).cast("int"))
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table):
-            doc, low, lo = (t.column(c).to_numpy() for c in ("doc", "low", "lo"))
-            hit = solve(t.column("h").to_numpy(), doc, lo, t.column("context").to_pylist())
+            doc, low, lo, blocks = (t.column(c).to_numpy() for c in ("doc", "low", "lo", "blocks"))
+            contexts = t.column("context").to_pylist()
+            hit = solve(t.column("h").to_numpy(), doc, lo, contexts)
             row, a, b = covered(hit, n)
-            return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(low[row]), pa.array(lo[row] + a), pa.array(lo[row] + b)], names=["doc", "low", "lo", "hi"])
+            first = []  # of split groups: what other blocks may hold before
+            for i in np.nonzero(blocks > 1)[0].tolist():
+                for j, x in enumerate(unit.windows(contexts[i])):
+                    if not hit[i, j]:
+                        d = xxhash.xxh3_128_digest(x)
+                        first.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), int(doc[i]), int(low[i]), int(lo[i]) + j))
+            x, y, d, w, p = zip(*first) if first else ([],) * 5
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([u, pa.array(v, pa.int64())]) for u, v in (
+                (none, x), (none, y), (pa.array(doc[row]), d), (pa.array(low[row]), w), (pa.array(lo[row] + a), p), (pa.array(lo[row] + b), [q + n for q in p]))], names=["x", "y", "doc", "low", "lo", "hi"])
 
         for b in batches:
             if not b.num_rows:
@@ -227,34 +239,24 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
             if sum(x.num_rows for x in held) < AT_ONCE:
                 continue
             t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
+            h, block = t.column("h").to_numpy(), t.column("block").to_numpy()
+            cut = int(np.argmax((h == h[-1]) & (block == block[-1])))  # the last block may go on in the next batch
             if cut:
-                yield done(t.slice(0, cut))
+                yield from done(t.slice(0, cut))
                 t = t.slice(cut)
             held = t.to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
-    alone = contexts.filter("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "doc", "lo", "low")
-    solved = in_batches(alone).mapInArrow(work, "doc long, low long, lo long, hi long")
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for doc, low, lo, context in zip(*(b.column(c).to_pylist() for c in ("doc", "low", "lo", "context"))):
-                for i, x in enumerate(unit.windows(context)):
-                    d = xxhash.xxh3_128_digest(x)
-                    out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, (lo + i) << 32 | low))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [], []))], names=["x", "y", "doc", "at"])
-
-    runs = in_batches(contexts.filter("hot")).mapInArrow(cut, "x long, y long, doc long, at long").distinct()
+    dealt = contexts.repartition("h", "block").sortWithinPartitions("h", "block", "doc", "lo", "low")
+    solved = keep(in_batches(dealt).mapInArrow(work, "x long, y long, doc long, low long, lo long, hi long"))
+    runs = solved.filter("x is not null").select("x", "y", "doc", ((F.col("lo") * (1 << 32)).bitwiseOR(F.col("low"))).alias("at")).distinct()
     firsts = runs.groupBy("x", "y").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     beyond = F.col("doc") > F.col("first.doc")
     if unit.same_document:
         beyond = beyond | ((F.col("doc") == F.col("first.doc")) & (F.col("at") > F.col("first.at")))
     hot = runs.join(firsts, ["x", "y"]).filter(beyond).select("doc", _low("at").alias("low"), F.shiftright("at", 32).alias("lo"), (F.shiftright("at", 32) + n).alias("hi"))
-    return covers.union(solved).union(hot)
+    return covers.union(solved.filter("x is null").select("doc", "low", "lo", "hi")).union(hot)
 
 
 def merged(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
