@@ -38,17 +38,21 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
 
 
+def _word_hashes(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    values, at = [np.zeros(0, np.uint64)], 0
+    while at < len(lo):  # words of bounded bytes together, or one word
+        end = max(at + 1, int(np.searchsorted(hi, lo[at] + PART)))
+        a, b = int(lo[at]), int(hi[end - 1])
+        values.append(run_hash(prefix_sums(_VALUES[np.frombuffer(raw, np.uint8, b - a, a)]), lo[at:end] - a, hi[at:end] - a))
+        at = end
+    return np.concatenate(values)
+
+
 def word_unit(n: int = 50, k: int = PHRASE) -> Unit:
     def split(text):
         raw = text.encode("utf-8", "surrogatepass")
         lo, hi = _words(raw)
-        values, at = [np.zeros(0, np.uint64)], 0
-        while at < len(lo):  # words of bounded bytes together, or one word
-            end = max(at + 1, int(np.searchsorted(hi, lo[at] + PART)))
-            a, b = int(lo[at]), int(hi[end - 1])
-            values.append(run_hash(prefix_sums(_VALUES[np.frombuffer(raw, np.uint8, b - a, a)]), lo[at:end] - a, hi[at:end] - a))
-            at = end
-        return np.concatenate(values), (raw, lo, hi)
+        return _word_hashes(raw, lo, hi), (raw, lo, hi)
 
     def context(pieces, a, b):
         raw, lo, hi = pieces
@@ -61,13 +65,41 @@ def word_unit(n: int = 50, k: int = PHRASE) -> Unit:
     return Unit(n, k, split, context, windows, False)
 
 
+def _recurring(doc: np.ndarray, contexts: list[bytes], n: int) -> np.ndarray:
+    """Contexts with a run of ``n`` words whose hash stands in another document too."""
+    raw = b"\n".join(contexts)
+    lo, hi = _words(raw)
+    sums = prefix_sums(_word_hashes(raw, lo, hi))
+    first = np.searchsorted(lo, np.cumsum([0] + [len(x) + 1 for x in contexts]))
+    size = np.diff(first)
+    at = np.arange(max(1, int(size.max()) - n + 1))[None, :]
+    valid = at + n <= size[:, None]
+    start = (first[:-1, None] + at)[valid]
+    d = np.broadcast_to(doc[:, None], valid.shape)[valid]
+    order = np.lexsort((d, h := run_hash(sums, start, start + n)))
+    same, other = h[order][1:] == h[order][:-1], d[order][1:] != d[order][:-1]
+    group = np.concatenate([[0], np.cumsum(~same)])
+    many = np.zeros(len(start), bool)
+    many[order] = np.bincount(group[1:], same & other, group[-1] + 1)[group] > 0
+    out = np.zeros(valid.shape, bool)
+    out[valid] = many
+    return out.any(1)
+
+
 def automaton_solver(n: int, k: int = PHRASE):
     def solve(anchor, doc, lo, contexts):
-        split = [x.decode("latin-1").split(" ") for x in contexts]
-        # One phrase a group: what the group's segments have in common at their anchor.
+        hit = np.zeros((len(contexts), max(n, *(x.count(b" ") + 1 for x in contexts)) - n + 1), bool)
+        some = np.nonzero(_recurring(doc, contexts, n))[0]
+        if len(some):
+            found = locate(anchor[some], doc[some], [contexts[i].decode("latin-1").split(" ") for i in some])
+            hit[some, :found.shape[1]] = found
+        return hit
+
+    def locate(anchor, doc, split):
+        # Phrases that a group's confirmed segments have in common.
         machine = ahocorasick.Automaton()
         for phrase in _phrases(anchor, split, k):
-            machine.add_word(f" {phrase} ", phrase.count(" ") + 1)
+            machine.add_word(f" {phrase} ", k)
         machine.make_automaton()
         width = max(n, *(len(w) for w in split))
         m, near, number = np.zeros((len(split), width), np.int64), np.zeros((len(split), width - n + 1), bool), {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import in_batches, keep, row_key
 
 #: Units of one text hashed at once; classes of a group solved in one task; contexts solved at once.
-CHUNK, GROUP, AT_ONCE = 1 << 18, 256, 4096
+CHUNK, GROUP, AT_ONCE = 1 << 18, 2048, 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NULL_ID = -(1 << 63)
@@ -188,10 +188,11 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
     whole = W.partitionBy("h", "cover")
     first_doc, first_at = F.first("doc").over(same), F.first("at").over(same)
     later = (F.col("doc") != F.col("_d")) | ((F.col("at") != F.col("_a")) & F.lit(unit.same_document))
+    # Where repetitions inside a document do not count, one document alone needs no comparison.
+    apart = F.lit(True) if unit.same_document else F.min("doc").over(whole) != F.max("doc").over(whole)
     blocks = F.ceil(F.sum(F.when(F.col("later"), 0).otherwise(1)).over(whole) / group).cast("int")
     found = (rows.withColumns({"_d": first_doc, "_a": first_at}).withColumn("later", F.col("cover") | later)
-             .withColumns({"_lo": F.min("c").over(whole), "_hi": F.max("c").over(whole), "blocks": blocks})
-             .filter(F.col("later") | (F.col("_lo") != F.col("_hi"))))
+             .withColumns({"mixed": (F.min("c").over(whole) != F.max("c").over(whole)) & apart, "blocks": blocks}).filter(F.col("later") | F.col("mixed")))
     found = keep(found.select("h", "doc", "at", "till", "later", "blocks"))
     place = F.shiftright("at", 32)
     covers = found.filter("later").select("doc", _low("at").alias("low"), F.when(F.col("till") > 0, place).otherwise(F.greatest(place - side, F.lit(0))).alias("lo"),
