@@ -96,9 +96,9 @@ def automaton_solver(n: int, k: int = PHRASE):
         return hit
 
     def locate(anchor, doc, split):
-        # Phrases that a group's confirmed segments have in common.
+        # The phrase at its anchor is what the confirmed segments of a group have in common.
         machine = ahocorasick.Automaton()
-        for phrase in _phrases(anchor, split, k):
+        for phrase in {" ".join(w[a:a + k]) for a, w in zip(anchor.tolist(), split)}:
             machine.add_word(f" {phrase} ", k)
         machine.make_automaton()
         width = max(n, *(len(w) for w in split))
@@ -125,17 +125,6 @@ def automaton_solver(n: int, k: int = PHRASE):
     return solve
 
 
-def _phrases(anchor: np.ndarray, split: list[list[str]], k: int) -> set[str]:
-    """The ``k``-word phrases that all segments of a group share, one group after another."""
-    out, at = set(), 0
-    while at < len(anchor):
-        end = int(np.searchsorted(anchor, anchor[at], "right"))
-        grams = [{" ".join(w[i:i + k]) for i in range(len(w) - k + 1)} for w in split[at:end]]
-        out |= set.intersection(*grams) if len(grams) > 1 else grams[0]
-        at = end
-    return out
-
-
 def _cleaned(docs: DataFrame, n: int) -> DataFrame:
     unit = word_unit(n)
     return with_spans(docs, repeated_runs(docs, unit, automaton_solver(n)))

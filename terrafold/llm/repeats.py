@@ -179,8 +179,8 @@ def covered(hit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GROUP) -> DataFrame:
     """``doc, low (of its key), lo, hi``: runs of units to remove; ``hi`` may pass the end of the text.
 
-    ``solve(anchor, doc, at, contexts)`` returns for contexts of whole groups a boolean matrix: does the run that starts
-    there occur earlier.
+    ``solve(anchor, doc, lo, contexts)`` returns a boolean matrix for contexts of whole blocks, with the place of the anchor in
+    each, its document and where it begins there: does the run that starts there occur earlier.
     """
     n, side = unit.n, unit.n - unit.k
     rows = scan(docs, unit).withColumn("cover", F.col("till") > 0).repartition("h", "cover")
@@ -207,11 +207,11 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
                 _, pieces = unit.split(text)
                 for x in want:
                     lo = max(0, x["pos"] - side)
-                    out.append((x["h"], x["blocks"], doc, low, lo, unit.context(pieces, lo, x["pos"] + n)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "blocks", "doc", "low", "lo", "context"])
+                    out.append((x["h"], x["blocks"], doc, low, lo, x["pos"] - lo, unit.context(pieces, lo, x["pos"] + n)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "blocks", "doc", "low", "lo", "anchor", "context"])
 
     joined = texts.join(wanted, ["doc", "low"]).select("doc", "low", "text", "want")
-    contexts = in_batches(joined).mapInArrow(fetch, "h long, blocks int, doc long, low long, lo long, context binary")
+    contexts = in_batches(joined).mapInArrow(fetch, "h long, blocks int, doc long, low long, lo long, anchor int, context binary")
     contexts = contexts.withColumn("block", F.pmod(F.xxhash64("doc", "low", "lo"), F.col("blocks")).cast("int"))
 
     def work(batches):
@@ -220,7 +220,7 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
         def done(t: pa.Table):
             doc, low, lo, blocks = (t.column(c).to_numpy() for c in ("doc", "low", "lo", "blocks"))
             contexts = t.column("context").to_pylist()
-            hit = solve(t.column("h").to_numpy(), doc, lo, contexts)
+            hit = solve(t.column("anchor").to_numpy(), doc, lo, contexts)
             row, a, b = covered(hit, n)
             first = []  # of split groups: what other blocks may hold before
             for i in np.nonzero(blocks > 1)[0].tolist():
