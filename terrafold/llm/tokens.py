@@ -26,6 +26,7 @@ from .shared import in_batches
 
 MAGIC = b"TFB1"
 HEADER = struct.Struct("<4sBxxxIQ")
+MARKS = ".,;:!?"
 #: Ids in a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 
@@ -37,7 +38,7 @@ class WordEncoder:
     its words in turn. Words are encoded once and remembered, up to ``limit`` of them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.wide = re.compile("[^\x00-ɏ]|<\\|").search
@@ -49,7 +50,15 @@ class WordEncoder:
         try:
             return b"".join([known[w] for w in parts])
         except KeyError:
-            own = self._learn([w for w in dict.fromkeys(parts) if w not in known])
+            new = [w for w in dict.fromkeys(parts) if w not in known]
+            # A final mark is a token of its own; what stands before it is often known.
+            own, rest = {}, []
+            for w in new:
+                if w[-1] in MARKS and w[-2:-1].isalpha() and (x := known.get(w[:-1])) and (y := known.get(w[-1])):
+                    own[w] = x + y
+                else:
+                    rest.append(w)
+            own |= self._learn(rest) if rest else {}
             return b"".join([known.get(w) or own[w] for w in parts])
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
