@@ -180,11 +180,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     if total > train_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * 0.97 * train_rows / total))
     rows = sorted((r["doc_id"], bytes(r["features"]), float(r["quality"])) for r in features.join(known, "doc_id").collect())
-    net = train_network(np.array([np.frombuffer(f, np.float32) for _, f, _ in rows], float).reshape(len(rows), -1), np.array([q for _, _, q in rows]))
+    net = train_network(np.array([np.frombuffer(f, np.float32) for _, f, _ in rows], float).reshape(len(rows), 2 * DIM + 2), np.array([q for _, _, q in rows]))
 
     def run(batches):
         for b in batches:
-            x = np.array([np.frombuffer(f, np.float32) for f in b.column(1).to_pylist()], float).reshape(b.num_rows, -1)
+            x = np.array([np.frombuffer(f, np.float32) for f in b.column(1).to_pylist()], float).reshape(b.num_rows, 2 * DIM + 2)
             p = predict(net, x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

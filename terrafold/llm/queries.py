@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from terrafold.operators.common import checkpoint_dir
 
 from . import caps, chat, classifier, mixing, packing, phrases, quality, simhash, suffix, tokens
+from .oracles import ORACLES  # noqa: F401
 from .shared import keep, load
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
 
 
 def tokenizer_path() -> str:
