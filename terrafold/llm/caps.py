@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import components, in_batches, keep
 from .simhash import Groups
 
-#: Filters that a vector passes, on average; vectors of a label that it meets in one filter, about; vectors in one block.
-LIST, MEET, BLOCK, MIN_THRESHOLD = 24, 16, 1024, 2.6
+#: Filters that a vector passes, on average and at least; vectors of a label that it meets in one filter, about; vectors in one block.
+LIST, LEAST, MEET, BLOCK, MIN_THRESHOLD = 20, 20, 32, 1024, 2.4
 
 
 def code(dim: int, vectors: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -43,7 +43,7 @@ def code(dim: int, vectors: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
 
 
 def decode(unit: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> list[np.ndarray]:
-    """For each unit vector, the numbers of all filters that it exceeds, ascending."""
+    """For each unit vector, the numbers of all filters that it exceeds (of its ``LEAST`` best if it exceeds fewer), ascending."""
     turn, first, second, threshold = coded
     dim = unit.shape[1]
     x = unit @ turn
@@ -52,8 +52,12 @@ def decode(unit: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray, fl
     b = x[:, cut:] @ second.T
     out = []
     for s, t in zip(a, b):
-        near = np.nonzero(s >= threshold - t.max())[0]  # codewords with any partner over the threshold
-        i, j = np.nonzero(s[near, None] + t[None, :] >= threshold)
+        # The best LEAST codewords of each half hold the best LEAST pairs.
+        i, j = np.argsort(-s)[:LEAST], np.argsort(-t)[:LEAST]
+        best = np.sort((s[i][:, None] + t[j][None, :]).ravel())
+        cap = min(threshold, best[-min(LEAST, len(best))])
+        near = np.nonzero(s >= cap - t.max())[0]  # codewords with any partner over the threshold
+        i, j = np.nonzero(s[near, None] + t[None, :] >= cap)
         out.append(near[i] * len(second) + j)
     return out
 
