@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,19 +14,25 @@ from .common import cut_lineage
 # --- parent chains ----------------------------------------------------------------------------------
 
 
-def follow_chain(df: DataFrame, node: str, parent: str, sums: list[str] = (), rounds: int = 8) -> DataFrame:
+def follow_chain(df: DataFrame, node: str, parent: str, sums: list[str] = (), rounds: int | None = None) -> DataFrame:
     """Root of every node and the sums of ``sums`` along its chain, itself included.
 
     Each round doubles the distance covered: a node adds what its current ancestor has gathered and
-    points to that ancestor's ancestor.  Eight rounds cover 256 nodes; rounds stop when every pointer is
-    resolved.  A parent that does not exist ends the chain.  Output adds ``root``.
+    points to that ancestor's ancestor.  Rounds stop when every pointer is resolved, or when they have
+    covered more nodes than there are, so that what is left runs into a cycle and keeps a root on it.
+    ``rounds`` sets a limit.  A parent that does not exist ends the chain.  Output adds ``root``.
     """
     d = df.select(F.col(node).alias("_id"), F.col(parent).alias("_up"), *sums)
     ids = d.select(F.col("_id").alias("_k"))
     d = d.join(ids, F.col("_up") == F.col("_k"), "left").withColumn("_up", F.when(F.col("_k").isNotNull(), F.col("_up"))).drop("_k")
     d = d.withColumn("root", F.col("_id"))
-    for _ in range(rounds):
+    nodes = None
+    for done in itertools.count():
         d = cut_lineage(d)
+        if done == 8:
+            nodes = d.count()
+        if done == rounds or (nodes is not None and 1 << done > nodes):
+            break
         open_ = d.where(F.col("_up").isNotNull())
         if open_.limit(1).isEmpty():
             break
@@ -43,7 +51,7 @@ def resolve_placements(placements: DataFrame) -> DataFrame:
     """
     d = placements.select("id", "parent_id", *[F.coalesce(F.nanvl(c, F.lit(0.0)) if c == "z" else F.col(c), F.lit(0.0)).alias(c) for c in "xyz"],
                           F.when(F.col("x").isNotNull(), 1).otherwise(0).alias("located"))
-    r = follow_chain(d, "id", "parent_id", ["x", "y", "z", "located"])
+    r = follow_chain(d, "id", "parent_id", ["x", "y", "z", "located"], rounds=8)  # 256 levels at most
     ok = F.col("located") > 0
     return r.select("id", F.when(ok, F.col("x")).alias("x"), F.when(ok, F.col("y")).alias("y"), F.when(ok & (F.col("z") != 0), F.col("z")).alias("z"))
 

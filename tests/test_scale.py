@@ -102,3 +102,13 @@ def test_dangles_of_a_crowded_node(spark):
                                 G.line(F.array(G.vertex(F.lit(0.0), F.lit(0.0)), G.vertex(F.col("id") + 1.0, F.lit(9.0)))).alias("geom"))
     ends = Q.free_ends(d, 0.001).collect()
     assert len(ends) == 300 and {r["which"] for r in ends} == {"end"}
+
+
+def test_deep_property_chains_keep_their_leaves(spark):
+    from terrafold.operators.relations import flatten_properties
+
+    n = 400
+    rows = [(i, i - 1 if i else None, "e" if not i else None, i, "complex" if i < n else "single", f"p{i}", "v" if i == n else None, None) for i in range(n + 1)]
+    rows += [(1001, 1002, None, 0, "complex", "a", None, None), (1002, 1001, None, 0, "single", "b", "lost in a cycle", None)]
+    props = spark.createDataFrame(rows, "prop_id long, parent_id long, element_id string, pos long, kind string, name string, value string, values array<string>")
+    assert [tuple(r) for r in flatten_properties(props).collect()] == [("e", n, f"p{n}", "v")]
