@@ -208,7 +208,7 @@ def st_overlay(pairs: DataFrame, op: str, key: str = "pair_id", a: str = "geom_a
 
 # --- rings -----------------------------------------------------------------------------------------------
 
-def stitch_rings(edges: DataFrame, key: str, rounds: int = 24) -> DataFrame:
+def stitch_rings(edges: DataFrame, key: str) -> DataFrame:
     """Closed rings ``key, ring_id, ring`` from directed edges with the interior on the left.
 
     Each edge points to the next by the sharpest left turn at its end.  Pointer doubling finds the least
@@ -225,7 +225,7 @@ def stitch_rings(edges: DataFrame, key: str, rounds: int = 24) -> DataFrame:
     nxt = j.groupBy("eid").agg(F.min_by("nid", gap).alias("nid"))
     least = cut_lineage(nxt.withColumn("lo", F.least("eid", "nid")))
     jump = least
-    for _ in range(rounds):
+    while True:  # each round doubles the reach, up to the longest ring
         ahead = jump.select(F.col("eid").alias("nid"), F.col("nid").alias("n2"), F.col("lo").alias("l2"))
         step = jump.join(ahead, "nid").select("eid", F.col("n2").alias("nid"), F.least("lo", "l2").alias("lo"), (F.col("l2") < F.col("lo")).alias("moved"))
         step = cut_lineage(step)
@@ -234,7 +234,7 @@ def stitch_rings(edges: DataFrame, key: str, rounds: int = 24) -> DataFrame:
         jump = step.drop("moved")
     ids = step.select("eid", "lo")
     chain = nxt.join(ids, "eid").select("eid", F.when(F.col("nid") != F.col("lo"), F.col("nid")).alias("up"), F.lit(1).alias("left"))
-    order = follow_chain(chain, "eid", "up", ["left"], rounds).select("eid", "left")
+    order = follow_chain(chain, "eid", "up", ["left"]).select("eid", "left")
     d = e.join(ids, "eid").join(order, "eid")
     r = d.groupBy(key, F.col("lo").alias("ring_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("o"), G.vertex("x1", "y1").alias("v")))).alias("_v"))
     ring = F.transform("_v", lambda s: s["v"])
