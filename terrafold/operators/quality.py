@@ -282,7 +282,9 @@ def check_slivers(features: DataFrame, max_thinness: float = 0.01, max_area: flo
 def check_required(features: DataFrame, fields: DataFrame, required: list[str]) -> DataFrame:
     """One finding per missing schema field, else one per feature whose value is null or empty."""
     rule = "Attribute.RequiredField"
-    have = fields.groupBy("dataset").agg(F.collect_set(F.lower("name")).alias("_have"))
+    named = fields.groupBy("dataset").agg(F.collect_set(F.lower("name")).alias("_named"))
+    every = features.select("dataset").union(fields.select("dataset")).distinct()  # a dataset without fields lacks them all
+    have = every.join(named, "dataset", "left").select("dataset", F.coalesce("_named", F.array().cast("array<string>")).alias("_have"))
     wanted = F.array(*[F.lit(r) for r in required]).cast("array<string>")
     absent = have.select("dataset", F.explode(F.filter(wanted, lambda r: ~F.array_contains(F.col("_have"), F.lower(r)))).alias("f"))
     schema = finding(absent, rule, ERROR, "Attribute", F.concat(F.lit("Required field is not in the schema: "), F.col("f")), field=F.col("f"),

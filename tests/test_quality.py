@@ -91,3 +91,10 @@ def test_cap_keeps_first_and_notes_the_rest(spark):
     assert sorted(r["pos"] for r in Q.cap_findings(f, 5).collect() if r["pos"] is not None) == [0, 1, 2, 3, 4]
     assert Q.cap_findings(f, 5).where("code = 'QaQc.FindingsTruncated'").count() == 1
     assert Q.cap_findings(f, 12).where("code = 'QaQc.FindingsTruncated'").count() == 0
+
+
+def test_required_fields_of_a_dataset_without_fields(spark):
+    features = spark.createDataFrame([("d", "f1", 0, {"A": "1"})], "dataset string, feature_id string, pos long, attrs map<string,string>")
+    fields = spark.createDataFrame([], "dataset string, name string")
+    got = Q.check_required(features, fields, ["A", "B"]).collect()
+    assert sorted(r.field for r in got) == ["A", "B"]
