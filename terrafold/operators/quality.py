@@ -196,27 +196,87 @@ def check_geometry(features: DataFrame, vertex_tol: float = 1e-8, min_length: fl
 
 # --- topology ---------------------------------------------------------------------------------------
 
+def is_rectangle(geom: str = "geom", box=S.BOX) -> Column:
+    """One ring of five vertices that follows the sides of its envelope."""
+    x0, y0, x1, y1 = (G._c(c) for c in box)
+    part = F.get(F.col(geom)["parts"], F.lit(0))
+    ring = F.get(part, F.lit(0))
+    corner = lambda v: ((v["x"] == x0) | (v["x"] == x1)) & ((v["y"] == y0) | (v["y"] == y1))
+    side = lambda a, b: (a["x"] == b["x"]) != (a["y"] == b["y"])
+    return F.coalesce(
+        (F.size(F.col(geom)["parts"]) == 1) & (F.size(part) == 1) & (F.size(ring) == 5) & G.is_closed(ring) & F.forall(ring, corner)
+        & F.forall(G.edges_of(ring, side), lambda e: e) & (G.ring_signed_area(ring) != 0), F.lit(False))
+
+
+def _shared_regions(pairs: DataFrame, min_area: float) -> DataFrame:
+    """``pair_id, shared_area, x, y`` of polygon pairs that overlap: neither covers the other, and they share area.
+
+    The point lies inside the shared region: on a level half way between two vertex heights near the
+    middle, in the widest stretch.
+    """
+    from . import arrangement as A
+    from .common import cut_lineage
+
+    u = cut_lineage(A.label_pairs(pairs)[0])
+    has_a, has_b = F.col("fa") + F.col("ra") > 0, F.col("fb") + F.col("rb") > 0
+    against = has_a & has_b & (F.col("fa") != F.col("fb"))
+    beyond = u.groupBy("pair_id").agg(
+        F.max((has_a & ~has_b & ~F.col("inside")) | (has_b & ~has_a & F.col("inside")) | against).alias("_a"),
+        F.max((has_b & ~has_a & ~F.col("inside")) | (has_a & ~has_b & F.col("inside")) | against).alias("_b")).where("_a and _b")
+    e = A._emit(u, "pair_id", "intersection").join(beyond.select("pair_id"), "pair_id", "left_semi")
+    span = e.groupBy("pair_id").agg(F.min("x1").alias("_ox"), F.min("y1").alias("_oy"), F.max("y1").alias("_my"))
+    e = e.join(span, "pair_id")
+    x1, y1, x2, y2 = F.col("x1") - F.col("_ox"), F.col("y1") - F.col("_oy"), F.col("x2") - F.col("_ox"), F.col("y2") - F.col("_oy")
+    mid = (F.col("_oy") + F.col("_my")) / 2
+    size = e.groupBy("pair_id").agg((F.sum(x1 * y2 - x2 * y1) / 2).alias("shared_area"), F.max(F.when(F.col("y1") <= mid, F.col("y1"))).alias("_lo"),
+                                    F.min(F.when(F.col("y1") > mid, F.col("y1"))).alias("_hi")).where(F.col("shared_area") > min_area)
+    d = e.join(size.withColumn("y", (F.col("_lo") + F.col("_hi")) / 2), "pair_id").where((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y")))
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    cut = d.groupBy("pair_id", "shared_area", "y").agg(F.sort_array(F.collect_list(at)).alias("_xs"))
+    width = lambda i: F.struct((F.get("_xs", 2 * i + 1) - F.get("_xs", 2 * i)).alias("w"), ((F.get("_xs", 2 * i + 1) + F.get("_xs", 2 * i)) / 2).alias("x"))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), (F.size("_xs") / 2).cast("int") - 1), width))
+    return cut.select("pair_id", "shared_area", best["x"].alias("x"), "y")
+
+
 def overlap_areas(features: DataFrame, size: float, min_area: float = 1e-6, **kw) -> DataFrame:
-    """Overlapping rectangle pairs of one dataset with the shared area and its centre.
+    """Overlapping polygon pairs of one dataset with the shared area and a point in it.
 
-    Equal rectangles never overlap each other, so copies collapse to one row per rectangle before the
-    join and are expanded only against the rectangles they really overlap.
+    Equal shapes never overlap each other, so copies collapse to one row before the join and are expanded
+    only against the shapes they really overlap.  Envelopes bring candidates together; two rectangles (or
+    features given by ``minx..maxy`` alone) are decided by their sides, any other pair by its cut outlines.
     """
-    boxes = features.where(F.col("minx").isNotNull()).groupBy("dataset", *S.BOX).agg(
-        F.min(F.struct("pos", "feature_id")).alias("_rep"), F.count("*").alias("_n"))
-    a = boxes.select(F.col("dataset").alias("ds_a"), *[F.col(c).alias("a_" + c) for c in S.BOX], F.col("_rep").alias("_ra"))
-    b = boxes.select(F.col("dataset").alias("ds_b"), *[F.col(c).alias("b_" + c) for c in S.BOX], F.col("_rep").alias("_rb"))
+    from .common import cut_lineage, row_id
+
+    known = features.where(F.col("minx").isNotNull())
+    if "geom" in features.columns:
+        known = known.where(~G.is_empty("geom") & (G.base_kind("geom") == G.POLYGON)).withColumn("_plain", is_rectangle())
+        known = known.withColumn("_g", F.when(F.col("_plain"), row_id("dataset", *S.BOX)).otherwise(row_id("dataset", "geom")))
+        mixed = not known.where(~F.col("_plain")).isEmpty()
+    else:
+        known = known.withColumns({"_plain": F.lit(True), "_g": row_id("dataset", *S.BOX)})
+        mixed = False
+    shapes = known.groupBy("_g", "dataset", "_plain", *S.BOX).agg(F.min(F.struct("pos", "feature_id")).alias("_rep"), F.count("*").alias("_n"))
+    side = lambda t: shapes.select(F.col("dataset").alias(f"ds_{t}"), *[F.col(c).alias(f"{t}_{c}") for c in S.BOX], F.col("_rep").alias(f"_r{t}"),
+                                   F.col("_g").alias(f"_g{t}"), F.col("_plain").alias(f"_p{t}"))
     ab, bb = tuple("a_" + c for c in S.BOX), tuple("b_" + c for c in S.BOX)
-    first = F.struct(*[F.col(c) for c in ab]) < F.struct(*[F.col(c) for c in bb])
-    j = S.spatial_join(a, b, "overlaps", size, ab, bb, **kw).where((F.col("ds_a") == F.col("ds_b")) & first)
+    j = S.box_pairs(side("a"), side("b"), size, ab, bb, **kw).where((F.col("ds_a") == F.col("ds_b")) & (F.col("_ga") < F.col("_gb")))
     x0, y0 = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     x1, y1 = F.least("a_maxx", "b_maxx"), F.least("a_maxy", "b_maxy")
-    j = j.withColumns({"shared_area": (x1 - x0) * (y1 - y0), "x": (x0 + x1) / 2, "y": (y0 + y1) / 2})
-    j = j.where(F.col("shared_area") > min_area)
-    # Only copies need the way back to their members; a rectangle of its own is its representative.
-    copies = features.join(boxes.where("_n > 1").select("dataset", *S.BOX), ["dataset", *S.BOX])
-    member = lambda t: copies.select(F.col("dataset").alias(f"ds_{t}"), *[F.col(c).alias(f"{t}_{c}") for c in S.BOX], F.struct("pos", "feature_id").alias(f"_m{t}"))
-    j = j.join(member("a"), ["ds_a", *ab], "left").join(member("b"), ["ds_b", *bb], "left")
+    area = (x1 - x0) * (y1 - y0)
+    j = j.where((x1 > x0) & (y1 > y0) & (area > min_area))
+    kept = ["ds_a", "_ga", "_gb", "_ra", "_rb", "shared_area", "x", "y"]
+    plain = F.col("_pa") & F.col("_pb")
+    found = j.where(plain & S.box_predicate("overlaps", ab, bb)).withColumns({"shared_area": area, "x": (x0 + x1) / 2, "y": (y0 + y1) / 2}).select(*kept)
+    if mixed:
+        outline = known.select("_g", "geom").dropDuplicates(["_g"])
+        pairs = j.where(~plain).select("ds_a", "_ga", "_gb", "_ra", "_rb", row_id("_ga", "_gb").alias("pair_id"))
+        pairs = pairs.join(outline.select(F.col("_g").alias("_ga"), F.col("geom").alias("geom_a")), "_ga")
+        pairs = cut_lineage(pairs.join(outline.select(F.col("_g").alias("_gb"), F.col("geom").alias("geom_b")), "_gb"))
+        found = found.unionByName(pairs.join(_shared_regions(pairs, min_area), "pair_id").select(*kept))
+    # Only copies need the way back to their members; a shape of its own is its representative.
+    copies = known.join(shapes.where("_n > 1").select("_g"), "_g", "left_semi")
+    member = lambda t: copies.select(F.col("_g").alias(f"_g{t}"), F.struct("pos", "feature_id").alias(f"_m{t}"))
+    j = found.join(member("a"), "_ga", "left").join(member("b"), "_gb", "left")
     own = lambda t: F.coalesce(f"_m{t}", f"_r{t}")
     j = j.withColumns({"pos_a": own("a")["pos"], "id_a": own("a")["feature_id"], "pos_b": own("b")["pos"], "id_b": own("b")["feature_id"]})
     swap = F.col("pos_a") > F.col("pos_b")
@@ -485,7 +545,7 @@ def default_rules(size: float = 50.0) -> list[Rule]:
     return [
         Rule("Geometry.Check", "Geometry", lambda c: check_geometry(c.features)),
         Rule("Topology.Overlap", "Topology", lambda c: check_overlaps(
-            G.with_envelope(c.features).where(G.base_kind("geom") == G.POLYGON), size, opt(c, "min_overlap", 1e-6)), True),
+            G.with_envelope(c.features), size, opt(c, "min_overlap", 1e-6)), True),
         Rule("Topology.Dangle", "Topology", lambda c: check_dangles(c.features, opt(c, "dangle_tolerance", 0.001)), True),
         Rule("Topology.Sliver", "Topology", lambda c: check_slivers(c.features)),
         Rule("Attribute.RequiredField", "Attribute", lambda c: check_required(c.features, c.fields, opt(c, "required", []))),

@@ -1,5 +1,6 @@
 """Quality rules on small cases with known findings."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,62 @@ def test_overlap_below_minimum_area(spark):
     assert Q.check_overlaps(d, 7.0, min_area=1e-3).count() == 0
 
 
+def outlines(spark, rows):
+    """Polygons of rings given as vertex lists, all of one dataset."""
+    d = spark.createDataFrame([("PARCEL", k, i, [[(float(x), float(y), None) for x, y in [*r, r[0]]] for r in rings]) for i, (k, rings) in enumerate(rows)],
+                              f"dataset string, feature_id string, pos long, p array<{G.RING}>")
+    return G.with_envelope(d.withColumn("geom", G.make_geom(G.POLYGON, F.array("p"))).drop("p"))
+
+
+L_SHAPE = [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20)]
+
+
+@pytest.mark.parametrize("a,b,area", [
+    ([L_SHAPE], [[(12, 12), (18, 12), (18, 18), (12, 18)]], None),  # a square free in the notch
+    ([L_SHAPE], [[(8, 8), (18, 8), (18, 18), (8, 18)]], 36.0),
+    ([[(0, 0), (10, 0), (0, 10)]], [[(0, 0), (10, 0), (10, 10)]], 25.0),  # two triangles of one envelope
+    ([[(0, 0), (10, 0), (0, 10)]], [[(10, 10), (0, 10), (10, 0)]], None),  # two triangles that share a side only
+    ([L_SHAPE], [[(2, 2), (4, 2), (3, 4)]], None),  # held inside: no overlap
+    ([L_SHAPE], [L_SHAPE[2:] + L_SHAPE[:2]], None),  # equal, started elsewhere
+    ([[(0, 0), (20, 0), (20, 20), (0, 20)], [(5, 5), (5, 15), (15, 15), (15, 5)]], [[(6, 6), (14, 6), (14, 14), (6, 14)]], None),  # free in a hole
+    ([[(0, 0), (20, 0), (20, 20), (0, 20)], [(5, 5), (5, 15), (15, 15), (15, 5)]], [[(4, 6), (14, 6), (14, 14), (4, 14)]], 8.0),
+])
+def test_overlaps_of_outlines(spark, a, b, area):
+    found = Q.overlap_areas(outlines(spark, [("a", a), ("b", b), ("b2", b)]), 7.0).orderBy("other_id").collect()
+    assert [(r["feature_id"], r["other_id"]) for r in found] == ([("a", "b"), ("a", "b2")] if area else [])
+    assert all(r["shared_area"] == pytest.approx(area) for r in found)
+
+
+def test_overlaps_of_outlines_by_sampling(spark):
+    """Random quarrels of stars: the area by grid points in both, and a point that lies in both."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(12):
+        t = (np.arange(9) + rng.uniform(0.1, 0.9, 9)) * 2 * np.pi / 9
+        r, (cx, cy) = rng.uniform(2, 6, 9), rng.uniform(0, 14, 2)
+        rows.append((f"s{i:02d}", [list(zip((cx + r * np.cos(t)).tolist(), (cy + r * np.sin(t)).tolist()))]))
+    g = (np.arange(700) + 0.5) / 700 * 30 - 8
+    xs, ys = np.meshgrid(g, g)
+
+    def inside(ring, x, y):
+        n = np.zeros(np.shape(x), int)
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            span = (ay <= y) != (by <= y)
+            n += span & (x < ax + (y - ay) * (bx - ax) / np.where(span, by - ay, 1.0))
+        return n % 2 == 1
+
+    ring = {k: r[0] for k, r in rows}
+    held = {k: inside(r, xs, ys) for k, r in ring.items()}
+    got = {(r["feature_id"], r["other_id"]): r for r in Q.overlap_areas(outlines(spark, rows), 7.0).collect()}
+    for i, a in enumerate(sorted(ring)):
+        for b in sorted(ring)[i + 1:]:
+            want = (held[a] & held[b]).sum() * (30 / 700) ** 2
+            assert want < 0.3 if (a, b) not in got else got[a, b]["shared_area"] == pytest.approx(want, abs=0.3)
+    assert len(got) > 5
+    for (a, b), r in got.items():
+        assert inside(ring[a], r["x"], r["y"]) and inside(ring[b], r["x"], r["y"])
+
+
 def lines(spark, rows):
     d = spark.createDataFrame([("ROAD", f"l{i}", i, *map(float, r)) for i, r in enumerate(rows)], "dataset string, feature_id string, pos long, a double, b double, c double, d double")
     return d.withColumn("geom", G.line(F.array(G.vertex("a", "b"), G.vertex("c", "d"))))
