@@ -6,6 +6,7 @@ import re
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,9 +128,11 @@ def _wkb(g) -> bytes | None:
     return struct.pack("<BII", 1, _CODE[kind] + (1000 if has_z(parts) else 0), len(parts)) + b"".join(one(k, p) for k, p in zip(kinds, parts))
 
 
-@F.pandas_udf(T.BinaryType())
-def wkb_of(kind: pd.Series, parts: pd.Series, members: pd.Series) -> pd.Series:
-    return pd.Series([None if k is None else _wkb({"kind": k, "parts": p, "members": m}) for k, p, m in zip(kind, parts, members)], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def wkb_of(kind: pa.Array, parts: pa.Array, members: pa.Array) -> pa.Array:
+    """Rings of different lengths have no numpy form, so the batch stays in Arrow."""
+    rows = zip(kind.to_pylist(), parts.to_pylist(), members.to_pylist())
+    return pa.array([None if k is None else _wkb({"kind": k, "parts": p, "members": m}) for k, p, m in rows], pa.binary())
 
 
 def to_wkb(g) -> Column:

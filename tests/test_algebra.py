@@ -145,6 +145,13 @@ def test_simplify_keeps_rings_closed_and_simple(spark):
     assert not B._crosses(xy)
 
 
+def test_simplify_keeps_holes_of_other_lengths(spark):
+    ring = lambda n, r: [(r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n), None) for i in [*range(n), 0]]
+    d = spark.createDataFrame([(1, [ring(200, 10), ring(90, 4)]), (2, [ring(200, 10)])], f"id int, p array<{G.RING}>").select("id", G.make_geom(G.POLYGON, F.array("p")).alias("geom"))
+    rows = {r["id"]: r["geom"]["parts"][0] for r in B.simplify(d, 0.2).collect()}
+    assert [len(rows[1]), len(rows[2])] == [2, 1] and all(4 <= len(r) < 60 and r[0] == r[-1] for p in rows.values() for r in p)
+
+
 def test_hull_in_two_steps_equals_hull_in_one(spark):
     rng = random.Random(1)
     pts = [(rng.gauss(0, 5), rng.gauss(0, 5)) for _ in range(500)]

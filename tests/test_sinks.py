@@ -1,6 +1,8 @@
 """Writers: what is on disk reads back as what went in."""
 
 import json
+import re
+import struct
 
 from pyspark.sql import functions as F
 
@@ -53,6 +55,44 @@ def test_wkb_reads_in_an_independent_reader(spark):
     assert h["2"] is None and h["1"].startswith("0103000000" + "01000000" + "05000000") and len(h["1"]) == 2 * (9 + 4 + 80)
 
 
+def test_wkb_of_holes_of_other_lengths(spark):
+    texts = ["POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 2 2, 2 1, 1 1))", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0)), ((5 5, 9 5, 9 9, 5 5), (6 5.5, 7 6, 7 5.5, 6 5.5)))", "MULTIPOINT ((1 2), (3 4))"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.to_wkb(E.geom_from_wkt("t")).alias("b"))
+
+    def read(b):
+        """Coordinates in order, by a reader of its own."""
+        kind, at = struct.unpack_from("<I", b, 1)[0], 5
+
+        def numbers(n):
+            nonlocal at
+            at += 8 * n
+            return list(struct.unpack_from(f"<{n}d", b, at - 8 * n))
+
+        def count():
+            nonlocal at
+            at += 4
+            return struct.unpack_from("<I", b, at - 4)[0]
+
+        def body(kind):
+            nonlocal at
+            if kind == 1:
+                return numbers(2)
+            if kind == 3:
+                return [v for _ in range(count()) for v in numbers(2 * count())]
+            out = []
+            for _ in range(count()):
+                at += 5
+                out += body(struct.unpack_from("<I", b, at - 4)[0])
+            return out
+
+        out = body(kind)
+        assert at == len(b)
+        return out
+
+    for t, b in d.collect():
+        assert read(bytes(b)) == [float(v) for v in re.findall(r"[0-9.]+", t)]
+
+
 def test_one_output_per_class(spark, tmp_path):
     st = K.write_by_class(features(spark), str(tmp_path / "o"), "geojson", ["name"])
     assert st == {"Road": "ok", "a_b_c": "ok", "layer": "ok"}
