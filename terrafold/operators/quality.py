@@ -196,18 +196,6 @@ def check_geometry(features: DataFrame, vertex_tol: float = 1e-8, min_length: fl
 
 # --- topology ---------------------------------------------------------------------------------------
 
-def is_rectangle(geom: str = "geom", box=S.BOX) -> Column:
-    """One ring of five vertices that follows the sides of its envelope."""
-    x0, y0, x1, y1 = (G._c(c) for c in box)
-    part = F.get(F.col(geom)["parts"], F.lit(0))
-    ring = F.get(part, F.lit(0))
-    corner = lambda v: ((v["x"] == x0) | (v["x"] == x1)) & ((v["y"] == y0) | (v["y"] == y1))
-    side = lambda a, b: (a["x"] == b["x"]) != (a["y"] == b["y"])
-    return F.coalesce(
-        (F.size(F.col(geom)["parts"]) == 1) & (F.size(part) == 1) & (F.size(ring) == 5) & G.is_closed(ring) & F.forall(ring, corner)
-        & F.forall(G.edges_of(ring, side), lambda e: e) & (G.ring_signed_area(ring) != 0), F.lit(False))
-
-
 def _shared_regions(pairs: DataFrame, min_area: float) -> DataFrame:
     """``pair_id, shared_area, x, y`` of polygon pairs that overlap: neither covers the other, and they share area.
 
@@ -249,7 +237,7 @@ def overlap_areas(features: DataFrame, size: float, min_area: float = 1e-6, **kw
 
     known = features.where(F.col("minx").isNotNull())
     if "geom" in features.columns:
-        known = known.where(~G.is_empty("geom") & (G.base_kind("geom") == G.POLYGON)).withColumn("_plain", is_rectangle())
+        known = known.where(~G.is_empty("geom") & (G.base_kind("geom") == G.POLYGON)).withColumn("_plain", S.is_rectangle())
         known = known.withColumn("_g", F.when(F.col("_plain"), row_id("dataset", *S.BOX)).otherwise(row_id("dataset", "geom")))
         mixed = not known.where(~F.col("_plain")).isEmpty()
     else:

@@ -32,6 +32,31 @@ def overlaps(spark, sf):
         "feature_id", "other_id", F.round("shared_area", 6).alias("shared_area"))
 
 
+# An L-shaped plot with a hole is its square less two squares, so shared areas are signed sums over rectangles.
+V.CTE["plotparts"] = """SELECT id, id % 3 = 0 AS whole, 1 AS sgn, minx AS x0, miny AS y0, maxx AS x1, maxy AS y1 FROM /*parcels*/ parcels
+ UNION ALL SELECT id, false, -1, minx + (maxx-minx)/2, miny + (maxx-minx)/2, maxx, maxy FROM parcels WHERE id % 3 <> 0
+ UNION ALL SELECT id, false, -1, minx + (maxx-minx)/8, miny + (maxx-minx)/8, minx + (maxx-minx)/4, miny + (maxx-minx)/4 FROM parcels WHERE id % 3 <> 0"""
+
+
+def outline_features(spark, sf):
+    """Parcels as squares and as L-shaped plots with a hole."""
+    square = V.parcel_geoms(spark, sf).where("id % 3 = 0").select("id", "geom")
+    d = V.plots(spark, sf).where("id % 3 <> 0").select("id", "geom").unionByName(square)
+    return G.with_envelope(d).select(F.lit("PLOT").alias("dataset"), F.col("id").alias("feature_id"), F.col("id").alias("pos"), *Q.S.BOX, "geom")
+
+
+# Areas are multiples of (0.1 / 8)², so eight digits hold them without a tie.
+@query("overlaps_of_outlines", with_sql("plotparts", body="""
+SELECT feature_id, other_id, round(shared, 8) AS shared_area FROM (
+ SELECT a.id AS feature_id, b.id AS other_id, sum(a.sgn * b.sgn * (least(a.x1,b.x1)-greatest(a.x0,b.x0)) * (least(a.y1,b.y1)-greatest(a.y0,b.y0))) AS shared
+ FROM plotparts a JOIN plotparts b ON a.id < b.id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 GROUP BY 1, 2) s
+JOIN (SELECT id, sum(sgn * (x1-x0) * (y1-y0)) AS own_a FROM plotparts GROUP BY 1) a ON a.id = feature_id
+JOIN (SELECT id, sum(sgn * (x1-x0) * (y1-y0)) AS own_b FROM plotparts GROUP BY 1) b ON b.id = other_id
+WHERE shared > 1e-6 AND shared < own_a - 1e-6 AND shared < own_b - 1e-6"""))
+def overlaps_of_outlines(spark, sf):
+    return Q.overlap_areas(outline_features(spark, sf), 20.0).select("feature_id", "other_id", F.round("shared_area", 8).alias("shared_area"))
+
+
 def sliver_features(spark, sf):
     k = F.col("o_orderkey")
     x, y = ((k * 7919) % 20000) / 10.0, ((k * 104729) % 20000) / 10.0
