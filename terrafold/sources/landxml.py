@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import curves as C
 from ..functions import geometry as G
 from ..functions.values import as_double
+from ..operators.common import dense_position
 from ..operators.relations import pipe_lines, tin_faces
 
 CG = ["name", "oID", "code", "desc", "state", "pntSurv"]
@@ -101,22 +102,31 @@ def _line_or_area(path: Column) -> tuple[Column, Column]:
     return kind, geom
 
 
+def _names(d: DataFrame, word: str) -> DataFrame:
+    """``name`` of each row: its own, else ``word`` and its place among the document's rows, from one.
+
+    Splits of a file are read in its order (equal ones first, the shorter last), so row ids follow it too.
+    """
+    d = dense_position(d.withColumn("_row", F.monotonically_increasing_id()), "_row", "_nth", ["doc_id"])
+    return d.withColumn("name", F.coalesce("_name", F.concat(F.lit(word), (F.col("_nth") + 1).cast("string"))))
+
+
 def read_parcels(spark, path) -> DataFrame:
     names = ["name", "area", "desc", "parcelType", "state", "class", "useOfParcel", "owner"]
     d = _rows(spark, path, "Parcel", f"{_attrs(names)}, CoordGeom string")
-    d = G.pin(d, v=coord_geom("CoordGeom")).where(F.size("v") >= 3)
+    d = _names(G.pin(d, v=coord_geom("CoordGeom")).where(F.size("v") >= 3), "Parcel")
     ring = _close(F.col("v"))
     geom = F.when(F.size(ring) >= 4, G.make_geom(G.POLYGON, F.array(F.array(ring)))).otherwise(G.line(ring))
-    return _element(d, "Parcels", F.concat(F.lit("parcel:"), "_name"), "Polygon", geom, "Parcel", {
-        "Layer": F.lit("Parcels"), "ParcelName": F.col("_name"), "Area": F.col("_area"), "Description": F.col("_desc"), "ParcelType": F.col("_parcelType"),
+    return _element(d, "Parcels", F.concat(F.lit("parcel:"), "name"), "Polygon", geom, "Parcel", {
+        "Layer": F.lit("Parcels"), "ParcelName": F.col("name"), "Area": F.col("_area"), "Description": F.col("_desc"), "ParcelType": F.col("_parcelType"),
         "State": F.col("_state"), "Class": F.col("_class"), "UseOfParcel": F.col("_useOfParcel"), "Owner": F.col("_owner")})
 
 
 def read_alignments(spark, path) -> DataFrame:
     d = _rows(spark, path, "Alignment", f"{_attrs(['name', 'length', 'staStart', 'desc', 'state'])}, CoordGeom string")
-    d = G.pin(d, v=coord_geom("CoordGeom")).where(F.size("v") >= 2)
-    return _element(d, "Alignments", F.concat(F.lit("alignment:"), "_name"), "Line", G.line(F.col("v")), "Alignment", {
-        "Layer": F.lit("Alignments"), "AlignmentName": F.col("_name"), "Length": F.col("_length"), "StartStation": F.col("_staStart"), "Description": F.col("_desc"), "State": F.col("_state")})
+    d = _names(G.pin(d, v=coord_geom("CoordGeom")).where(F.size("v") >= 2), "Alignment")
+    return _element(d, "Alignments", F.concat(F.lit("alignment:"), "name"), "Line", G.line(F.col("v")), "Alignment", {
+        "Layer": F.lit("Alignments"), "AlignmentName": F.col("name"), "Length": F.col("_length"), "StartStation": F.col("_staStart"), "Description": F.col("_desc"), "State": F.col("_state")})
 
 
 def read_plan_features(spark, path) -> DataFrame:
@@ -135,21 +145,22 @@ Boundaries:array<struct<Boundary:array<struct<_name:string,_bndType:string,_edge
 Definition struct<Pnts:struct<P:array<struct<_id:string,_VALUE:string>>>, Faces:array<struct<F:array<struct<_n:string,_i:string,_VALUE:string>>>>>"""
 
 
-def _run(p: str) -> Column:
-    return F.when(F.col(f"{p}.PntList3D").isNotNull(), parse_list(f"{p}.PntList3D")).otherwise(parse_list(f"{p}.PntList2D", 2))
+def _run(p: Column) -> Column:
+    return F.when(p["PntList3D"].isNotNull(), parse_list(p["PntList3D"])).otherwise(parse_list(p["PntList2D"], 2))
 
 
 def read_breaklines(spark, path) -> DataFrame:
-    d = _rows(spark, path, "Surface", SURFACE).select("doc_id", F.col("_name").alias("s"), F.explode(F.flatten("SourceData.Breaklines.Breakline")).alias("b"))
-    d = G.pin(d, v=_run("b")).where(F.size("v") >= 2)
+    d = _rows(spark, path, "Surface", SURFACE).select("doc_id", F.col("_name").alias("s"), F.posexplode(
+        F.filter(F.flatten("SourceData.Breaklines.Breakline"), lambda b: F.size(_run(b)) >= 2)).alias("i", "b"))
+    d = G.pin(d, v=_run(F.col("b")), name=F.coalesce("b._name", F.concat(F.lit("Breakline"), (F.col("i") + 1).cast("string"))))
     layer = F.concat(F.lit("Breaklines:"), "s")
-    return _element(d, layer, F.concat_ws(":", F.lit("breakline"), "s", "b._name"), "Line", G.line(F.col("v")), "Breakline", {
-        "Layer": layer, "SurfaceName": F.col("s"), "BreaklineName": F.col("b._name"), "BreaklineType": F.col("b._brkType"), "Description": F.col("b._desc")})
+    return _element(d, layer, F.concat_ws(":", F.lit("breakline"), "s", "name"), "Line", G.line(F.col("v")), "Breakline", {
+        "Layer": layer, "SurfaceName": F.col("s"), "BreaklineName": F.col("name"), "BreaklineType": F.col("b._brkType"), "Description": F.col("b._desc")})
 
 
 def read_boundaries(spark, path) -> DataFrame:
     d = _rows(spark, path, "Surface", SURFACE).select("doc_id", F.col("_name").alias("s"), F.explode(F.flatten("SourceData.Boundaries.Boundary")).alias("b"))
-    d = G.pin(d, v=_run("b")).where(F.size("v") >= 3)
+    d = G.pin(d, v=_run(F.col("b"))).where(F.size("v") >= 3)
     ring = _close(F.col("v"))
     layer = F.concat(F.lit("Boundaries:"), "s")
     geom = F.when(F.size(ring) >= 4, G.make_geom(G.POLYGON, F.array(F.array(ring)))).otherwise(G.line(ring))

@@ -56,6 +56,19 @@ def test_landxml_collections(spark, survey):
     assert [(v["x"], v["y"]) for v in pipes[0]["geom"]["parts"][0][0]] == [(0.0, 0.0), (40.0, 0.0)]
 
 
+def test_unnamed_survey_objects_are_numbered(spark, tmp_path):
+    """The number counts the objects read so far, named ones included, and skips those without a shape."""
+    geom = "<CoordGeom><Line><Start>0 0</Start><End>0 9</End></Line><Line><Start>0 9</Start><End>9 9</End></Line></CoordGeom>"
+    line = "<PntList3D>0 0 1 5 5 2</PntList3D>"
+    (tmp_path / "a.xml").write_text(
+        f"<LandXML><Parcel>{geom}</Parcel><Parcel/><Parcel name='A'>{geom}</Parcel><Parcel>{geom}</Parcel><Alignment name='R'>{geom}</Alignment><Alignment>{geom}</Alignment>"
+        f"<Surface name='S'><SourceData><Breaklines><Breakline>{line}</Breakline><Breakline/><Breakline>{line}</Breakline></Breaklines></SourceData></Surface></LandXML>")
+    ids = lambda c: sorted(r["element_id"] for r in landxml.read_landxml(spark, str(tmp_path), c).collect())
+    assert ids("parcels") == ["parcel:A", "parcel:Parcel1", "parcel:Parcel3"]
+    assert ids("alignments") == ["alignment:Alignment2", "alignment:R"]
+    assert ids("breaklines") == ["breakline:S:Breakline1", "breakline:S:Breakline2"]
+
+
 def test_points_keep_physical_line_numbers_across_splits(spark, tmp_path):
     n = 4000
     body = ["e;n;ELEV;Code;note"] + [f"{i}.5;{i};;{'ROAD' if i % 2 else ''};row {i}" if i % 100 else "  " for i in range(2, n + 2)]
