@@ -106,15 +106,6 @@ def linear_model(weights: np.ndarray, bias: np.ndarray) -> Callable:
     return lambda x: x @ weights + bias
 
 
-def onnx_model(path: str) -> Callable:
-    """Scorer backed by a model file, opened once per task."""
-    import onnxruntime
-
-    session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
-    name = session.get_inputs()[0].name
-    return lambda x: session.run(None, {name: x.astype(np.float32)})[0]
-
-
 def model_logits(subjects: DataFrame, load: Callable[[], Callable], dim: int = 512, text: str = "descriptor") -> DataFrame:
     """``subject_id, logits`` of each subject; ``load`` runs once per task and returns the scorer."""
     def score(batches):
