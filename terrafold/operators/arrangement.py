@@ -415,14 +415,47 @@ def _line_ends(df: DataFrame, key: str, geom: str) -> DataFrame:
     return e.groupBy(key, F.col("v.x").alias("x"), F.col("v.y").alias("y")).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "x", "y")
 
 
+def _place(g: Column, v: Column) -> Column:
+    """``1`` in the interior of a geometry, ``0`` on its boundary, ``-1`` outside."""
+    same = lambda e: (e["x"] == v["x"]) & (e["y"] == v["y"])
+    ends = F.flatten(F.transform(F.filter(G.rings(g), lambda r: F.size(r) > 1), lambda r: F.array(F.get(r, F.lit(0)), F.element_at(r, -1))))
+
+    def on(a, b):
+        cross = (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"])
+        return (cross == 0) & v["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & v["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    path = F.when(F.size(F.filter(ends, same)) % 2 == 1, 0).when(F.exists(G.rings(g), lambda r: F.exists(G.edges_of(r, on), lambda e: e)), 1).otherwise(-1)
+    kind = G.base_kind(g)
+    return F.when(kind == G.POLYGON, S.point_in_polygon(g, v["x"], v["y"])).when(kind == G.LINE, path).otherwise(F.when(F.exists(G.vertices(g), same), 1).otherwise(-1))
+
+
+def _relate_points(p: DataFrame, key: str) -> DataFrame:
+    """Matrices of pairs with points on a side, found with the points first and turned over where they are second."""
+    turned = F.col("da") > 0
+    d = p.select(key, "da", "db", turned.alias("_t"), F.when(turned, F.col("geom_b")).otherwise(F.col("geom_a")).alias("_p"),
+                 F.when(turned, F.col("geom_a")).otherwise(F.col("geom_b")).alias("_g"), F.greatest("da", "db").alias("_d"))
+    g = F.col("_g")
+    d = G.pin(d, _at=F.transform(G.vertices("_p"), lambda v: _place(g, v)))
+    has = lambda n: F.when(F.array_contains("_at", n), "0").otherwise("F")
+    missed = lambda vs: F.exists(vs, lambda e: ~F.exists(G.vertices("_p"), lambda v: (e["x"] == v["x"]) & (e["y"] == v["y"])))
+    ends = F.filter(F.flatten(G.rings("_g")), lambda e: _place(g, e) == 0)
+    inner = F.when(F.col("_d") == 2, "2").when(F.col("_d") == 1, "1").otherwise(F.when(missed(G.vertices("_g")), "0").otherwise("F"))
+    rim = F.when(F.col("_d") == 2, "1").when(F.col("_d") == 1, F.when(missed(ends), "0").otherwise("F")).otherwise("F")
+    m = F.concat(has(1), has(0), has(-1), F.lit("FFF"), inner, rim, F.lit("2"))
+    over = F.concat(*[F.substring(m, i, 1) for i in (1, 4, 7, 2, 5, 8, 3, 6, 9)])
+    return d.select(key, F.when(F.col("_t"), over).otherwise(m).alias("matrix"), "da", "db")
+
+
 def st_relate(pairs: DataFrame, key: str = "pair_id", a: str = "geom_a", b: str = "geom_b") -> DataFrame:
-    """``key, matrix`` of line and polygon pairs; a pair with an empty side has no row.
+    """``key, matrix, da, db`` of point, line and polygon pairs; a pair with an empty side has no row.
 
-    Read off the labelled pieces: which parts of each outline lie in, out of or on the other, and which
-    meeting points are ends of lines.
+    Points are located in the row.  Else the matrix is read off the labelled pieces: which parts of each
+    outline lie in, out of or on the other, and which meeting points are ends of lines.
     """
     p = pairs.where(~G.is_empty(a) & ~G.is_empty(b)).select(key, F.col(a).alias("geom_a"), F.col(b).alias("geom_b"))
     p = p.withColumns({"da": dimension("geom_a"), "db": dimension("geom_b")})
+    points = _relate_points(p.where("da = 0 or db = 0"), key)
+    p = p.where("da > 0 and db > 0")
     u, hit, _ = label_pairs(p, key)
     only_a, only_b = (F.col("fb") + F.col("rb") == 0), (F.col("fa") + F.col("ra") == 0)
     has = lambda c: F.max(F.when(c, 1).otherwise(0))
@@ -459,7 +492,34 @@ def st_relate(pairs: DataFrame, key: str = "pair_id", a: str = "geom_a", b: str
         cell((both & c("a_out"), "1"), (ap & c("ea_out"), "0"), (pa & c("a_out"), "1"), (ll & c("ea_out"), "0")),
         cell((both & (c("b_out") | c("a_in") | c("opp")), "2"), (ap, "2"), (pa & c("b_out"), "1"), (ll & c("b_out"), "1")),
         cell((both & c("b_out"), "1"), (ap & c("b_out"), "1"), (pa & c("eb_out"), "0"), (ll & c("eb_out"), "0")), F.lit("2"))
-    return d.select(key, m.alias("matrix"), "da", "db")
+    return d.select(key, m.alias("matrix"), "da", "db").unionByName(points)
+
+
+def geometry_join(left: DataFrame, right: DataFrame, predicate: str, size: float, lid: str = "lid", rid: str = "rid",
+                  lgeom: str = "lgeom", rgeom: str = "rgeom", **kw) -> DataFrame:
+    """``lid, rid`` of the pairs for which the left geometry stands in ``predicate`` to the right one.
+
+    Envelopes bring candidates together; two rectangles are decided by their sides, other pairs by their
+    relation.  ``disjoint`` is no pair join: it returns the ``lid`` of left rows that meet no right row.
+    """
+    if predicate not in S.PREDICATES:
+        raise ValueError(f"no predicate {predicate!r}")
+    if predicate == "disjoint":
+        met = geometry_join(left, right, "intersects", size, lid, rid, lgeom, rgeom, **kw).select(lid).distinct()
+        return left.where(~G.is_empty(lgeom)).select(lid).join(met, lid, "left_anti")
+    lb, rb = tuple("l_" + c for c in S.BOX), tuple("r_" + c for c in S.BOX)
+
+    def boxed(df, k, g, box):
+        d = G.with_envelope(df.select(k, g), g).withColumnsRenamed(dict(zip(S.BOX, box)))
+        return d.withColumn(f"{box[0]}_plain", S.is_rectangle(g, box))
+
+    l, r = boxed(left, lid, lgeom, lb), boxed(right, rid, rgeom, rb)
+    j = S.box_pairs(l, r, size, lb, rb, **kw)
+    plain = F.col(f"{lb[0]}_plain") & F.col(f"{rb[0]}_plain")
+    found = j.where(plain & S.box_predicate(predicate, lb, rb)).select(lid, rid)
+    rest = cut_lineage(j.where(~plain).select(row_id(lid, rid).alias("pair_id"), lid, rid, F.col(lgeom).alias("geom_a"), F.col(rgeom).alias("geom_b")))
+    m = st_relate(rest).where(st_predicate(predicate, "matrix", "da", "db")).select("pair_id")
+    return found.unionByName(rest.select("pair_id", lid, rid).join(m, "pair_id").select(lid, rid))
 
 
 # --- buffer --------------------------------------------------------------------------------------------------------

@@ -108,6 +108,18 @@ def box_predicate(name: str, a: tuple, b: tuple) -> Column:
     }[name]
 
 
+def is_rectangle(geom: str = "geom", box=BOX) -> Column:
+    """One ring of five vertices that follows the sides of its envelope."""
+    x0, y0, x1, y1 = (G._c(c) for c in box)
+    part = F.get(F.col(geom)["parts"], F.lit(0))
+    ring = F.get(part, F.lit(0))
+    corner = lambda v: ((v["x"] == x0) | (v["x"] == x1)) & ((v["y"] == y0) | (v["y"] == y1))
+    side = lambda a, b: (a["x"] == b["x"]) != (a["y"] == b["y"])
+    return F.coalesce(
+        (F.size(F.col(geom)["parts"]) == 1) & (F.size(part) == 1) & (F.size(ring) == 5) & G.is_closed(ring) & F.forall(ring, corner)
+        & F.forall(G.edges_of(ring, side), lambda e: e) & (G.ring_signed_area(ring) != 0), F.lit(False))
+
+
 def point_in_rings(rings: Column, x, y) -> Column:
     """``1`` inside, ``0`` on the boundary, ``-1`` outside, by the even-odd rule over all rings."""
     x, y = G._c(x), G._c(y)
@@ -133,8 +145,9 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, size: float,
                  lbox=BOX, rbox=BOX, exact: Column | None = None, **kw) -> DataFrame:
     """Pairs for which ``left predicate right`` holds.
 
-    ``exact`` replaces the rectangle test by any column over the candidate pair.  ``disjoint`` is not a
-    pair join: it returns the left rows that meet no right row.
+    For rows that are rectangles; ``arrangement.geometry_join`` answers for any geometry.  ``exact`` replaces
+    the rectangle test by any column over the candidate pair.  ``disjoint`` is not a pair join: it returns the
+    left rows that meet no right row.
     """
     if predicate == "disjoint":
         keyed = left.where(G._c(lbox[0]).isNotNull())
@@ -157,8 +170,15 @@ def disjoint_from(df: DataFrame, box: tuple[float, float, float, float], cols=BO
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, lxy=("lx", "ly"), rxy=("rx", "ry"),
                 geographic: bool = False, out: str = "distance") -> DataFrame:
-    """Point pairs no farther apart than ``radius`` (metres when geographic), with the distance."""
+    """Point pairs no farther apart than ``radius`` (metres when geographic), with the distance.
+
+    A radius of zero pairs points of equal coordinates.
+    """
     lx, ly, rx, ry = (G._c(c) for c in (*lxy, *rxy))
+    if not radius >= 0:
+        raise ValueError("the radius must not be negative")
+    if radius == 0:
+        return left.join(right, (lx == rx) & (ly == ry)).withColumn(out, F.lit(0.0))
     if not geographic:
         l = left.withColumn("_cx", F.explode(F.sequence(_cell(lx - radius, radius), _cell(lx + radius, radius)))) \
                 .withColumn("_cy", F.explode(F.sequence(_cell(ly - radius, radius), _cell(ly + radius, radius))))

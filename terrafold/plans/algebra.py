@@ -68,6 +68,32 @@ def relation_matrix(spark, sf):
     return r.select("pair_id", "matrix", p("touches").alias("touches"), p("within").alias("within"), p("overlaps").alias("overlaps"))
 
 
+# A plot as closed rectangles that cover it: below, left of, right of and above its hole.
+V.CTE["plotcover"] = """SELECT id, minx AS x0, miny AS y0, maxx AS x1, miny + (maxx-minx)/8 AS y1 FROM /*parcels*/ parcels
+ UNION ALL SELECT id, minx, miny, minx + (maxx-minx)/8, maxy FROM parcels
+ UNION ALL SELECT id, minx + (maxx-minx)/4, miny, maxx, miny + (maxx-minx)/2 FROM parcels
+ UNION ALL SELECT id, minx, miny + (maxx-minx)/4, minx + (maxx-minx)/2, maxy FROM parcels"""
+
+
+def plots_in_zones(spark, sf, predicate):
+    z = _zones(spark, sf).select(F.col("zone").alias("rid"), G.rect(*S.BOX).alias("rgeom"))
+    return A.geometry_join(V.plots(spark, sf).select(F.col("id").alias("lid"), F.col("geom").alias("lgeom")), z, predicate, 50.0).select(
+        F.col("lid").alias("id"), F.col("rid").alias("zone"))
+
+
+@query("geometry_join_intersects", with_sql("plotcover", "zones", body="""
+SELECT DISTINCT p.id, z.zone FROM plotcover p JOIN zones z
+ ON p.x0 <= z.maxx + 1e-9 AND p.x1 >= z.minx - 1e-9 AND p.y0 <= z.maxy + 1e-9 AND p.y1 >= z.miny - 1e-9"""))
+def geometry_join_intersects(spark, sf):
+    return plots_in_zones(spark, sf, "intersects")
+
+
+@query("geometry_join_within", with_sql("parcels", "zones", body="""
+SELECT p.id, z.zone FROM parcels p JOIN zones z ON p.minx >= z.minx - 1e-9 AND p.maxx <= z.maxx + 1e-9 AND p.miny >= z.miny - 1e-9 AND p.maxy <= z.maxy + 1e-9"""))
+def geometry_join_within(spark, sf):
+    return plots_in_zones(spark, sf, "within")
+
+
 @query("line_relations")
 def line_relations(spark, sf):
     """Road lines against the zones they meet: named predicates of a line and a polygon."""

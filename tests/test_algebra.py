@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.functions import encode as E
 from terrafold.functions import geometry as G
 from terrafold.operators import arrangement as A
 from terrafold.operators import build as B
@@ -101,6 +102,50 @@ def test_line_relations(spark):
     assert crosses == {"through", "cross"}
 
 
+def shape_rows(spark, rows, names):
+    """Rows of WKT as geometry columns."""
+    d = spark.createDataFrame(rows, ", ".join(["id string", *(f"{n}_t string" for n in names)]))
+    return d.select("id", *[E.geom_from_wkt(f"{n}_t").alias(n) for n in names])
+
+
+POINT_CASES = {
+    "in": ("POINT (2 2)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "0FFFFF212"), "rim": ("POINT (4 2)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "F0FFFF212"),
+    "out": ("POINT (9 9)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "FF0FFF212"), "holds": ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POINT (2 2)", "0F2FF1FF2"),
+    "some": ("MULTIPOINT ((2 2), (9 9))", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "0F0FFF212"), "mid": ("POINT (1 0)", "LINESTRING (0 0, 4 0)", "0FFFFF102"),
+    "end": ("POINT (0 0)", "LINESTRING (0 0, 4 0)", "F0FFFF102"), "both ends": ("MULTIPOINT ((0 0), (4 0))", "LINESTRING (0 0, 4 0)", "F0FFFF1F2"),
+    "same": ("POINT (1 2)", "POINT (1 2)", "0FFFFFFF2"), "other": ("POINT (1 2)", "POINT (1 3)", "FF0FFF0F2"), "part": ("MULTIPOINT ((1 2), (5 5))", "POINT (1 2)", "0F0FFFFF2"),
+}
+
+
+def test_relations_of_points(spark):
+    d = shape_rows(spark, [(k, a, b) for k, (a, b, _) in POINT_CASES.items()], ["geom_a", "geom_b"])
+    got = A.st_relate(d, "id").cache()
+    assert {r["id"]: r["matrix"] for r in got.collect()} == {k: m for k, (_, _, m) in POINT_CASES.items()}
+    named = lambda n: {r[0] for r in got.where(A.st_predicate(n, "matrix", "da", "db")).select("id").collect()}
+    assert named("touches") == {"rim", "end", "both ends"} and named("crosses") == {"some"}
+    assert named("contains") == {"holds", "same", "part"} and named("disjoint") == {"out", "other"}
+
+
+def test_geometry_join_of_any_kind(spark):
+    left = shape_rows(spark, [("l", "POLYGON ((0 0, 20 0, 20 10, 10 10, 10 20, 0 20, 0 0))"), ("tri", "POLYGON ((0 0, 10 0, 0 10, 0 0))"), ("pt", "POINT (15 15)"),
+                              ("road", "LINESTRING (-5 5, 30 5)"), ("far", "POLYGON ((90 90, 95 90, 95 95, 90 95, 90 90))"), ("none", "POLYGON EMPTY")], ["lgeom"]).withColumnRenamed("id", "lid")
+    right = shape_rows(spark, [("notch", "POLYGON ((12 12, 18 12, 18 18, 12 18, 12 12))"), ("far too", "POLYGON ((90 90, 95 90, 95 95, 90 95, 90 90))"),
+                               ("half", "POLYGON ((10 10, 0 10, 10 0, 10 10))")], ["rgeom"]).withColumnRenamed("id", "rid")
+    got = {n: {tuple(r) for r in A.geometry_join(left, right, n, 7.0).collect()} for n in ("intersects", "touches", "within", "contains", "overlaps", "crosses", "disjoint")}
+    assert got["intersects"] == {("l", "half"), ("tri", "half"), ("pt", "notch"), ("road", "half"), ("far", "far too")}
+    assert got["touches"] == {("tri", "half")} and got["within"] == {("pt", "notch"), ("far", "far too")}
+    assert got["contains"] == {("l", "half"), ("far", "far too")} and got["overlaps"] == set() and got["crosses"] == {("road", "half")}
+    assert got["disjoint"] == set()
+    assert {r[0] for r in A.geometry_join(left, right.where("rid = 'notch'"), "disjoint", 7.0).collect()} == {"l", "tri", "road", "far"}
+
+
+def test_radius_of_zero_pairs_equal_places(spark):
+    l = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0)], "lid int, lx double, ly double")
+    r = spark.createDataFrame([(7, 1.0, 1.0), (8, 1.0, 2.0)], "rid int, rx double, ry double")
+    for geographic in (False, True):
+        assert [(x["lid"], x["rid"], x["distance"]) for x in S.radius_join(l, r, 0.0, geographic=geographic).collect()] == [(2, 7, 0.0)]
+
+
 def test_pattern_must_have_nine_characters():
     with pytest.raises(ValueError):
         A.matches(F.lit("FFFFFFFFF"), "T*")
