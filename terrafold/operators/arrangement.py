@@ -118,16 +118,18 @@ def undirected(pieces: DataFrame, on: list[str], **aggs: Column) -> DataFrame:
     return d.groupBy(*on, "ax", "ay", "bx", "by").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def winding(points: DataFrame, edges: DataFrame, on: list[str], pid: str, band: Column) -> DataFrame:
+def winding(points: DataFrame, edges: DataFrame, on: list[str], pid: str, band: Column, skip: Column | None = None) -> DataFrame:
     """Signed crossings to the right of each point (``mx, my``) by the edges of its key, as ``pid, w``.
 
-    Points and edges meet in horizontal bands of height ``band``, a column both carry.
+    Points and edges meet in horizontal bands of height ``band``, a column both carry.  Edges for which
+    ``skip`` holds, a column over both, do not count.
     """
     b = lambda v: F.floor(v / band).cast("long")
     e = edges.where(F.col("y1") != F.col("y2")).withColumn("_b", F.explode(F.sequence(b(F.least("y1", "y2")), b(F.greatest("y1", "y2")))))
     p = points.withColumn("_b", b(F.col("my")))
     drop = [c for c in e.columns if c in p.columns and c not in (*on, "_b")]
     j = p.join(e.drop(*drop), [*on, "_b"])
+    j = j if skip is None else j.where(~skip)
     up = (F.col("y1") <= F.col("my")) & (F.col("y2") > F.col("my"))
     down = (F.col("y2") <= F.col("my")) & (F.col("y1") > F.col("my"))
     cross = (F.col("x2") - F.col("x1")) * (F.col("my") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("mx") - F.col("x1"))
@@ -342,14 +344,15 @@ def repair_edges(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     pieces = cut_lineage(node_edges(edges, [key], F.col("cell")))
     u = undirected(pieces, [key, "cell"], fw=F.count_if(F.col("_f") == F.lit(False)), bw=F.count_if(F.col("_f")))
     u = cut_lineage(u.withColumn("uid", row_id(key, "ax", "ay", "bx", "by")))
-    # Winding just left of a piece: the crossings right of its middle, less its own copies.
-    nx, ny = F.col("ay") - F.col("by"), F.col("bx") - F.col("ax")
-    eps = F.lit(1e-6)
-    probe = lambda s: u.select(key, "cell", F.col("uid"), (F.col("ax") / 2 + F.col("bx") / 2 + nx * eps * s).alias("mx"), (F.col("ay") / 2 + F.col("by") / 2 + ny * eps * s).alias("my"))
-    src = pieces.select(key, "cell", *EDGE)
-    wl = winding(probe(1.0), src, [key], "uid", F.col("cell")).withColumnRenamed("w", "wl")
-    wr = winding(probe(-1.0), src, [key], "uid", F.col("cell")).withColumnRenamed("w", "wr")
-    u = u.join(wl, "uid", "left").join(wr, "uid", "left").withColumns({"wl": F.coalesce("wl", F.lit(0)), "wr": F.coalesce("wr", F.lit(0))})
+    # The ray from a piece's middle, without the piece's own copies, tells the winding on the side it leaves to
+    # (a level piece counts as left to above); crossing the piece adds its copies.  No offset, so nothing is too thin.
+    mids = u.select(key, "cell", "uid", "ax", "ay", "bx", "by", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
+    same = lambda p, q, r, t: (F.col("x1") == F.col(p)) & (F.col("y1") == F.col(q)) & (F.col("x2") == F.col(r)) & (F.col("y2") == F.col(t))
+    own = same("ax", "ay", "bx", "by") | same("bx", "by", "ax", "ay")
+    w = winding(mids, pieces.select(key, "cell", *EDGE), [key], "uid", F.col("cell"), skip=own)
+    u = u.join(w, "uid", "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    gain, rising = F.col("fw") - F.col("bw"), F.col("by") > F.col("ay")
+    u = u.withColumns({"wl": F.when(rising, F.col("w") + gain).otherwise(F.col("w")), "wr": F.when(rising, F.col("w")).otherwise(F.col("w") - gain)})
     u = u.where((F.col("wl") > 0) != (F.col("wr") > 0))
     fwd = F.col("wl") > 0
     pick = lambda p, q: F.when(fwd, F.col(p)).otherwise(F.col(q))

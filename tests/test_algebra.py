@@ -180,6 +180,15 @@ def test_repair_leaves_region_of_larger_wing(spark):
     assert r["a"] == pytest.approx(16 / 3)
 
 
+def test_repair_keeps_thin_outlines(spark):
+    """Of a bow tie and of strips a millionth high, level, upright and slanting, nothing is lost."""
+    tie = "POLYGON ((0 0, 4 4, 4 0, 0 2, 0 0))"
+    d = shape_rows(spark, [("level", "POLYGON ((0 0, 10 0, 10 0.000001, 0 0.000001, 0 0))"), ("upright", "POLYGON ((0 0, 0.000001 0, 0.000001 10, 0 10, 0 0))"),
+                           ("slant", "POLYGON ((0 0, 10 10, 10 10.000001, 0 0.000001, 0 0))"), ("tie", tie)], ["geom"])
+    got = {r["id"]: r["a"] for r in A.repair(d, "id").select("id", G.st_area("repaired").alias("a")).collect()}
+    assert got == {"level": pytest.approx(1e-5), "upright": pytest.approx(1e-5), "slant": pytest.approx(1e-5), "tie": pytest.approx(16 / 3)}
+
+
 def test_simplify_keeps_rings_closed_and_simple(spark):
     n = 200
     p = [(10 * math.cos(2 * math.pi * i / n), 10 * math.sin(2 * math.pi * i / n), 1.0) for i in range(n)]
