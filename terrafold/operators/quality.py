@@ -133,6 +133,18 @@ def self_contacts(features: DataFrame, keys: list[str], geom: str = "geom") -> D
     return small.unionByName(j.select(*keys, "contact")).groupBy(*keys).agg(F.max("contact").alias("contact"))
 
 
+def hole_outside(part: Column) -> Column:
+    """Whether a hole has a vertex outside its shell."""
+    shell = F.get(part, F.lit(0))
+    return F.exists(G.tail(part), lambda h: F.exists(h, lambda v: S.point_in_rings(F.array(shell), v["x"], v["y"]) < 0))
+
+
+def holes_nested(part: Column) -> Column:
+    """Whether a hole lies inside another one."""
+    holes = G.tail(part)
+    return F.exists(holes, lambda h: F.exists(holes, lambda o: (h != o) & ~F.exists(h, lambda v: S.point_in_rings(F.array(o), v["x"], v["y"]) <= 0)))
+
+
 def check_geometry(features: DataFrame, vertex_tol: float = 1e-8, min_length: float = 1e-6, min_area: float = 1e-9,
                    self_intersection: bool = True) -> DataFrame:
     """Null, empty, zero length or area, ring validity and repeated vertices, one row per fault."""
@@ -156,9 +168,7 @@ def check_geometry(features: DataFrame, vertex_tol: float = 1e-8, min_length: fl
         same_box = lambda r: F.struct(F.array_min(F.transform(r, lambda v: v["x"])), F.array_min(F.transform(r, lambda v: v["y"])),
                                       F.array_max(F.transform(r, lambda v: v["x"])), F.array_max(F.transform(r, lambda v: v["y"])),
                                       F.abs(G.ring_signed_area(r)))
-        outside = F.exists(holes, lambda h: F.exists(h, lambda v: S.point_in_rings(F.array(shell), v["x"], v["y"]) < 0))
-        nested = F.exists(holes, lambda h: F.exists(holes, lambda o: (h != o) & ~F.exists(
-            h, lambda v: S.point_in_rings(F.array(o), v["x"], v["y"]) <= 0)))
+        outside, nested = hole_outside(part), holes_nested(part)
         dup_rings = F.size(F.array_distinct(F.transform(part, same_box))) < F.size(part)
         first = (
             F.when(F.exists(part, bad), fault(CRITICAL, "InvalidCoordinate"))

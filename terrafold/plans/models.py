@@ -49,13 +49,14 @@ WANTED = ["CLASS_1", "class_3", "Class_4", "class_7", "class_9", "other"]
 
 
 @query("model_scores", """
-WITH z AS (SELECT vec_id, i, 'class_' || i AS label, embedding[i + 1]::DOUBLE AS z FROM embeddings, (SELECT unnest([1,3,4,7,9]) AS i)),
+WITH z AS (SELECT vec_id, i, 'class_' || i AS label, embedding[i + 1]::DOUBLE AS z FROM embeddings, (SELECT unnest(range(64)) AS i)),
 s AS (SELECT vec_id, label, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM z), c AS (SELECT vec_id, label, x/sum(x) OVER (PARTITION BY vec_id) AS c FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS rn FROM c)
 SELECT vec_id AS subject_id, max(label) FILTER (rn = 1) AS label, round(max(c) FILTER (rn = 1), 9) AS confidence, string_agg(label, ',' ORDER BY rn) FILTER (rn BETWEEN 2 AND 4) AS alternatives FROM r GROUP BY 1""")
 def model_scores(spark, sf):
-    d = load(spark, sf, "embeddings").select(F.col("vec_id").alias("subject_id"), F.slice("embedding", 1, 10).alias("logits"))
-    s = S.softmax_scores(d, MODEL_LABELS, WANTED)
+    d = load(spark, sf, "embeddings").select(F.col("vec_id").alias("subject_id"), F.col("embedding").alias("logits"))
+    labels = [f"class_{i}" for i in range(64)]
+    s = S.softmax_scores(d, labels, [*(n.upper() for n in labels), "other"])
     return s.select("subject_id", "label", F.round("confidence", 9).alias("confidence"), F.array_join(F.transform("alternatives", lambda a: a["label"]), ",").alias("alternatives"))
 
 

@@ -13,7 +13,7 @@ from ..sources import bridge, landxml
 from ..sources import points as P
 from . import derive as V
 from .derive import with_sql
-from .quality import event_findings, faulty_features
+from .quality import FAULTS, event_findings, faulty_features
 from .registry import load, query
 
 ks = lambda c: c.cast("string")
@@ -92,9 +92,9 @@ def kml_placemarks(spark, sf):
 
 @query("element_geojson", with_sql("elements", body="""
 SELECT '{"type":"Feature","id":"' || element_id || '","properties":{"layer":"' || layer || '","geometryKind":"' || geometry_kind || '","nativeType":"' || native_type || '","text":"' || text || '","Color":"' || color
- || '","Layer":' || CASE WHEN element_id % 2 = 0 THEN 'null' ELSE '"' || layer || '"' END || '},"geometry":{"type":"Point","coordinates":[' || round(element_id/3.0::DOUBLE, 7) || ',0]}}' AS value FROM elements WHERE element_id % 3 <> 0"""))
+ || '","Layer":' || CASE WHEN element_id % 2 = 0 THEN 'null' ELSE '"' || layer || '"' END || '},"geometry":{"type":"Point","coordinates":[' || CASE WHEN element_id % 3 = 0 THEN (element_id // 3)::VARCHAR ELSE round(element_id/3.0::DOUBLE, 7)::VARCHAR END || ',0]}}' AS value FROM elements"""))
 def element_geojson(spark, sf):
-    e = V.elements(spark, sf).where(F.col("element_id") % 3 != 0)
+    e = V.elements(spark, sf)
     attrs = F.create_map(F.lit("Color"), F.try_element_at("attrs", F.lit("Color")), F.lit("Layer"), F.when(F.col("element_id") % 2 != 0, F.col("layer")))
     return K.elements_geojson_rows(e.withColumns({"attrs": attrs, "geom": G.point(F.col("element_id") / 3.0, F.lit(0.0))}))
 
@@ -121,11 +121,12 @@ def report_json_summary(spark, sf):
     return R.json_summary(event_findings(spark, sf))
 
 
-@query("report_html", """
-SELECT 'Geometry.Null' AS section, '<tr><td class="sev Error">Error</td><td>' || o_orderkey || '</td><td></td><td></td><td>Geometry.Null on feature ' || o_orderkey || '</td></tr>' AS value FROM orders WHERE o_orderkey % 12 = 0""")
+@query("report_html", f"""
+SELECT code AS section, '<tr><td class="sev ' || s || '">' || s || '</td><td>' || feature_id || '</td><td></td><td>' ||
+ CASE WHEN code IN ('Geometry.Null', 'Geometry.Empty') OR code LIKE '%SelfIntersect%' THEN '' ELSE (feature_id * 13 % 1000) || ', ' || (feature_id * 17 % 1000) END || '</td><td>' || code || ' on feature ' || feature_id || '</td></tr>' AS value
+FROM (SELECT *, ['Information','Warning','Error','Critical'][severity + 1] AS s FROM ({FAULTS}))""")
 def report_html(spark, sf):
-    f = Q.check_geometry(faulty_features(spark, sf), self_intersection=False)
-    return R.html_rows(f).where(F.col("section") == "Geometry.Null")
+    return R.html_rows(Q.check_geometry(faulty_features(spark, sf)))
 
 
 # --- text inputs ----------------------------------------------------------------------------------------------

@@ -110,11 +110,14 @@ def faulty_features(spark, sf):
         F.lit("MIXED").alias("dataset"), k.cast("string").alias("feature_id"), k.alias("pos"), geom.alias("geom"))
 
 
-@query("geometry_checks", """
+FAULTS = """
 SELECT o_orderkey AS feature_id, f.code AS code, f.sev AS severity FROM orders JOIN (VALUES (0,'Geometry.Null',2),(1,'Geometry.Empty',1),
  (2,'Geometry.ZeroLength',2),(2,'Geometry.DuplicateVertices',1),(3,'Geometry.ZeroArea',2),(3,'Geometry.SelfIntersection',2),
  (4,'Geometry.SelfIntersection',2),(5,'Geometry.SelfIntersectingLine',1),(6,'Geometry.HoleOutsideShell',2),(7,'Geometry.NestedHoles',2),
- (8,'Geometry.DuplicateVertices',1),(9,'Geometry.DuplicateVertices',1),(10,'Geometry.RingNotClosed',2)) f(c, code, sev) ON o_orderkey % 12 = f.c""")
+ (8,'Geometry.DuplicateVertices',1),(9,'Geometry.DuplicateVertices',1),(10,'Geometry.RingNotClosed',2)) f(c, code, sev) ON o_orderkey % 12 = f.c"""
+
+
+@query("geometry_checks", FAULTS)
 def geometry_checks(spark, sf):
     return Q.check_geometry(faulty_features(spark, sf)).select(F.col("feature_id").cast("long").alias("feature_id"), "code", "severity")
 

@@ -61,9 +61,9 @@ def bim_tables(spark, sf):
         "voids": b.where(F.col("host_id").isNotNull()).select(F.concat(F.lit("O"), "element_id").alias("opening_id"), "host_id"),
         "material": c.select(eid, F.lit(0).alias("rel_pos"), F.when(k % 4 != 0, F.col("c_mktsegment")).otherwise("  ").alias("material")),
         "classification": c.where(k % 3 == 0).select(eid, F.lit(0).alias("rel_pos"), F.concat(F.lit("Pr_"), ks(k % 50)).alias("code"), F.col("c_mktsegment").alias("class_name"), F.lit("Uniclass").alias("system")),
-        "typed": c.select(eid, F.lit(0).alias("rel_pos"), F.concat(F.lit("T"), ks(k % 20)).alias("type_id")),
-        "types": c.where(k < 20).select(F.concat(F.lit("T"), ks(k)).alias("type_id"), F.col("c_name").alias("type_name"), F.lit("IfcWallType").alias("type_class")),
-        "type_props": c.where(k < 20).select(F.concat(F.lit("T"), ks(k)).alias("type_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), F.col("c_mktsegment")).select(
+        "typed": c.select(eid, F.lit(0).alias("rel_pos"), F.concat(F.lit("T"), ks(F.floor(k / 20))).alias("type_id")),
+        "types": c.select(F.concat(F.lit("T"), ks(k)).alias("type_id"), F.col("c_name").alias("type_name"), F.lit("IfcWallType").alias("type_class")),
+        "type_props": c.select(F.concat(F.lit("T"), ks(k)).alias("type_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), F.col("c_mktsegment")).select(
             "type_id", "pos", F.when(F.col("pos") == 0, "FireRating").otherwise("LoadBearing").alias("name"), F.col("c_mktsegment").alias("value")),
         "props": c.select(eid, F.lit(0).alias("pos"), F.when(k % 2 == 0, "fireRating").otherwise("Material").alias("name"), F.lit("inst").alias("value")),
     }
@@ -83,12 +83,12 @@ UNION ALL SELECT 'C' || c_custkey, 'Material', CASE WHEN c_custkey % 2 = 1 THEN
 UNION ALL SELECT 'C' || c_custkey, 'ClassificationCode', 'Pr_' || (c_custkey % 50) FROM customer WHERE c_custkey % 3 = 0
 UNION ALL SELECT 'C' || c_custkey, 'ClassificationName', c_mktsegment FROM customer WHERE c_custkey % 3 = 0
 UNION ALL SELECT 'C' || c_custkey, 'ClassificationSystem', 'Uniclass' FROM customer WHERE c_custkey % 3 = 0
-UNION ALL SELECT 'C' || c.c_custkey, 'TypeName', t.c_name FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey % 20
-UNION ALL SELECT 'C' || c_custkey, 'TypeGlobalId', 'T' || (c_custkey % 20) FROM customer
+UNION ALL SELECT 'C' || c.c_custkey, 'TypeName', t.c_name FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey // 20
+UNION ALL SELECT 'C' || c_custkey, 'TypeGlobalId', 'T' || (c_custkey // 20) FROM customer
 UNION ALL SELECT 'C' || c_custkey, 'TypeIfcClass', 'IfcWallType' FROM customer
 UNION ALL SELECT 'C' || c.c_custkey, CASE WHEN c.c_custkey % 2 = 0 THEN 'fireRating' ELSE 'FireRating' END, CASE WHEN c.c_custkey % 2 = 0 THEN 'inst' ELSE t.c_mktsegment END
- FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey % 20
-UNION ALL SELECT 'C' || c.c_custkey, 'LoadBearing', t.c_mktsegment FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey % 20"""
+ FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey // 20
+UNION ALL SELECT 'C' || c.c_custkey, 'LoadBearing', t.c_mktsegment FROM customer c JOIN customer t ON t.c_custkey = c.c_custkey // 20"""
 
 
 @query("bim_relations", with_sql("bim_attrs", body="SELECT * FROM bim_attrs"))
@@ -142,9 +142,9 @@ def edge_targets(spark, sf):
     return R.targets(ifc_edges(spark, sf), "Contains").groupBy("src_id").agg(F.count("*").alias("n"))
 
 
-@query("edge_sources", with_sql("edges", body="SELECT owner_id, dst_id FROM edges WHERE rel_type = 'Hosts' AND CAST(substr(dst_id, 2) AS INT) % 10 = 0"))
+@query("edge_sources", with_sql("edges", body="SELECT owner_id, dst_id FROM edges WHERE rel_type = 'Hosts'"))
 def edge_sources(spark, sf):
-    doors = raw_bim(spark, sf).where((F.col("category") == "IfcDoor") & (F.substring("element_id", 2, 20).cast("int") % 10 == 0))
+    doors = raw_bim(spark, sf)
     return R.sources(ifc_edges(spark, sf), "Hosts", doors)
 
 
@@ -231,12 +231,12 @@ def model_element_filter(spark, sf):
     return R.filter_model_elements(d).select("id")
 
 
-@query("layer_filter", with_sql("elements", body="SELECT element_id, layer FROM elements WHERE layer NOT IN ('ANVIL', 'GEAR', 'ROD') ORDER BY pos LIMIT 700"))
+@query("layer_filter", with_sql("elements", body="SELECT element_id, layer FROM elements WHERE layer NOT IN ('ANVIL', 'GEAR', 'ROD')"))
 def layer_filter(spark, sf):
     e = V.elements(spark, sf)
     layers = e.select(F.lower("layer").alias("layer")).distinct().select(
         "layer", (~F.col("layer").isin("anvil", "gear")).alias("is_visible"), (F.col("layer") == "rod").alias("is_frozen"))
-    return R.filter_layers(e, layers, max_elements=700).select("element_id", "layer")
+    return R.filter_layers(e, layers).select("element_id", "layer")
 
 
 @query("unsupported_types", with_sql("elements", body="SELECT native_type, count(*) AS n FROM elements WHERE native_type NOT IN ('SMALL','LARGE','MEDIUM') GROUP BY 1"))
