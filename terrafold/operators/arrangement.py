@@ -606,18 +606,28 @@ def st_buffer(df: DataFrame, key: str, distance: float, geom: str = "geom", size
 def clip(features: DataFrame, boundary: DataFrame, key: str, geom: str = "geom", size: float = 50.0) -> DataFrame:
     """Polygons cut by boundary polygons (``boundary_id, boundary``): covered ones whole, others intersected.
 
-    Only features that straddle an outline go through the overlay.
+    Only features whose envelope meets an edge of the outline go through the overlay with it; of the others, which
+    lie wholly in or out, one point is enough.
     """
-    f = G.with_envelope(features.select(key, F.col(geom).alias("geom"))).where(F.col("minx").isNotNull())
+    f = cut_lineage(G.with_envelope(features.select(key, F.col(geom).alias("geom"))).where(F.col("minx").isNotNull()))
     names = {c: "b_" + c for c in S.BOX}
-    b = G.with_envelope(boundary.select("boundary_id", F.col("boundary").alias("_b")), "_b").withColumnsRenamed(names)
-    j = S.box_pairs(f, b, size, S.BOX, tuple(names.values()))
-    pid = F.struct(F.col(key), F.col("boundary_id"))
-    m = j.select(F.to_json(pid).alias("pair_id"), key, "boundary_id", F.col("geom").alias("geom_a"), F.col("_b").alias("geom_b"))
-    m = cut_lineage(m)
+    outline = boundary.select("boundary_id", F.col("boundary").alias("_b"))
+    ids = [key, "boundary_id"]
+    boxes = f.select(key, *S.BOX)
+    edges = cut_lineage(directed_edges(outline.select("boundary_id", F.col("_b").alias("geom")), ["boundary_id"]))
+    sides = edges.select("boundary_id", F.least("x1", "x2").alias("b_minx"), F.least("y1", "y2").alias("b_miny"), F.greatest("x1", "x2").alias("b_maxx"), F.greatest("y1", "y2").alias("b_maxy"))
+    near = cut_lineage(S.box_pairs(boxes, sides, size, S.BOX, tuple(names.values())).select(*ids).distinct())
+    b = G.with_envelope(outline, "_b").drop("_b").withColumnsRenamed(names)
+    rest = S.box_pairs(boxes, b, size, S.BOX, tuple(names.values())).join(near, ids, "left_anti")
+    rest = rest.join(_grid_size(edges, ["boundary_id"]), "boundary_id").withColumn("_pid", F.struct(*ids))
+    w = winding(rest.select("_pid", "boundary_id", "cell", F.col("minx").alias("mx"), F.col("miny").alias("my")),
+                edges.select("boundary_id", *EDGE).join(_grid_size(edges, ["boundary_id"]), "boundary_id"), ["boundary_id"], "_pid", F.col("cell"))
+    inside = f.select(key, "geom").join(w.where("w > 0").select("_pid.*"), key).select(*ids, F.lit(True).alias("covered"), "geom")
+    m = near.join(f.select(key, F.col("geom").alias("geom_a")), key).join(outline.withColumnRenamed("_b", "geom_b"), "boundary_id")
+    m = cut_lineage(m.select(F.to_json(F.struct(*ids)).alias("pair_id"), *ids, "geom_a", "geom_b"))
     u, hit, _ = label_pairs(m)
     out_a = u.where((F.col("fb") + F.col("rb") == 0) & ~F.col("inside")).select("pair_id").distinct()
     whole = m.join(out_a, "pair_id", "left_anti").select(key, "boundary_id", F.lit(True).alias("covered"), F.col("geom_a").alias("geom"))
     part = polygons_of(cut_lineage(_emit(u, "pair_id", "intersection").join(out_a, "pair_id", "left_semi")), "pair_id", size)
     cut = part.join(m.select("pair_id", key, "boundary_id"), "pair_id").select(key, "boundary_id", F.lit(False).alias("covered"), "geom")
-    return whole.unionByName(cut)
+    return inside.unionByName(whole).unionByName(cut)
