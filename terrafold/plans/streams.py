@@ -68,7 +68,7 @@ def stream_failure_breaker(spark, sf):
 @query("stream_response_cache", ORACLES.get("response_cache"))
 def stream_response_cache(spark, sf):
     r = stream_of(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
-    return drain(T.stream_cache(r))
+    return drain(T.stream_cache(r), "update", ["key", "seq"])
 
 
 @query("stream_run_status", ORACLES.get("run_state_fold"))

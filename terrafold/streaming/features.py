@@ -117,57 +117,119 @@ def stream_breaker(stream: DataFrame, limit: int = 1000) -> DataFrame:
         statefulProcessor=FailureBreaker(limit), outputStructType="layer string, pos long, abandoned boolean", outputMode="Append", timeMode="None")
 
 
+_AT = T.StructField("at_ms", T.LongType())
+
+
+def _in_order(held: list[tuple], at: int, watermark: int) -> tuple[list[tuple], int]:
+    """Held rows in their order, and how many at the start are final: the watermark has passed their time, field ``at``."""
+    held = sorted(held)
+    return held, next((i for i, r in enumerate(held) if r[at] > watermark), len(held))
+
+
 class ResponseCache(StatefulProcessor):
-    """One expiry time per key, compared with event time so that a replay decides alike."""
+    """One expiry time per key, compared with event time so that a replay decides alike.
+
+    Requests that the watermark has not passed are held and decided again with what comes between them; an expiry time
+    that it has passed is forgotten.
+    """
 
     def __init__(self, minutes: float):
         self.ms = int(minutes * 60000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.until = handle.getValueState("until", T.StructType([T.StructField("ms", T.LongType())]))
+        self.held = handle.getListState("held", T.StructType([_AT, T.StructField("seq", T.LongType())]))
+
+    def _settle(self, held: list[tuple], watermark: int) -> list[tuple]:
+        """``seq, hit`` of the held requests; those that are final leave only their expiry time."""
+        held, final = _in_order(held, 0, watermark)
+        until = kept = self.until.get()[0] if self.until.exists() else None
+        out = []
+        for n, (at, seq) in enumerate(held, 1):
+            hit = until is not None and at < until
+            until = until if hit else at + self.ms
+            kept = until if n <= final else kept
+            out.append((seq, hit))
+        if kept is not None and kept > watermark:
+            self.until.update((kept,))
+        else:
+            self.until.clear()
+        self.held.put(held[final:]) if held[final:] else self.held.clear()
+        wake = held[-1][0] if held[final:] else kept if kept is not None and kept > watermark else None
+        if wake is not None:
+            self.handle.registerTimer(wake)
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
-        until = self.until.get()[0] if self.until.exists() else None
-        pdf = pd.concat([r for r in rows]).sort_values(["at_ms", "seq"])
-        hits = []
-        for t in pdf["at_ms"]:
-            hit = until is not None and t < until
-            if not hit:
-                until = int(t) + self.ms
-            hits.append(hit)
-        self.until.update((int(until),))
-        yield pd.DataFrame({"key": pdf["key"].astype("int64"), "seq": pdf["seq"].astype("int64"), "hit": hits})
+        held = list(self.held.get()) if self.held.exists() else []
+        held = [tuple(r) for r in held] + [(int(at), int(seq)) for r in rows for at, seq in zip(r["at_ms"], r["seq"])]
+        out = self._settle(held, timer.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key": int(key[0]), "seq": [o[0] for o in out], "hit": [o[1] for o in out]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle([tuple(r) for r in self.held.get()] if self.held.exists() else [], timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_cache(requests: DataFrame, ttl_minutes: float = 240.0) -> DataFrame:
-    """Requests (``key, seq, at``) marked as hits or calls; only calls go on to the scorer."""
-    d = requests.select("key", "seq", F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms"))
+def stream_cache(requests: DataFrame, ttl_minutes: float = 240.0, late: str = "1 hour") -> DataFrame:
+    """Requests (``key, seq, at``) marked as hits or calls; only calls go on to the scorer.
+
+    A request's mark may change, as an update of ``key, seq``, until the watermark has passed it.
+    """
+    d = requests.select("key", "seq", _instant("at").alias("at")).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
     return d.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ResponseCache(ttl_minutes), outputStructType="key long, seq long, hit boolean", outputMode="Append", timeMode="None")
+        statefulProcessor=ResponseCache(ttl_minutes), outputStructType="key long, seq long, hit boolean", outputMode="Update", timeMode="EventTime")
 
 
 class RunFold(StatefulProcessor):
-    """Run status from its events: queued, running, then one terminal state; refused moves are counted."""
+    """Run status from its events: queued, running, then one terminal state; refused moves are counted.
+
+    Events that the watermark has not passed are held and folded again in the order of ``seq`` with what comes between
+    them, so that the status does not depend on how events fall into batches.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", T.StructType([T.StructField("status", T.StringType()), T.StructField("illegal", T.LongType())]))
+        self.held = handle.getListState("held", T.StructType([T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), _AT]))
+
+    @staticmethod
+    def _move(status: str, illegal: int, to: str) -> tuple[str, int]:
+        if to == "Queued":
+            return status, illegal
+        if (status == "Queued" and to in ("Running", "Failed", "Cancelled")) or (status == "Running" and to != "Running") \
+                or (status in ("Failed", "Cancelled") and to == "Failed"):
+            return to, illegal
+        return status, illegal + 1
+
+    def _settle(self, held: list[tuple], watermark: int) -> tuple[str, int]:
+        held, final = _in_order(held, 2, watermark)
+        now = self.state.get() if self.state.exists() else ("Queued", 0)
+        now = (now[0], int(now[1]))
+        for n, (_, to, _) in enumerate(held, 1):
+            now = self._move(*now, to)
+            if n == final:
+                self.state.update(now)
+        if held[final:]:
+            self.held.put(held[final:])
+            self.handle.registerTimer(max(r[2] for r in held))
+        else:
+            self.held.clear()
+        return now
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
-        status, illegal = self.state.get() if self.state.exists() else ("Queued", 0)
-        for to in pd.concat([r for r in rows]).sort_values("seq")["status"]:
-            if to == "Queued":
-                continue
-            if (status == "Queued" and to in ("Running", "Failed", "Cancelled")) or (status == "Running" and to != "Running"):
-                status = to
-            elif status in ("Failed", "Cancelled") and to == "Failed":
-                status = to
-            else:
-                illegal += 1
-        self.state.update((status, int(illegal)))
-        yield pd.DataFrame({"run_id": [int(key[0])], "status": [status], "illegal": [int(illegal)]})
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        held += [(int(q), to, int(at)) for r in rows for q, to, at in zip(r["seq"], r["status"], r["at_ms"])]
+        status, illegal = self._settle(held, timer.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"run_id": [int(key[0])], "status": [status], "illegal": [illegal]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle([tuple(r) for r in self.held.get()] if self.held.exists() else [], timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -176,8 +238,9 @@ class RunFold(StatefulProcessor):
 def stream_runs(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Live status per run from ``run_id, seq, status, at``; repeated deliveries inside the watermark are dropped."""
     d = events.withColumn("at", _instant("at")).withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
+    d = d.withColumn("at_ms", F.coalesce(F.unix_millis("at"), F.lit(0)))
     return d.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=RunFold(), outputStructType="run_id long, status string, illegal long", outputMode="Update", timeMode="None")
+        statefulProcessor=RunFold(), outputStructType="run_id long, status string, illegal long", outputMode="Update", timeMode="EventTime")
 
 
 def runs_per_window(runs: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
