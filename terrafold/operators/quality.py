@@ -356,15 +356,20 @@ def check_required(features: DataFrame, fields: DataFrame, required: list[str])
     return schema.unionByName(per_row)
 
 
+def repeated_values(values: DataFrame) -> DataFrame:
+    """Rows of ``dataset, feature_id, pos, field, value`` after the first of a value, with the ``first`` and how many ``copies`` follow it."""
+    owner = values.groupBy("dataset", "field", "value").agg(
+        (F.count("*") - 1).alias("copies"), F.min(F.struct("pos", "feature_id")).alias("first")).where(F.col("copies") > 0)
+    return values.join(owner, ["dataset", "field", "value"]).where(F.struct("pos", "feature_id") != F.col("first"))
+
+
 def check_unique(features: DataFrame, unique: list[str]) -> DataFrame:
     """Later rows that repeat a non-empty value, each with the first owner; values compare by case."""
     pairs = F.filter(F.array(*[F.struct(F.lit(u).alias("field"), attr("attrs", u).alias("value")) for u in unique]),
                      lambda e: _nonempty(e["value"]))
     long = features.select("dataset", "feature_id", "pos", F.explode(pairs).alias("e")).select("dataset", "feature_id", "pos", "e.*")
-    owner = long.groupBy("dataset", "field", "value").agg(
-        F.count("*").alias("_n"), F.min(F.struct("pos", "feature_id")).alias("_first")).where(F.col("_n") > 1).drop("_n")
-    dup = long.join(owner, ["dataset", "field", "value"]).where(F.struct("pos", "feature_id") != F.col("_first"))
-    msg = F.concat(F.lit("Value "), F.col("value"), F.lit(" already belongs to "), F.col("_first.feature_id"))
+    dup = repeated_values(long)
+    msg = F.concat(F.lit("Value "), F.col("value"), F.lit(" already belongs to "), F.col("first.feature_id"))
     return finding(dup, "Attribute.DuplicateValue", ERROR, "Attribute", msg, feature_id=F.col("feature_id"), field=F.col("field"),
                    pos=F.col("pos"), remediation=F.lit("Renumber one feature or drop the uniqueness requirement."))
 

@@ -150,10 +150,10 @@ SELECT dataset, feature_id, field, count(*) OVER (PARTITION BY dataset, value) A
  SELECT layer AS dataset, element_id AS feature_id, 'PRICE' AS field, "PRICE" AS value,
   row_number() OVER (PARTITION BY layer, "PRICE" ORDER BY pos, element_id) AS rn FROM attrs_wide) WHERE rn > 1"""))
 def unique_fields(spark, sf):
-    d = Q.check_unique(item_features(spark, sf), ["PRICE"])
-    # The message ends with the first owner: findings of one value share it.
-    copies = d.groupBy("dataset", "message").agg(F.count("*").alias("copies"))
-    return d.join(copies, ["dataset", "message"]).select("dataset", "feature_id", "field", "copies")
+    # The values stand in a long table already, so no row's attributes are put together first.
+    a = V.attrs_long(spark, sf).where((F.col("name") == "PRICE") & (F.length("value") > 0))
+    d = Q.repeated_values(a.select(F.col("layer").alias("dataset"), F.col("element_id").alias("feature_id"), "pos", F.col("name").alias("field"), "value"))
+    return d.select("dataset", "feature_id", "field", "copies")
 
 
 @query("first_duplicate_owner", with_sql("attrs_wide", body="""

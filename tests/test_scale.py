@@ -112,3 +112,20 @@ def test_deep_property_chains_keep_their_leaves(spark):
     rows += [(1001, 1002, None, 0, "complex", "a", None, None), (1002, 1001, None, 0, "single", "b", "lost in a cycle", None)]
     props = spark.createDataFrame(rows, "prop_id long, parent_id long, element_id string, pos long, kind string, name string, value string, values array<string>")
     assert [tuple(r) for r in flatten_properties(props).collect()] == [("e", n, f"p{n}", "v")]
+
+
+def test_profiles_inherit_along_long_chains(spark):
+    """Three hundred profiles in a row, a cycle with a tail, and a chain whose root names an unknown parent."""
+    from terrafold.operators import schema as P
+
+    k = F.col("id")
+    none = lambda t: F.lit(None).cast(t)
+    chain = spark.range(300).select(k.cast("string").alias("id"), F.when(k > 0, (k - 1).cast("string")).alias("extends"))
+    rows = chain.union(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "gone")], "id string, extends string"))
+    d = rows.select("id", "extends", F.when(k == "0", "root").alias("name"), *[F.when(k == "7", "7").alias(c) if c == "output_crs" else none("string").alias(c) for c in P.PROFILE_SCALARS],
+                    *[k.alias(c) for c in P.PROFILE_WHOLE], F.create_map(F.when(k == "0", "ROADS").otherwise("Roads"), k).alias("layer_mapping"),
+                    none("map<string,string>").alias("attribute_mapping"), F.array(F.concat(F.lit("X"), k)).alias("excluded"))
+    r = {x["id"]: x for x in P.resolve_profiles(d).collect()}
+    assert (r["299"]["status"], r["299"]["name"], r["299"]["output_crs"], r["299"]["naming"], r["299"]["layer_mapping"], len(r["299"]["excluded"])) == ("ok", "root", "7", "299", {"Roads": "299"}, 300)
+    assert (r["5"]["output_crs"], len(r["5"]["excluded"])) == (None, 6)
+    assert [r[x]["status"] for x in "abcxy"] == ["Gis.ProfileCycle"] * 3 + ["Gis.ProfileParentNotFound"] * 2
