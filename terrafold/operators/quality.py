@@ -110,7 +110,7 @@ def self_contact_small(ring: Column) -> Column:
 
 
 def self_contacts(features: DataFrame, keys: list[str], geom: str = "geom") -> DataFrame:
-    """``keys, contact`` for features whose paths touch (1) or cross (2) themselves.
+    """``keys, contact`` for features whose paths touch (1) or cross (2) themselves, or whose rings cross (2).
 
     Short paths are compared in place.  A long path is cut into cells of its own envelope and its
     segments are joined per cell, so no task sees all pairs of one path.
@@ -123,14 +123,32 @@ def self_contacts(features: DataFrame, keys: list[str], geom: str = "geom") -> D
     span = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
     big = big.withColumn("_size", F.greatest(span / F.ceil(F.sqrt(F.size("_path").cast("double"))), F.lit(1e-12)))
     big = big.withColumn("_closed", G.is_closed(F.col("_path")))
-    segs = big.select(*keys, "_r", "_size", "_closed", F.explode(_segs(F.col("_path"))).alias("s"))
-    lo = lambda k: F.floor(F.least(F.col("s.a")[k], F.col("s.b")[k]) / F.col("_size")).cast("long")
-    hi = lambda k: F.floor(F.greatest(F.col("s.a")[k], F.col("s.b")[k]) / F.col("_size")).cast("long")
-    segs = segs.withColumn("_cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_cy", F.explode(F.sequence(lo("y"), hi("y"))))
+    segs = _in_cells(big.select(*keys, "_r", "_size", "_closed", F.explode(_segs(F.col("_path"))).alias("s")))
     other = segs.select(*keys, "_r", "_cx", "_cy", F.col("s").alias("t"))
     j = segs.join(other, [*keys, "_r", "_cx", "_cy"]).where(F.col("t.i") > F.col("s.i"))
     j = j.withColumn("contact", _pair_contact(F.col("s"), F.col("t"), F.col("_closed"))).where(F.col("contact") > 0)
-    return small.unionByName(j.select(*keys, "contact")).groupBy(*keys).agg(F.max("contact").alias("contact"))
+    found = small.unionByName(j.select(*keys, "contact")).unionByName(_ring_crossings(features, keys, geom))
+    return found.groupBy(*keys).agg(F.max("contact").alias("contact"))
+
+
+def _in_cells(segs: DataFrame) -> DataFrame:
+    """Segments ``s`` once per cell of width ``_size`` that their envelope meets."""
+    lo = lambda k: F.floor(F.least(F.col("s.a")[k], F.col("s.b")[k]) / F.col("_size")).cast("long")
+    hi = lambda k: F.floor(F.greatest(F.col("s.a")[k], F.col("s.b")[k]) / F.col("_size")).cast("long")
+    return segs.withColumn("_cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_cy", F.explode(F.sequence(lo("y"), hi("y"))))
+
+
+def _ring_crossings(features: DataFrame, keys: list[str], geom: str) -> DataFrame:
+    """``keys, contact`` (2) of polygons two of whose rings cross or share a stretch; equal rings are another fault."""
+    rings = F.array_distinct(F.transform(G.rings(geom), _without_repeats))
+    d = features.where((G.base_kind(geom) == G.POLYGON) & (F.size(G.rings(geom)) > 1)).select(*keys, rings.alias("_rs"))
+    vs = F.flatten("_rs")
+    span = lambda k: F.array_max(F.transform(vs, lambda v: v[k])) - F.array_min(F.transform(vs, lambda v: v[k]))
+    d = d.withColumn("_size", F.greatest(F.greatest(span("x"), span("y")) / F.ceil(F.sqrt(F.size(vs).cast("double"))), F.lit(1e-12)))
+    segs = _in_cells(d.select(*keys, "_size", F.posexplode("_rs").alias("_r", "_path")).select(*keys, "_r", "_size", F.explode(_segs(F.col("_path"))).alias("s")))
+    other = segs.select(*keys, F.col("_r").alias("_q"), "_cx", "_cy", F.col("s").alias("t"))
+    j = segs.join(other, [*keys, "_cx", "_cy"]).where(F.col("_q") > F.col("_r"))
+    return j.where(segment_contact(F.col("s.a"), F.col("s.b"), F.col("t.a"), F.col("t.b")) == 2).select(*keys, F.lit(2).alias("contact"))
 
 
 def hole_outside(part: Column) -> Column:

@@ -299,6 +299,12 @@ def filter_layers(elements: DataFrame, layers: DataFrame, include_invisible: boo
     return out.orderBy("pos").limit(max_elements) if max_elements > 0 else out
 
 
+def element_limit_warning(elements: DataFrame, layers: DataFrame, max_elements: int, **readable) -> DataFrame:
+    """``code, message``: one row where ``filter_layers`` stops at ``max_elements`` and leaves elements unread."""
+    n = filter_layers(elements, layers, **readable).agg(F.count("*").alias("_n")).where((F.col("_n") > max_elements) & (F.lit(max_elements) > 0))
+    return n.select(F.lit("Reader.ElementLimit").alias("code"), F.format_string("Read %d of %d elements: raise the limit to read all", F.lit(max_elements), F.col("_n")).alias("message"))
+
+
 def unsupported_types(elements: DataFrame, supported: list[str]) -> DataFrame:
     """One row per entity type that has no converter."""
     return elements.where(~F.lower("native_type").isin(*[s.lower() for s in supported])).groupBy("native_type").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions import curves as C
 from ..functions import geometry as G
 from . import spatial as S
+from .common import cut_lineage
 from .quality import segment_contact
 
 
@@ -164,20 +165,38 @@ def convex_hull(df: DataFrame, geom: str = "geom", out: str = "hull") -> DataFra
     return d.withColumn(out, F.when(F.size("_h") >= 3, G.polygon(close_xy(F.col("_h")))).otherwise(flat)).drop("_h")
 
 
-def hull_agg(points: DataFrame, key: str, x: str = "x", y: str = "y", parts: int = 64) -> DataFrame:
-    """Hull per key in two steps: hulls of hash slices first, then one hull of their few corners."""
-    slice_ = F.pmod(F.xxhash64(x, y), F.lit(parts))
+def hull_agg(points: DataFrame, key: str, x: str = "x", y: str = "y", slice_rows: int = 65536) -> DataFrame:
+    """Hull per key in steps: corners of each batch before any shuffle, then of slices of ``slice_rows`` points a key.
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[[x, y]].to_numpy(float)
+    Steps end when every key fits one slice, or when nearly all points are corners, which are the result itself.
+    """
+    schema = f"`{key}` {points.schema[key].dataType.simpleString()}, x double, y double"
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y"]].to_numpy(float)
         h = _hull(p)
         h = h if len(h) else np.unique(p, axis=0)[[0, -1]]
         return pd.DataFrame({key: pdf[key].iloc[0], "x": h[:, 0], "y": h[:, 1]})
 
-    d = points.select(key, F.col(x).alias(x), F.col(y).alias(y)).dropDuplicates([key, x, y])
-    schema = f"{key} {points.schema[key].dataType.simpleString()}, x double, y double"
-    few = d.withColumn("_s", slice_).groupBy(key, "_s").applyInPandas(lambda pdf: partial(pdf), schema)
-    g = few.groupBy(key).agg(F.collect_set(F.struct("x", "y")).alias("_p"))
+    def of_batches(batches):
+        for b in batches:
+            parts = [corners(g) for _, g in b.groupby(key, dropna=False, sort=False)]
+            if parts:
+                yield pd.concat(parts)
+
+    d = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    d = cut_lineage(d.mapInPandas(of_batches, schema))
+    left = d.count()
+    while True:
+        sizes = d.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / slice_rows).alias("_n"))
+        if sizes.where("_n > 1").limit(1).isEmpty():
+            break
+        sliced = d.join(sizes, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.col("_n")))
+        d = cut_lineage(sliced.groupBy(key, "_s").applyInPandas(corners, schema))
+        before, left = left, d.count()
+        if left > 0.9 * before:
+            break
+    g = d.groupBy(key).agg(F.collect_set(F.struct("x", "y")).alias("_p"))
     return g.select(key, hull_of("_p").alias("_h")).select(key, F.when(F.size("_h") >= 3, G.polygon(close_xy(F.col("_h")))).alias("geom"))
 
 

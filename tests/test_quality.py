@@ -155,3 +155,29 @@ def test_required_fields_of_a_dataset_without_fields(spark):
     fields = spark.createDataFrame([], "dataset string, name string")
     got = Q.check_required(features, fields, ["A", "B"]).collect()
     assert sorted(r.field for r in got) == ["A", "B"]
+
+
+SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10)]
+
+
+@pytest.mark.parametrize("rings,contact", [
+    ([SQUARE, [(2, 2), (4, 2), (4, 4), (2, 4)]], None),
+    ([SQUARE, [(8, 8), (12, 8), (12, 9), (8, 9)]], 2),  # a hole across the shell
+    ([[(0, 0), (10, 0), (10, 10), (5, 3), (0, 10)], [(4, 2), (6, 2), (6, 5), (4, 5)]], 2),  # a spike of the shell through a hole
+    ([SQUARE, [(0, 5), (3, 4), (3, 6)]], None),  # a hole that touches the shell in one point
+    ([SQUARE, [(2, 2), (4, 2), (4, 4), (2, 4)], [(2, 2), (4, 2), (4, 4), (2, 4)]], None),  # equal holes are another fault
+    ([SQUARE, [(2, 2), (5, 2), (5, 5), (2, 5)], [(4, 4), (7, 4), (7, 7), (4, 7)]], 2),  # holes that cross
+])
+def test_rings_that_cross(spark, rings, contact):
+    found = Q.self_contacts(outlines(spark, [("a", rings)]), ["feature_id"]).collect()
+    assert [r["contact"] for r in found if r["contact"] == 2] == ([contact] if contact else [])
+
+
+def test_stray_and_nested_holes_are_repaired(spark):
+    from terrafold.operators import build as B
+
+    box = lambda a, s: [(a, a), (a + s, a), (a + s, a + s), (a, a + s)]
+    rows = [("stray", [box(0, 10), box(20, 2)]), ("nested", [box(0, 10), box(1, 6), box(2, 2)]), ("plain", [box(0, 10), box(2, 3)]), ("across", [box(0, 10), box(8, 4)])]
+    f, _ = B.build_features(outlines(spark, rows), B.BuildProfile())
+    got = {r["feature_id"]: (r["status"], r["was_repaired"], r["a"]) for r in f.select("feature_id", "status", "was_repaired", G.st_area("geom").alias("a")).collect()}
+    assert got == {"stray": ("written", True, 100.0), "nested": ("written", True, 64.0), "plain": ("written", False, 91.0), "across": ("written", True, 96.0)}
