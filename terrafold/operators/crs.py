@@ -91,7 +91,10 @@ def find_crs(requests: DataFrame, catalog: DataFrame, col: str, prefix: str) ->
 
 def crs_for_points(points: DataFrame, catalog: DataFrame, k: int = 20, pid: str = "pid", lon: str = "lon", lat: str = "lat",
                    size: float = 10.0) -> DataFrame:
-    """Projected entries whose area holds each point, smallest area first; areas may cross the antimeridian."""
+    """Projected entries whose area holds each point, smallest area first; areas may cross the antimeridian.
+
+    Each cell keeps its own short list of areas, so a point does not meet every area that holds it.
+    """
     box = catalog.where(F.col("is_projected") & F.col("south").isNotNull() & F.col("north").isNotNull() & F.col("west").isNotNull() & F.col("east").isNotNull())
     width = F.when(F.col("west") <= F.col("east"), F.col("east") - F.col("west")).otherwise(F.col("east") - F.col("west") + 360)
     box = box.withColumn("area_size", F.greatest(F.lit(0.0), F.col("north") - F.col("south")) * width)
@@ -99,7 +102,13 @@ def crs_for_points(points: DataFrame, catalog: DataFrame, k: int = 20, pid: str
     pieces = F.when(F.col("west") <= F.col("east"), F.array(span(F.col("west"), F.col("east")))).otherwise(
         F.array(span(F.col("west"), F.lit(180.0)), span(F.lit(-180.0), F.col("east"))))
     box = box.withColumn("_s", F.explode(pieces)).withColumns({"_w": F.col("_s.w"), "_e": F.col("_s.e")}).drop("_s")
-    j = S.box_pairs(points, box, size, (lon, lat, lon, lat), ("_w", "south", "_e", "north"), split_above=None).drop("_w", "_e")
+    # Per cell, an area that comes after ``k`` smaller ones which cover the whole cell can be no point's answer there.
+    box = S.cells(box, size, ("_w", "south", "_e", "north"))
+    full = (F.col("_w") <= F.col("_cx") * size) & (F.col("_e") >= (F.col("_cx") + 1) * size) & (F.col("south") <= F.col("_cy") * size) & (F.col("north") >= (F.col("_cy") + 1) * size)
+    smaller = W.partitionBy("_cx", "_cy").orderBy("area_size", "code").rowsBetween(W.unboundedPreceding, -1)
+    box = box.withColumn("_over", F.coalesce(F.sum(full.cast("int")).over(smaller), F.lit(0))).where(F.col("_over") < k).drop("_over")
+    at = points.withColumns({"_cx": S._cell(F.col(lon), size), "_cy": S._cell(F.col(lat), size)})
+    j = at.join(box, ["_cx", "_cy"]).where(F.col(lon).between(F.col("_w"), F.col("_e")) & F.col(lat).between(F.col("south"), F.col("north"))).drop("_cx", "_cy", "_w", "_e")
     w = W.partitionBy(pid).orderBy("area_size", "code")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
