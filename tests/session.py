@@ -4,6 +4,9 @@ from pyspark.sql import SparkSession
 
 
 def spark_session(cpus: str | None = None) -> SparkSession:
+    # Python workers find the package whatever folder the run was started from.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, os.environ.get("PYTHONPATH")) if p)
     spark = (
         SparkSession.builder.master(f"local[{cpus or os.environ.get('BENCH_CPUS', '8')}]")
         .appName("terrafold")
