@@ -129,3 +129,13 @@ def test_profiles_inherit_along_long_chains(spark):
     assert (r["299"]["status"], r["299"]["name"], r["299"]["output_crs"], r["299"]["naming"], r["299"]["layer_mapping"], len(r["299"]["excluded"])) == ("ok", "root", "7", "299", {"Roads": "299"}, 300)
     assert (r["5"]["output_crs"], len(r["5"]["excluded"])) == (None, 6)
     assert [r[x]["status"] for x in "abcxy"] == ["Gis.ProfileCycle"] * 3 + ["Gis.ProfileParentNotFound"] * 2
+
+
+def test_stopped_read_is_told(spark):
+    from terrafold.operators import relations as R
+
+    e = spark.range(10).select("id", F.when(F.col("id") < 8, "A").otherwise("B").alias("layer"), F.col("id").alias("pos"))
+    layers = spark.createDataFrame([("a", True, False), ("b", False, False)], "layer string, is_visible boolean, is_frozen boolean")
+    assert R.filter_layers(e, layers, max_elements=5).count() == 5
+    assert [r["code"] for r in R.element_limit_warning(e, layers, 5).collect()] == ["Reader.ElementLimit"]
+    assert R.element_limit_warning(e, layers, 8).count() == R.element_limit_warning(e, layers, 0).count() == 0
