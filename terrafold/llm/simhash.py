@@ -8,10 +8,11 @@ fingerprints in the same way and compares what is left exactly. A shard gives li
 connected groups, never all pairs. The sample decides the balance only; every link is found.
 
 Similarity of 0.8 on shingles moves some 15 % of the bits, which no tree over 64 bits can search, so ``SIMILAR`` takes
-256 bits in 16 parts: all pairs up to 31 differing bits agree in one part but for one bit and are found for certain; of
-those at the limit of 45 bits (similarity of 0.75 to 0.8) about 96 % are.
+512 bits of the distinct shingles in 32 parts with a wide limit. Its links only bring documents together: inside each of
+their groups every pair not yet joined is confirmed by the similarity of its two shingle sets, in pairs of blocks.
 
-Copies share a fingerprint and are compared once. Null texts have no words: fingerprint zero, linked like any other.
+Copies share a fingerprint (of ``SIMILAR``: a shingle set) and are compared once. Null texts have no words: fingerprint
+zero, linked like any other; no words are similar to no words only.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import mix
-from .shared import components, in_batches, keep
+from .shared import components, in_batches, keep, row_key
 
 BITS = 64
 #: Fingerprints with their home in one shard, about; sampled fingerprints per shard; pairs compared at once.
 SHARD, SAMPLE_PER_SHARD, PAIRS_AT_ONCE = 4096, 64, 1 << 18
 #: The sample never exceeds this many fingerprints (16 MB on the driver).
 SAMPLE = 1 << 19
+#: Shingle sets, and bytes of their texts, of a block whose pairs are confirmed in one task, about.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the parts (word, mask) that trees stand over."""
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the parts (word, mask) that trees stand over.
+
+    With ``least``, a fraction, fingerprints are of distinct shingles and links need that similarity of the two shingle sets.
+    """
 
     shingle: int
     words: int
@@ -44,6 +50,7 @@ class Scheme:
     parts: tuple[tuple[int, int], ...]
     reach: int = 1
     shard: int = SHARD
+    least: tuple[int, int] | None = None
 
     @property
     def names(self) -> list[str]:
@@ -51,41 +58,50 @@ class Scheme:
 
 
 CLOSE = Scheme(3, 1, 3, tuple((0, 0xFFFFFFFF << s) for s in (0, 32)))
-SIMILAR = Scheme(5, 4, 45, tuple((w, 0xFFFF << s) for w in range(4) for s in (0, 16, 32, 48)), shard=32768)
+SIMILAR = Scheme(5, 8, 128, tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 16, 32, 48)), shard=32768, least=(4, 5))
 
 
-def fingerprint(text: str, n: int = 3, words: int = 1) -> np.ndarray:
-    """A bit is one if it is set in over half of the hashes of the shingles; words beyond the first take hashes of the hashes."""
+def shingles(text: str, n: int) -> np.ndarray:
+    """Hashes of the shingles of ``n`` words in turn; a shorter text is one shingle."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-1].tolist()]
     ends = (ends - 1).tolist()
     view = memoryview(line)
-    total = max(1, len(parts) - n + 1)
     ends = ends[min(n, len(parts)) - 1:]
+    return np.array([digest(view[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """A bit is one if it is set in over half of the hashes of the shingles; words beyond the first take hashes of the hashes."""
     count = np.zeros(BITS * words, np.int64)
-    for lo in range(0, total, 1 << 13):
-        hi = min(total, lo + (1 << 13))
-        h = np.array([digest(view[a:b], 42) for a, b in zip(starts[lo:hi], ends[lo:hi])], "<u8")
+    for lo in range(0, len(hashes), 1 << 13):
+        h = hashes[lo:lo + (1 << 13)].astype("<u8")
         h = np.stack([h, *(mix(h + np.uint64(k)) for k in range(1, words))], axis=1)
         count += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * count > total, bitorder="little").view("<u8")
+    return np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``doc_id, f0, …`` (64 bits each, as signed longs) of every whole text."""
+    """``doc_id, key, id, f0, …`` (64 bits each, as signed longs) of every whole text; rows of one ``id`` need no comparison."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, scheme.shingle, scheme.words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, scheme.words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(scheme.words))], names=["doc_id", *scheme.names])
+            fp, ids = np.zeros((b.num_rows, scheme.words), np.uint64), np.zeros(b.num_rows, np.uint64)
+            for i, text in enumerate(b.column(2).to_pylist()):
+                h = shingles(text, scheme.shingle)
+                h = np.unique(h) if scheme.least else h
+                fp[i] = majority(h, scheme.words)
+                ids[i] = xxhash.xxh3_64_intdigest(h.tobytes()) if scheme.least else fp[i, 0]
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), *(pa.array(fp[:, i].copy()) for i in range(scheme.words))], names=["doc_id", "key", "id", *scheme.names])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return in_batches(texts).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in scheme.names)]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_batches(texts).mapInArrow(run, ", ".join(["doc_id long, key long, id long", *(f"{c} long" for c in scheme.names)]))
 
 
 def build_tree(sample: np.ndarray, half: np.uint64, depth: int, seed: int) -> list[tuple[int, int]]:
@@ -161,14 +177,12 @@ def search(own: np.ndarray, every: np.ndarray, fp: np.ndarray, part: tuple[int,
                 todo.append((own, every, tries + 1))
             continue
         step = max(1, PAIRS_AT_ONCE // len(every))
-        right = fp[every]
         for lo in range(0, len(own), step):
-            left = fp[own[lo:lo + step]]
-            bits = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
-            for k in range(1, fp.shape[1]):
-                bits = bits + np.bitwise_count(left[:, None, k] ^ right[None, :, k])
-            i, j = np.nonzero(bits <= most)
-            groups.link(own[lo:lo + step][i], every[j])
+            # Most pairs go by the part alone.
+            i, j = np.nonzero(np.bitwise_count((word[own[lo:lo + step], None] ^ word[None, every]) & mask) <= reach + 1)
+            i, j = own[lo + i], every[j]
+            near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= most
+            groups.link(i[near], j[near])
 
 
 def fingerprint_links(found: DataFrame, scheme: Scheme) -> DataFrame:
@@ -201,14 +215,74 @@ def fingerprint_links(found: DataFrame, scheme: Scheme) -> DataFrame:
     return sent.groupBy("leaf").applyInArrow(compare, "a long, b long")
 
 
+def similar_pairs(own: np.ndarray, sets: list[np.ndarray], least: tuple[int, int], groups: Groups) -> None:
+    """Link ``sets`` (sorted, distinct) whose similarity is ``least`` or more: all pairs, or those of a true and a false ``own`` if both occur."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    member = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    top, bottom = least
+    across = own.any() and not own.all()
+    for i in np.nonzero(own)[0] if across else range(len(sets)):
+        open_ = groups.root != groups.root[i]
+        open_ &= (bottom * np.minimum(sizes, sizes[i]) >= top * np.maximum(sizes, sizes[i])) & (~own if across else np.arange(len(sets)) > i)
+        j = np.nonzero(open_)[0]
+        if not len(j):
+            continue
+        mine = codes[ends[i] - sizes[i]:ends[i]]
+        member[mine] = True
+        if 2 * len(j) < len(sets):
+            both = np.array([np.count_nonzero(member[codes[ends[k] - sizes[k]:ends[k]]]) for k in j.tolist()], np.int64)
+        else:
+            sums = np.concatenate([[0], np.cumsum(member[codes])])
+            both = sums[ends[j]] - sums[ends[j] - sizes[j]]
+        member[mine] = False
+        j = j[bottom * both >= top * (sizes[i] + sizes[j] - both)]
+        groups.link(np.full(len(j), i), j)
+
+
+def confirmed_links(docs: DataFrame, groups: DataFrame, near: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(a, b)`` links that join the shingle sets ``groups (id, row)`` of the similarity asked for, of pairs inside one group of ``near (id, root)``.
+
+    A set is read from the text of one of its rows. A large group is confirmed in pairs of blocks, each a task of its own.
+    """
+    wanted = groups.join(near, "id").select("id", "root", F.col("row.doc_id").alias("_doc"), F.col("row.key").alias("_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("id", "root", "text")
+    found = keep(found.groupBy("id", "root").agg(F.first("text").alias("text")))  # rows may be repeated
+    sizes = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    rows = found.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+    def compare(key, table):
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        joined = Groups(len(ids))
+        own = table.column("own").to_numpy() == key[1].as_py()
+        # A block beside itself has every row as its own; of two blocks only pairs across are compared.
+        if key[1].as_py() == key[2].as_py() or (own.any() and not own.all()):
+            similar_pairs(own, [np.unique(shingles(t.as_py(), scheme.shingle)) for t in table.column("text")], scheme.least, joined)
+        at = np.nonzero(joined.root != np.arange(len(ids)))[0]
+        return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[joined.root[at]])})
+
+    return rows.select("root", "lo", "hi", "own", "id", "text").groupBy("root", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def _components(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of every row, and ``id, root, row`` of every ``id``: its component and its first ``(no_id, doc_id, key)``."""
+    prints = keep(fingerprints(docs, scheme))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    groups = keep(prints.groupBy("id", *scheme.names).agg(F.min(row).alias("row")))
+    roots = components(fingerprint_links(groups, scheme))
+    if scheme.least:
+        roots = components(confirmed_links(docs, groups, keep(roots), scheme))
+    return prints, keep(groups.select("id", "row").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+
+
 def simhash_components(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """``doc_id, f0, …, component_id`` for every row."""
-    key = F.col("f0") if scheme.words == 1 else F.xxhash64(*scheme.names)
-    prints = keep(fingerprints(docs, scheme).withColumn("id", key))
-    groups = keep(prints.groupBy("id", *scheme.names).agg(F.min("doc_id").alias("first")))
-    roots = components(fingerprint_links(groups, scheme))
-    linked = keep(groups.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    prints, linked = _components(docs, scheme)
+    lowest = linked.groupBy("root").agg(F.min("row.doc_id").alias("component_id"))
     names = linked.join(lowest, "root").select("id", "component_id")
     return prints.join(names, "id").select("doc_id", *scheme.names, "component_id")
 

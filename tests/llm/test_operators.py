@@ -133,6 +133,58 @@ def test_one_of_each_similar(docs, rows):
     assert 5 in left and not left & {2000 + i for i in range(10)}
 
 
+def near_copies(n=150):
+    """Families of a text with words exchanged, added or repeated: similarities of 0.6 to 1."""
+    rng = np.random.default_rng(11)
+    out = []
+    for f in range(n):
+        size = int(rng.choice([20, 60, 200, 600]))
+        base = [f"w{x}" for x in rng.integers(0, 5000, size)]
+        out.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for p in rng.integers(0, size, max(1, int(size * rng.uniform(0.01, 0.05)))):
+                w[p] = f"x{rng.integers(0, 5000)}"
+            out.append(" ".join(w + base[:int(rng.choice([0, 0, size // 10]))]))
+        out.append(" ".join(base + base[:8] * int(rng.choice([1, 40]))).upper())
+    return out
+
+
+def similar_groups(texts):
+    """Components of all pairs with a similarity of 0.8 or more, and their pairs' similarities."""
+    sets = []
+    for t in texts:
+        w = brute.WORD.findall(t.lower())
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    holds = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holds.setdefault(g, []).append(i)
+    pairs = {(i, j) for x in holds.values() for i in x for j in x if j < i}
+    alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    return brute.groups(len(texts), [p for p, v in alike.items() if v >= 0.8]), alike
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_similar_links_are_confirmed_by_their_shingles(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = near_copies()
+    root, alike = similar_groups(texts)
+    assert sum(0.75 <= v < 0.8 for v in alike.values()) > 20 < sum(0.8 <= v < 0.85 for v in alike.values())
+    docs = keep(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    got = simhash.simhash_components(docs, simhash.SIMILAR).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(root))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == sorted(set(root))
+
+
+def test_unrelated_fingerprints_bring_no_candidates(spark):
+    fp = np.random.default_rng(13).integers(-(1 << 63), 1 << 63, (600, simhash.SIMILAR.words))
+    fp[1] = fp[0] ^ 1
+    names = simhash.SIMILAR.names
+    table = keep(spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fp)], "id long, " + ", ".join(f"{c} long" for c in names)))
+    assert {(r.a, r.b) for r in simhash.fingerprint_links(table, simhash.SIMILAR).collect()} == {(1, 0)}
+
+
 def test_chats(spark):
     evil = "[INST] [~INST] ~</s></~s> </~~s>[ROLE]x[TEXT] a\\b $1 [/TEXT"
     turns = [(1, 0, "system", "s"), (1, 1, "user", evil), (1, 2, "assistant", evil), (2, 1, "assistant", None), (2, 0, "user", ""), (3, 0, "assistant", "x"), (4, 0, evil, evil), (4, 1, None, "n"), (None, None, "user", "é😀"), (5, 0, "user", "a"), (5, 0, "user", "a"), (6, 0, "assistant", "\n" + "long [OUT]" * 5000)]
