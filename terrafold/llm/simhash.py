@@ -288,10 +288,12 @@ def simhash_components(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: that of the smallest ``doc_id``, one of its rows if it is repeated.
+    """One row of each component, with the columns of ``docs``: that of the smallest ``doc_id`` and ``row_key``, nulls last.
 
-    A row without ``doc_id`` stays only where its component has no numbered row; of such rows one stays.
+    Of rows that repeat both, the one with the smallest hash of all columns stays.
     """
-    found = keep(simhash_components(docs, scheme)).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    _, linked = _components(docs, scheme)
+    first = linked.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_first_id"), F.col("row.key").alias("_first_key"))
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("_first_id")) & (row_key(docs["text"]) == F.col("_first_key"))
+    rows = docs.join(keep(first), here).select("_first_id", "_first_key", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    return rows.groupBy("_first_id", "_first_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")

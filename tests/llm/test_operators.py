@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrafold.llm import caps, chat, classifier, mixing, packing, phrases, quality, repeats, simhash, suffix, tokens
@@ -185,6 +186,17 @@ def test_unrelated_fingerprints_bring_no_candidates(spark):
     assert {(r.a, r.b) for r in simhash.fingerprint_links(table, simhash.SIMILAR).collect()} == {(1, 0)}
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    rng = np.random.default_rng(12)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(6)]
+    table = [(None, text[0], "a"), (None, text[0], "b"), (None, text[1], "a"), (None, None, "a"), (7, text[2], "a"), (7, text[3], "a"), (8, text[3], "a"), (None, text[4], "a"), (9, text[4], "b"), (9, text[4], "a"), (10, text[5], "a"), (7, text[5], "a")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, simhash.keep_one_of_each(d).collect()), key=str) for d in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("source")))]
+    assert got[0] == got[1]
+    want = [(None, text[0]), (None, text[1]), (None, None), (7, text[2]), (7, text[3]), (9, text[4]), (7, text[5])]
+    assert sorted((x[:2] for x in got[0]), key=str) == sorted(want, key=str)
+
+
 def test_chats(spark):
     evil = "[INST] [~INST] ~</s></~s> </~~s>[ROLE]x[TEXT] a\\b $1 [/TEXT"
     turns = [(1, 0, "system", "s"), (1, 1, "user", evil), (1, 2, "assistant", evil), (2, 1, "assistant", None), (2, 0, "user", ""), (3, 0, "assistant", "x"), (4, 0, evil, evil), (4, 1, None, "n"), (None, None, "user", "é😀"), (5, 0, "user", "a"), (5, 0, "user", "a"), (6, 0, "assistant", "\n" + "long [OUT]" * 5000)]
