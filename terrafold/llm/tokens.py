@@ -27,6 +27,8 @@ from .shared import in_batches
 MAGIC = b"TFB1"
 HEADER = struct.Struct("<4sBxxxIQ")
 MARKS = ".,;:!?"
+#: White space of ``str.split()`` that is none to the tokenizer, and the words of a text that holds some.
+CONTROLS, WORDS = re.compile("[\x1c-\x1f]").search, re.compile(r"[\S\x1c-\x1f]+").findall
 #: Ids in a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 
@@ -45,7 +47,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         # Latin letters have one lower case whatever stands around them; special tokens are matched before lower-casing.
-        parts = (text if self.wide(text) else text.lower()).split()
+        line = text if self.wide(text) else text.lower()
+        parts = WORDS(line) if CONTROLS(line) else line.split()
         known = self.known
         try:
             return b"".join([known[w] for w in parts])

@@ -95,6 +95,14 @@ def test_token_files(spark, docs, rows, tmp_path):
         at += n
 
 
+def test_words_end_where_the_tokenizer_says():
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = [f"One{c}two,{c}{c}three.{c}" for c in [*spaces, "\x1b", "\u180e", "\u200b"]] + ["".join(spaces), "\x1c", "a\x1cb c\x1d\x1e d,\x1f 三\x1c", "tail. \x1f"]
+    enc = tokens.WordEncoder(brute.TOKENIZER)
+    for t in texts * 2:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == brute.ids_of(t), repr(t)
+
+
 def test_quality(docs, rows):
     got = sorted((known(r.doc_id), *r[1:6], r.base_failed) for r in quality.score_quality(docs).collect())
     assert got == sorted((known(d), *brute.quality(t)) for d, t in rows)
