@@ -35,6 +35,8 @@ SHARD, SAMPLE_PER_SHARD, PAIRS_AT_ONCE = 4096, 64, 1 << 18
 SAMPLE = 1 << 19
 #: Shingle sets, and bytes of their texts, of a block whose pairs are confirmed in one task, about.
 BLOCK, BLOCK_BYTES = 512, 1 << 24
+#: Fingerprints of a leaf in one task, about; a leaf of more is compared in pairs of blocks.
+LEAF = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -164,7 +166,7 @@ def search(own: np.ndarray, every: np.ndarray, fp: np.ndarray, part: tuple[int,
     todo = [(own, every, 0)]
     while todo:
         own, every, tries = todo.pop()
-        if not len(own) or len(every) < 2:
+        if not len(own) or not len(every):
             continue
         if len(own) > 32 and len(own) * len(every) > 1 << 15 and tries < 3:
             v = word[own[rng.integers(len(own))]]
@@ -193,26 +195,51 @@ def fingerprint_links(found: DataFrame, scheme: Scheme) -> DataFrame:
     sample = np.array([tuple(r) for r in found.select(*names).orderBy(F.xxhash64("id")).limit(bound).collect()], np.int64).reshape(-1, len(names)).view(np.uint64)
     trees = [build_tree(sample[:, w], np.uint64(m), depth, k) for k, (w, m) in enumerate(parts)]
 
+    def routed(b: pa.RecordBatch):
+        """``(row, leaf, own)`` by part; leaves of all parts have numbers of their own."""
+        for k, (w, m) in enumerate(parts):
+            row, leaf, own = route(b.column(w + 1).to_numpy().view(np.uint64), trees[k], np.uint64(m), depth, reach)
+            yield row, leaf * len(parts) + k, own
+
+    def count(batches):
+        for b in batches:
+            leaf, size = np.unique(np.concatenate([x[1] for x in routed(b)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(size)], names=["leaf", "size"])
+
+    columns = ", ".join(f"{c} long" for c in ("id", *names))
+    source = found.select("id", *names)
+    sizes = in_batches(source).mapInArrow(count, "leaf long, size long").groupBy("leaf").agg(F.sum("size").alias("size"))
+    # Some thousand rows at most, as a leaf is large.
+    large = {r["leaf"]: -(-r["size"] // LEAF) for r in sizes.filter(F.col("size") > LEAF).collect()}
+
     def send(batches):
         for b in batches:
-            for k, (w, m) in enumerate(parts):
-                row, leaf, own = route(b.column(w + 1).to_numpy().view(np.uint64), trees[k], np.uint64(m), depth, reach)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array((leaf * len(parts) + k).astype(np.int64)), pa.array(own), *(b.column(i).take(at) for i in range(len(names) + 1))], names=["leaf", "own", "id", *names])
+            part = mix(b.column(0).to_numpy().view(np.uint64))
+            for row, leaf, own in routed(b):
+                blocks = np.array([large.get(x, 1) for x in leaf.tolist()], np.int64)
+                mine = (part[row] % blocks.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                mine, rows = mine[at], pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (leaf[at], np.minimum(mine, other), np.maximum(mine, other), mine <= other, own[at])), *(b.column(i).take(rows) for i in range(len(names) + 1))],
+                                                 names=["leaf", "lo", "hi", "low", "own", "id", *names])
 
     def compare(key, table):
+        """A leaf, or a pair of blocks of one."""
         table = table.sort_by("id")  # the same links whatever the order of arrival
+        leaf, lo, hi = (k.as_py() for k in key)
         ids = table.column("id").to_numpy()
         fp = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-        own = table.column("own").to_numpy(zero_copy_only=False)
-        groups = Groups(len(fp))
-        search(np.nonzero(own)[0], np.arange(len(fp)), fp, parts[key[0].as_py() % len(parts)], reach, most, groups, np.random.default_rng(key[0].as_py()))
+        own, low = (table.column(c).to_numpy(zero_copy_only=False) for c in ("own", "low"))
+        groups, rng = Groups(len(fp)), np.random.default_rng(leaf)
+        sides = [(own, np.ones(len(fp), bool))] if lo == hi else [(own & low, ~low), (own & ~low, low)]
+        for a, b in sides:
+            search(np.nonzero(a)[0], np.nonzero(b)[0], fp, parts[leaf % len(parts)], reach, most, groups, rng)
         at = np.nonzero(groups.root != np.arange(len(fp)))[0]
         return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[groups.root[at]])})
 
-    columns = ", ".join(f"{c} long" for c in ("id", *names))
-    sent = in_batches(found.select("id", *names)).mapInArrow(send, f"leaf long, own boolean, {columns}")
-    return sent.groupBy("leaf").applyInArrow(compare, "a long, b long")
+    sent = in_batches(source).mapInArrow(send, f"leaf long, lo long, hi long, low boolean, own boolean, {columns}")
+    return sent.groupBy("leaf", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def similar_pairs(own: np.ndarray, sets: list[np.ndarray], least: tuple[int, int], groups: Groups) -> None:

@@ -194,6 +194,20 @@ def test_unrelated_fingerprints_bring_no_candidates(spark):
     assert {(r.a, r.b) for r in simhash.fingerprint_links(table, simhash.SIMILAR).collect()} == {(1, 0)}
 
 
+def test_a_large_leaf_is_compared_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 40)
+    rng = np.random.default_rng(14)
+    low = np.uint64(0x1234567)
+    fp = np.unique(np.concatenate([(rng.integers(0, 1 << 31, 150, dtype=np.uint64) << np.uint64(32)) | low, *((np.uint64(77) << np.uint64(33 + k)) | low ^ (np.uint64(1) << np.arange(30, dtype=np.uint64)) for k in range(3))])).view(np.int64)
+    table = keep(spark.createDataFrame([(x, x) for x in fp.tolist()], "id long, f0 long"))
+    links = simhash.fingerprint_links(table, simhash.CLOSE)
+    plan = links._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow [leaf" in plan and "lo" in plan.split("FlatMapGroupsInArrow [")[1].split("]")[0]
+    root = {r.id: r.root for r in components(links).collect()}
+    want = brute.groups(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).__and__((1 << 64) - 1).bit_count() <= 3])
+    assert [root.get(x, x) for x in fp.tolist()] == [min(fp[k] for k in range(len(fp)) if want[k] == want[i]) for i in range(len(fp))]
+
+
 def test_one_of_each_tells_rows_of_one_id_apart(spark):
     rng = np.random.default_rng(12)
     text = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(6)]
