@@ -43,4 +43,13 @@ q AS (SELECT d.*, t.source_size, t.target, (coalesce(sum(size) OVER (PARTITION B
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - begins)) + greatest(0, least(size, floor(target)::BIGINT - begins - source_size)))::BIGINT AS taken FROM q"""
 
-ORACLES = {"op3_quality": OP3, "op5_chat": OP5, "op8_mixing": OP8}
+OP13 = """
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label AS own, e.label, e.id, list_inner_product(a.v, e.v)::BIGINT AS score FROM e AS a JOIN e ON a.id <> e.id OR a.label <> e.label OR a.v <> e.v WHERE a.id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE s.label <> s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLES = {"op3_quality": OP3, "op5_chat": OP5, "op8_mixing": OP8, "op13_negatives": OP13}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators.common import checkpoint_dir
 
-from . import caps, chat, classifier, mixing, packing, phrases, quality, simhash, suffix, tokens
+from . import caps, chat, classifier, mixing, negatives, packing, periods, phrases, quality, simhash, suffix, tokens
 from .oracles import ORACLES  # noqa: F401
 from .shared import keep, load
 
@@ -84,3 +84,16 @@ def op9_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_caps(spark: SparkSession, sf: str) -> DataFrame:
     return caps.vector_components(load(spark, sf, "embeddings"), 0.93)
+
+
+@query
+def op11_periods(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    return periods.run_digests(docs.select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+@query
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(negatives.quantised(rows, 256, label), every=50, positives=5, negatives=3, low=50, high=95)

@@ -1,9 +1,11 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -128,3 +130,57 @@ def cosine_links(rows, threshold=0.93):
     for r, x in zip(root, rows):
         low[r].append(x[0])
     return {x[0]: (n[i], min(low[root[i]])) for i, x in enumerate(rows)}
+
+
+def planted(doc_id, text):
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def word_runs(w, least=24, times=3):
+    """Every lag beside every place; a stretch counts under its smallest period only."""
+    out = []
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i < len(w) - q:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i < len(w) - q and w[i] == w[i + q]:
+                i += 1
+            n = i - s + q
+            if n >= max(least, times * q) and not any(w[s:s + n - d] == w[s + d:s + n] for d in range(1, q)):
+                out.append((s, n, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periods(doc_id, text):
+    w = planted(doc_id, text)
+    runs = word_runs(w)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    return doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def hard_negatives(rows, scale=256, every=50, positives=5, negatives=3, low=50, high=95):
+    """``rows``: (id, label, vector)."""
+    kept = {(i, l, tuple(math.floor(x * scale) for x in v)) for i, l, v in rows if i is not None and l is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for a in kept:
+        if a[0] % every:
+            continue
+        score = {r: sum(x * y for x, y in zip(a[2], r[2])) for r in kept if r != a}
+        order = sorted(score, key=lambda r: (-score[r], r[0]))
+        for p in [r for r in order if r[1] == a[1]][:positives]:
+            fit = [r for r in order if r[1] != a[1] and low * score[p] <= 100 * score[r] <= high * score[p]]
+            out += [(a[0], p[0], n, r[0], score[p], score[r]) for n, r in enumerate(fit[:negatives], 1)]
+    return sorted(out)
