@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators.common import checkpoint_dir
 
-from . import caps, chat, classifier, mixing, negatives, packing, periods, phrases, quality, simhash, suffix, tokens
+from . import caps, chat, classifier, mixing, negatives, packing, periods, phrases, quality, simhash, suffix, tokens, wrappers
 from .oracles import ORACLES  # noqa: F401
 from .shared import keep, load
 
@@ -92,6 +92,11 @@ def op11_periods(spark: SparkSession, sf: str) -> DataFrame:
     return periods.run_digests(docs.select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text")))
 
 
+@query
+def op12_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract_text(load(spark, sf, "pages"))
+
+
 @query
 def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "embeddings")

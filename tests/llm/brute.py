@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -184,3 +185,41 @@ def hard_negatives(rows, scale=256, every=50, positives=5, negatives=3, low=50,
             fit = [r for r in order if r[1] != a[1] and low * score[p] <= 100 * score[r] <= high * score[p]]
             out += [(a[0], p[0], n, r[0], score[p], score[r]) for n, r in enumerate(fit[:negatives], 1)]
     return sorted(out)
+
+
+class _Article(HTMLParser):
+    """The blocks of the article elements, for pages that have them."""
+
+    BLOCKS = {"article", "p", "h1", "h2", "div", "ul", "li", "section", "blockquote", "footer", "aside", "header", "nav"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.run = 0, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.run).split()):
+            self.out.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside += tag == "article"
+        self.run.append(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.run.append(data)
+
+
+def article(page):
+    reader = _Article()
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return "\n".join(reader.out)

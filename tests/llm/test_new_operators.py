@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.llm import negatives, periods
+from terrafold.llm import negatives, periods, wrappers
 from terrafold.llm.queries import QUERIES
 
 from . import brute
@@ -90,3 +90,76 @@ def test_scores_beyond_doubles_are_exact(spark):
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = sorted(tuple(r) for r in negatives.mine_negatives(negatives.quantised(table, scale=1)).collect())
     assert got == brute.hard_negatives(rows, scale=1) and len(got) == 6
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows], "page_id long, url string, html string, host string, part int").repartition(4)
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()}
+
+
+def test_pages_of_the_table(spark):
+    got = sorted(tuple(r) for r in QUERIES["op12_wrappers"](spark, SF).collect())
+    rows = duckdb.sql(f"SELECT page_id, url, html FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()
+    assert got == [(i, u, brute.article(h), len(brute.article(h))) for i, u, h in rows]
+
+
+def test_pages_without_article(spark):
+    def page(i):
+        body = "".join(f"<h2>Part {i} {j}</h2><p>Text {i * 7 + j} with <b>bold</b> and <a href='/x'>a link</a>.</p>" for j in range(2 + i % 3))
+        return (f"<html><body class='has-sidebar'><div><a href='/'>Home</a> <a href='/a'>All</a></div><div id=top><p>Welcome to our site</p></div><div><div><h1>Title {i}</h1>{body}"
+                f"<div><p>Tell your friends</p></div></div><div class='comments'><p>reader {i} says no</p></div></div><div class='side sidebar'><p>other {i}</p></div>"
+                f"<form><p>mail {i}</p></form><div class=copyright>&copy; {i}</div></body></html>")
+
+    got = _texts(spark, [(i, "https://a.example/x", page(i)) for i in range(9)])
+    for i in range(9):
+        parts = [x for j in range(2 + i % 3) for x in (f"Part {i} {j}", f"Text {i * 7 + j} with bold and a link.")]
+        assert got[i] == "\n".join([f"Title {i}", *parts])
+
+
+def test_odd_markup(spark):
+    rows = [
+        (0, "http://x.example/0", None), (1, "http://x.example/1", ""), (2, None, "plain &lt;text&gt; &amp; more\n here"),
+        (3, "not an address", "<p>one<p>two &amp;copy; &#233;&#x20AC; &nbsp; end<br>three"),
+        (4, "http://y.example/", "<article><p>a<script>var x='</p><p>no</p>'</script>b</p><!-- <p>no</p> --><style>p{}</style><ul><li>one<li>two</ul><p>c <a title='x > y' href=q>d</a></p></article><p>out</p>"),
+        (5, "http://y.example/", "<article><p>unfinished <b>bold</p><div>d1<p>d2</p>d3</div><p>tail <a href='"),
+        (6, "http://z.example/", "<div>" * 500 + "deep" + "</div>" * 500),
+        (7, "http://z.example/", "<article>" + "<p>word</p>" * 20000 + "</article>"),
+        (8, "http://w.example/", "<header><h1>Site</h1></header><article><header><h1>Own</h1><p>by me</p></header><p>x</p><footer>f</footer><section id='comments'><article><p>no</p></article></section></article>"),
+        (9, "http://w.example/", "<main><p>x</p><aside>y</aside></main><p>z</p>"), (10, "http://v.example/", "<nav>n</nav>"), (11, "http://v.example/", "1 < 2 and <3"), (12, "http://v.example/", "<title>t</title><p hidden>h</p><p>v</p>"),
+    ]
+    got = _texts(spark, rows + [rows[3]])
+    assert got == {0: "", 1: "", 2: "plain <text> & more here", 3: "one\ntwo &copy; é€ end three", 4: "ab\none\ntwo\nc d", 5: "unfinished bold\nd1\nd2\nd3\ntail", 6: "deep",
+                   7: "\n".join(["word"] * 20000), 8: "Own\nx", 9: "x", 10: "", 11: "1 < 2 and <3", 12: "v"}
+    assert wrappers.extract_text(_pages(spark, rows).limit(0)).count() == 0
+
+
+def test_constants_go_where_the_rest_varies(spark):
+    page = "<article><h1>News</h1><div class=lead>Read our terms</div><p>{}</p><ul><li><a href=1>More</a><li><a href=2>News</a><li><a href=3>Here</a></ul></article>"
+    rows = [(i, "http://n.example/", page.format(f"story {i}")) for i in range(12)]
+    assert set(_texts(spark, rows).values()) == {f"News\nstory {i}" for i in range(12)}
+    # Copies of one page prove nothing about constants.
+    assert set(_texts(spark, [(i, "http://n.example/", page.format("same")) for i in range(12)]).values()) == {"News\nRead our terms\nsame"}
+
+
+def test_wrapper_folds_and_aligns():
+    def wrapper(*pages):
+        trees = sorted((wrappers.page_wrapper(p)[0] for p in pages), key=wrappers.shape)
+        root = trees[0]
+        for t in trees[1:]:
+            root = wrappers._joined(root, t, False)
+        return wrappers.shape(root)
+
+    assert wrapper("<p>a<p>b<p>c") == "< p< # >+ >"
+    assert wrapper("<h2>a</h2><p>b</p>" * 3) == "< ()< h2< # > p< # > >+ >"
+    assert wrapper("<h1>a</h1><p>b", "<h1>a</h1><ul><li>x</ul><p>b") == "< h1< # > ul< li< # > >? p< # > >"
+    text = wrapper("<div class='a b1'><p>x</div>", "<div class='a b2'><p>x<p>y</div><hr>z")
+    assert text == wrappers.shape(wrappers.read(text)) == "< div.a.b0< p< # >+ > #? >"
+
+
+def test_hot_host_meets_its_wrapper_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "HOT_PAGES", 10)
+    rows = [(i, "http://hot.example/", f"<nav>n</nav><div><p>text {i}</p></div>") for i in range(200)]
+    assert _texts(spark, rows) == {i: f"text {i}" for i in range(200)}
