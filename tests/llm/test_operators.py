@@ -186,12 +186,34 @@ def test_similar_links_are_confirmed_by_their_shingles(spark, block, monkeypatch
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == sorted(set(root))
 
 
-def test_unrelated_fingerprints_bring_no_candidates(spark):
-    fp = np.random.default_rng(13).integers(-(1 << 63), 1 << 63, (600, simhash.SIMILAR.words))
-    fp[1] = fp[0] ^ 1
-    names = simhash.SIMILAR.names
-    table = keep(spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fp)], "id long, " + ", ".join(f"{c} long" for c in names)))
-    assert {(r.a, r.b) for r in simhash.fingerprint_links(table, simhash.SIMILAR).collect()} == {(1, 0)}
+def test_unrelated_texts_share_no_keys(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 60)) for _ in range(600)]
+    texts[1] = texts[0] + " end"
+    docs = keep(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    prints = keep(simhash.fingerprints(docs, simhash.SIMILAR))
+    members = simhash.key_members(prints.select("id", "bands")).collect()
+    ids = {r.doc_id: r.id for r in prints.collect()}
+    assert {r.id for r in members} == {ids[0], ids[1]} and {r.first for r in members} == {min(ids[0], ids[1])}
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_hot_group_of_near_copies(spark, block, monkeypatch):
+    """Copies of one text with words exchanged: some lie within the limit of their template, some of another copy only, some of none."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = [" ".join(base)]
+    for i in range(160):
+        w = texts[int(rng.integers(0, len(texts)))].split() if i % 3 == 0 else list(base)
+        for p in rng.integers(0, 150, int(rng.integers(1, 7))):
+            w[p] = f"x{rng.integers(0, 5000)}"
+        texts.append(" ".join(w))
+    root, alike = similar_groups(texts)
+    assert 10 < len(set(root)) < 100
+    docs = keep(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    got = simhash.simhash_components(docs, simhash.SIMILAR).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(root))
 
 
 def test_a_large_leaf_is_compared_in_pairs_of_blocks(spark, monkeypatch):
@@ -215,6 +237,9 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame(table, "doc_id long, text string, source string")
     got = [sorted(map(tuple, simhash.keep_one_of_each(d).collect()), key=str) for d in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("source")))]
     assert got[0] == got[1]
+    clash = docs.select("*", *(F.lit(1).alias(c) for c in ("id", "key", "row", "root", "band", "first", "_first_id", "_row", "text_key", "doc")))
+    assert sorted((tuple(r)[:2] for r in simhash.keep_one_of_each(clash).collect()), key=str) == [x[:2] for x in got[0]]
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
     want = [(None, text[0]), (None, text[1]), (None, None), (7, text[2]), (7, text[3]), (9, text[4]), (7, text[5])]
     assert sorted((x[:2] for x in got[0]), key=str) == sorted(want, key=str)
 
