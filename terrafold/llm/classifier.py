@@ -179,7 +179,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     total = known.count()
     if total > train_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * 0.97 * train_rows / total))
-    rows = sorted((r["doc_id"], bytes(r["features"]), float(r["quality"])) for r in features.join(known, "doc_id").collect())
+    # Rows that repeat a labelled id must not lift the bound.
+    known = keep(features.join(known, "doc_id").select("doc_id", "features", "quality").distinct())
+    total = known.count()
+    if total > train_rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", "features", "quality"), F.lit(1 << 30)) < int((1 << 30) * 0.97 * train_rows / total))
+    rows = sorted((r["doc_id"], bytes(r["features"]), float(r["quality"])) for r in known.collect())
     net = train_network(np.array([np.frombuffer(f, np.float32) for _, f, _ in rows], float).reshape(len(rows), 2 * DIM + 2), np.array([q for _, _, q in rows]))
 
     def run(batches):

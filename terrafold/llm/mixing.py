@@ -7,7 +7,8 @@ which every source has sent its target. Entries in service at the cut give the w
 
 Targets share the budget by weight; a target over ``repeats`` times its source stops there and the rest is shared again,
 which in the end is ``least(cap, level * weight)`` for one level. Null sources make a source, the last; null texts have
-size 0; rows of one id are ordered by their text's hash, and repeated rows stand in the queue each.
+size 0; rows of one id are told apart by their text's hash, and repeated rows stand in the queue each; an empty table gives an
+empty one; other columns pass through ``mix_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +35,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, rep
     everything = F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * share
     levels = weighted.withColumn("level", (everything - done) / F.sum("w").over(rest))
     # The first source, by cap per weight, whose share is within its cap sets the level for all.
-    level = F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["level"]
-    return levels.withColumn("best", level).select("source", "source_size", F.coalesce(F.least("cap", F.col("best") * F.col("w")), F.col("cap")).alias("target"))
+    # Of sources with equal caps per weight it is the first again, whose share is the greatest.
+    level = F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", (-F.col("level")).alias("less")))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["less"]
+    return levels.withColumn("best", -level).select("source", "source_size", F.coalesce(F.least("cap", F.col("best") * F.col("w")), F.col("cap")).alias("target"))
 
 
 def queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """Each row of ``docs (doc_id, source, text)`` with ``size, source_size, target, begins`` (words of its source before it) and ``block, slot`` (its place)."""
-    sized = keep(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), row_key(F.col("text")).alias("row_hash"),
-                             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))).alias("ticket")))
+    # The text in the ticket keeps rows of one id, or of none, apart.
+    ticket = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":mix:"), F.md5(F.coalesce(docs["text"], F.lit("")))))
+    sized = keep(docs.select(docs["doc_id"], docs["source"], F.size(words(docs["text"])).cast("long").alias("size"), row_key(docs["text"]).alias("row_hash"), ticket.alias("ticket")))
     blocks = min(65536, max(64, sized.count() // QUEUE_BLOCK))
     placed = sized.withColumn("block", F.floor(F.conv(F.substring("ticket", 1, 4), 16, 10).cast("long") * blocks / 65536).cast("int"))
     cells = placed.groupBy("source", "block").agg(F.sum("size").alias("size"))
@@ -77,7 +80,13 @@ def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of the mix with the columns of ``docs``: a copy stays, whole, if the mix takes at least half of it."""
-    kept = schedule(queue(docs, **how)).filter("2 * words >= size").groupBy("doc_id", "row_hash").agg(F.max(F.col("copy") + 1).alias("copies"))
-    k = kept.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"), F.col("copies").alias("_n"))
-    rows = docs.join(k, docs["doc_id"].eqNullSafe(F.col("_d")) & (row_key(docs["text"]) == F.col("_h")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = schedule(queue(docs, **how)).filter("2 * words >= size")
+    taken = taken.groupBy("source", "doc_id", "row_hash", "block", "slot").agg(F.max(F.col("copy") + 1).alias("copies"))
+    # Rows that are equal here are told apart by their number only.
+    same = ["source", "doc_id", "row_hash"]
+    taken = taken.withColumn("number", F.row_number().over(W.partitionBy(*same).orderBy("block", "slot"))).select(*(F.col(c).alias(f"t_{c}") for c in same), "number", "copies")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"].alias("source"), docs["doc_id"].alias("doc_id"), row_key(docs["text"]).alias("row_hash"))
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy(*same).orderBy(F.xxhash64("row"))))
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in same] + [F.col("at") == F.col("number")]
+    joined = rows.join(taken, on)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

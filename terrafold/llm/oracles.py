@@ -32,12 +32,12 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr
 SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, valid FROM g"""
 
 OP8 = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS ticket FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || md5(coalesce(text, ''))) AS ticket FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, cap / w AS ratio, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-b AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+b AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM b) * w), cap) AS target FROM l),
 q AS (SELECT d.*, t.source_size, t.target, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ticket, doc_id, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begins
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

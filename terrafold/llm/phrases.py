@@ -6,7 +6,8 @@ equal segments, to locate every occurrence; the passages of ``n`` words around t
 word, and those that stand in a document with a smaller id are removed.
 
 Words are runs of anything but ASCII white space, unchanged. A repetition inside one document is no repetition. Null texts
-have no words; null ids come first; rows of one id count as one document.
+have no words; null ids come first; rows of one id count as one document; an empty table gives an empty one; other columns
+pass through ``drop_passages`` whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .repeats import Unit, merged, mix, prefix_sums, rank_runs, repeated_runs, run_hash, with_spans
 from .shared import in_batches
@@ -149,8 +151,8 @@ def remove_passages(docs: DataFrame, n: int = 50) -> DataFrame:
             out = [(d, *_keep_words(t, s)) for d, t, s in zip(*(b.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = _cleaned(docs.select("doc_id", "text"), n)
-    return in_batches(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_spans")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    rows = _cleaned(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), n)
+    return in_batches(rows.select("row.doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def drop_passages(docs: DataFrame, n: int = 50) -> DataFrame:
@@ -158,16 +160,18 @@ def drop_passages(docs: DataFrame, n: int = 50) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("text")
             new = []
-            for t, s in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()):
+            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words, removed, kept = _keep_words(t or "", s) if s else (0, 0, "")
                 new.append((t if not removed else kept, not removed or removed < words))
-            cols = [pa.array([x for x, _ in new], pa.string()) if f.name == "text" else b.column(i) for i, f in enumerate(b.schema) if f.name != "_spans"]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in b.schema if f.name != "_spans"]).filter(pa.array([k for _, k in new]))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = in_batches(_cleaned(docs, n)).mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in new], pa.string())], names=["row", "text"]).filter(pa.array([k for _, k in new], pa.bool_()))
+
+    rows = _cleaned(docs, n)
+    # The row travels without its old text.
+    others = [c for c in docs.columns if c != "text"]
+    bare = rows.withColumn("row", F.struct(*(F.col(f"row.`{c}`") for c in others)))
+    out = in_batches(bare).mapInArrow(run, T.StructType([T.StructField("row", bare.schema["row"].dataType), T.StructField("text", T.StringType())]))
+    text = {"text": F.col("text")}
+    if "n_chars" in others:
+        text["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(text[c].alias(c) if c in text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -9,6 +9,9 @@ groups of several classes, need their units compared; their contexts are fetched
 Equal contexts are combined inside each batch before the shuffle, so copies of one text do not meet in one task. A group
 with more classes than ``GROUP`` is split in blocks that are solved alike; what a block holds first is then compared with
 the other blocks by a 128-bit hash in an aggregate, which Spark combines before its shuffle.
+
+A row is told from others by its id and the 64-bit hash of its text. Rows of one id are one document: of equal runs that start at the
+same unit in several of them none is earlier. Null ids are one id, the smallest.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def anchors(values: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def scan(docs: DataFrame, unit: Unit) -> DataFrame:
-    """``h, c, doc, at, till``: anchors (``till`` 0), and what an equal context of the same batch covers, from ``at`` to ``till``."""
+    """``h, c, doc, key, at, till``: anchors (``till`` 0), and what an equal context of the same batch covers, from ``at`` to ``till``."""
     n, side = unit.n, unit.n - unit.k
 
     def run(batches):
@@ -117,40 +120,35 @@ def scan(docs: DataFrame, unit: Unit) -> DataFrame:
                 values, _ = unit.split(text)
                 pos, h, c = anchors(values, n, unit.k)
                 if len(pos):
-                    parts.append((h.view(np.int64), c.view(np.int64), np.full(len(pos), doc), (pos << 32) | (key & 0xFFFFFFFF), np.full(len(pos), len(values))))
+                    parts.append((h.view(np.int64), c.view(np.int64), np.full(len(pos), doc), np.full(len(pos), key), pos, np.full(len(pos), len(values))))
             if not parts:
                 continue
-            h, c, doc, at, size = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((at, doc, c, h))
-            h, c, doc, at, size = h[order], c[order], doc[order], at[order], size[order]
+            h, c, doc, key, at, size = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((key, at, doc, c, h))
+            h, c, doc, key, at, size = h[order], c[order], doc[order], key[order], at[order], size[order]
             start = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
             first = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
             later = (doc != doc[first]) | ((at != at[first]) & unit.same_document)
-            till = np.where(later, np.minimum((at >> 32) + n, size), 0)
-            at = np.where(later, (np.maximum((at >> 32) - side, 0) << 32) | (at & 0xFFFFFFFF), at)
-            # Neighbouring covers of one document become one.
+            till = np.where(later, np.minimum(at + n, size), 0)
+            at = np.where(later, np.maximum(at - side, 0), at)
+            # Neighbouring covers of one row become one.
             cover = np.nonzero(later)[0]
-            cover = cover[np.lexsort((at[cover], at[cover] & 0xFFFFFFFF, doc[cover]))]
-            d, a, t = doc[cover], at[cover], till[cover]
+            cover = cover[np.lexsort((at[cover], key[cover], doc[cover]))]
+            d, k, a, t = doc[cover], key[cover], at[cover], till[cover]
             if len(cover):
-                lo = a >> 32
-                joins = (d[1:] == d[:-1]) & ((a[1:] ^ a[:-1]) & 0xFFFFFFFF == 0) & (lo[1:] <= t[:-1])
+                joins = (d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (a[1:] <= t[:-1])
                 head = np.nonzero(np.concatenate([[True], ~joins]))[0]
                 tail = np.concatenate([head[1:], [len(cover)]]) - 1
-                d, a, t = d[head], a[head], t[tail]
+                d, k, a, t = d[head], k[head], a[head], t[tail]
             rest = ~later
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (
-                (h[rest], mix((d ^ a).view(np.uint64)).view(np.int64)), (c[rest], np.zeros(len(d), np.int64)), (doc[rest], d), (at[rest], a), (np.zeros(rest.sum(), np.int64), t))], names=["h", "c", "doc", "at", "till"])
+                (h[rest], mix((d ^ k ^ a).view(np.uint64)).view(np.int64)), (c[rest], np.zeros(len(d), np.int64)), (doc[rest], d), (key[rest], k), (at[rest], a), (np.zeros(rest.sum(), np.int64), t))], names=["h", "c", "doc", "key", "at", "till"])
 
-    return in_batches(_keyed(docs)).mapInArrow(run, "h long, c long, doc long, at long, till long")
+    return in_batches(_keyed(docs)).mapInArrow(run, "h long, c long, doc long, key long, at long, till long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _low(c) -> F.Column:
-    return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(docs["text"]).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
 def rank_runs(m: np.ndarray, n: int) -> np.ndarray:
@@ -177,14 +175,14 @@ def covered(hit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GROUP) -> DataFrame:
-    """``doc, low (of its key), lo, hi``: runs of units to remove; ``hi`` may pass the end of the text.
+    """``doc, key, lo, hi``: runs of units to remove; ``hi`` may pass the end of the text.
 
     ``solve(anchor, doc, lo, contexts)`` returns a boolean matrix for contexts of whole blocks, with the place of the anchor in
     each, its document and where it begins there: does the run that starts there occur earlier.
     """
     n, side = unit.n, unit.n - unit.k
     rows = scan(docs, unit).withColumn("cover", F.col("till") > 0).repartition("h", "cover")
-    same = W.partitionBy("h", "cover", "c").orderBy("doc", "at")
+    same = W.partitionBy("h", "cover", "c").orderBy("doc", "at", "key")
     whole = W.partitionBy("h", "cover")
     first_doc, first_at = F.first("doc").over(same), F.first("at").over(same)
     later = (F.col("doc") != F.col("_d")) | ((F.col("at") != F.col("_a")) & F.lit(unit.same_document))
@@ -193,32 +191,32 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
     blocks = F.ceil(F.sum(F.when(F.col("later"), 0).otherwise(1)).over(whole) / group).cast("int")
     found = (rows.withColumns({"_d": first_doc, "_a": first_at}).withColumn("later", F.col("cover") | later)
              .withColumns({"mixed": (F.min("c").over(whole) != F.max("c").over(whole)) & apart, "blocks": blocks}).filter(F.col("later") | F.col("mixed")))
-    found = keep(found.select("h", "doc", "at", "till", "later", "blocks"))
-    place = F.shiftright("at", 32)
-    covers = found.filter("later").select("doc", _low("at").alias("low"), F.when(F.col("till") > 0, place).otherwise(F.greatest(place - side, F.lit(0))).alias("lo"),
+    found = keep(found.select("h", "doc", "key", "at", "till", "later", "blocks"))
+    place = F.col("at")
+    covers = found.filter("later").select("doc", "key", F.when(F.col("till") > 0, place).otherwise(F.greatest(place - side, F.lit(0))).alias("lo"),
                                           F.when(F.col("till") > 0, F.col("till")).otherwise(place + n).alias("hi"))
-    wanted = found.filter("not later").groupBy("doc", _low("at").alias("low")).agg(F.collect_list(F.struct(place.alias("pos"), "h", "blocks")).alias("want"))
-    texts = _keyed(docs).withColumn("low", _low("key"))
+    wanted = found.filter("not later").groupBy("doc", "key").agg(F.collect_list(F.struct(place.alias("pos"), "h", "blocks")).alias("want"))
+    texts = _keyed(docs)
 
     def fetch(batches):
         for b in batches:
             out = []
-            for doc, low, text, want in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for doc, key, text, want in zip(*(b.column(i).to_pylist() for i in range(4))):
                 _, pieces = unit.split(text)
                 for x in want:
                     lo = max(0, x["pos"] - side)
-                    out.append((x["h"], x["blocks"], doc, low, lo, x["pos"] - lo, unit.context(pieces, lo, x["pos"] + n)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "blocks", "doc", "low", "lo", "anchor", "context"])
+                    out.append((x["h"], x["blocks"], doc, key, lo, x["pos"] - lo, unit.context(pieces, lo, x["pos"] + n)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "blocks", "doc", "key", "lo", "anchor", "context"])
 
-    joined = texts.join(wanted, ["doc", "low"]).select("doc", "low", "text", "want")
-    contexts = in_batches(joined).mapInArrow(fetch, "h long, blocks int, doc long, low long, lo long, anchor int, context binary")
-    contexts = contexts.withColumn("block", F.pmod(F.xxhash64("doc", "low", "lo"), F.col("blocks")).cast("int"))
+    joined = texts.join(wanted, ["doc", "key"]).select("doc", "key", "text", "want")
+    contexts = in_batches(joined).mapInArrow(fetch, "h long, blocks int, doc long, key long, lo long, anchor int, context binary")
+    contexts = contexts.withColumn("block", F.pmod(F.xxhash64("doc", "key", "lo"), F.col("blocks")).cast("int"))
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table):
-            doc, low, lo, blocks = (t.column(c).to_numpy() for c in ("doc", "low", "lo", "blocks"))
+            doc, key, lo, blocks = (t.column(c).to_numpy() for c in ("doc", "key", "lo", "blocks"))
             contexts = t.column("context").to_pylist()
             hit = solve(t.column("anchor").to_numpy(), doc, lo, contexts)
             row, a, b = covered(hit, n)
@@ -227,11 +225,11 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
                 for j, x in enumerate(unit.windows(contexts[i])):
                     if not hit[i, j]:
                         d = xxhash.xxh3_128_digest(x)
-                        first.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), int(doc[i]), int(low[i]), int(lo[i]) + j))
+                        first.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), int(doc[i]), int(key[i]), int(lo[i]) + j))
             x, y, d, w, p = zip(*first) if first else ([],) * 5
             none = pa.nulls(len(row), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([u, pa.array(v, pa.int64())]) for u, v in (
-                (none, x), (none, y), (pa.array(doc[row]), d), (pa.array(low[row]), w), (pa.array(lo[row] + a), p), (pa.array(lo[row] + b), [q + n for q in p]))], names=["x", "y", "doc", "low", "lo", "hi"])
+                (none, x), (none, y), (pa.array(doc[row]), d), (pa.array(key[row]), w), (pa.array(lo[row] + a), p), (pa.array(lo[row] + b), [q + n for q in p]))], names=["x", "y", "doc", "key", "lo", "hi"])
 
         for b in batches:
             if not b.num_rows:
@@ -249,15 +247,15 @@ def repeated_runs(docs: DataFrame, unit: Unit, solve: Callable, group: int = GRO
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    dealt = contexts.repartition("h", "block").sortWithinPartitions("h", "block", "doc", "lo", "low")
-    solved = keep(in_batches(dealt).mapInArrow(work, "x long, y long, doc long, low long, lo long, hi long"))
-    runs = solved.filter("x is not null").select("x", "y", "doc", ((F.col("lo") * (1 << 32)).bitwiseOR(F.col("low"))).alias("at")).distinct()
+    dealt = contexts.repartition("h", "block").sortWithinPartitions("h", "block", "doc", "lo", "key")
+    solved = keep(in_batches(dealt).mapInArrow(work, "x long, y long, doc long, key long, lo long, hi long"))
+    runs = solved.filter("x is not null").select("x", "y", "doc", "key", F.col("lo").alias("at")).distinct()
     firsts = runs.groupBy("x", "y").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     beyond = F.col("doc") > F.col("first.doc")
     if unit.same_document:
         beyond = beyond | ((F.col("doc") == F.col("first.doc")) & (F.col("at") > F.col("first.at")))
-    hot = runs.join(firsts, ["x", "y"]).filter(beyond).select("doc", _low("at").alias("low"), F.shiftright("at", 32).alias("lo"), (F.shiftright("at", 32) + n).alias("hi"))
-    return covers.union(solved.filter("x is null").select("doc", "low", "lo", "hi")).union(hot)
+    hot = runs.join(firsts, ["x", "y"]).filter(beyond).select("doc", "key", F.col("at").alias("lo"), (F.col("at") + n).alias("hi"))
+    return covers.union(solved.filter("x is null").select("doc", "key", "lo", "hi")).union(hot)
 
 
 def merged(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -272,8 +270,8 @@ def merged(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``, its rows of ``found`` (null if there are none)."""
-    spans = found.groupBy("doc", "low").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("low").alias("_low"), F.col("spans").alias("_spans"))
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
-    return docs.join(spans, (doc == F.col("_doc")) & (row_key(docs["text"]).bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("_low")), "left").drop("_doc", "_low")
+    """``row`` (each of ``docs`` as it is), ``text`` and ``spans``, its rows of ``found`` (null if there are none)."""
+    spans = found.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"),
+                       F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(docs["text"]).alias("key"))
+    return rows.join(spans, ["doc", "key"], "left").select("row", "text", "spans")

@@ -6,7 +6,8 @@ previous one is the previous smaller, the next smaller does not exist, and a lon
 exactly where such a neighbour stands at an earlier place.
 
 Bytes are UTF-8; matches never cross documents; the first occurrence (smallest ``doc_id``, then start) stays. Null texts are
-empty; null ids come first; of rows with one id the earlier start counts, then the text's hash.
+empty; null ids come first; rows of one id are one document, and of equal starts in several of them none is earlier; an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def suffix_solver(n: int):
 def remove_repeats(docs: DataFrame, n: int = 100) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) for every row of ``docs (doc_id, text)``."""
     unit = byte_unit(n)
-    rows = with_spans(docs.select("doc_id", "text"), repeated_runs(docs, unit, suffix_solver(n)))
+    rows = with_spans(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), repeated_runs(docs, unit, suffix_solver(n)))
 
     def run(batches):
         for b in batches:
@@ -80,4 +81,4 @@ def remove_repeats(docs: DataFrame, n: int = 100) -> DataFrame:
                 out.append((d, len(raw), sum(y - x for x, y in gone), len(gone), b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return in_batches(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_spans")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_batches(rows.select("row.doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -153,7 +153,7 @@ class Block:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Write ``(doc_id, text)`` to ``path`` in ascending ``doc_id`` order."""
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
+            .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
     end = struct.pack("<I", end_id)
 
     def run(batches):

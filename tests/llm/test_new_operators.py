@@ -5,14 +5,17 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from terrafold.llm import negatives, periods, wrappers
+import corpus_pipeline
+from terrafold.llm import classifier, mixing, negatives, periods, phrases, suffix, tokens, wrappers
 from terrafold.llm.queries import QUERIES
 
 from . import brute
 
 SF = "/root/testdata/sf0.001"
+NONE = -(1 << 62)
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -163,3 +166,68 @@ def test_hot_host_meets_its_wrapper_in_parts(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "HOT_PAGES", 10)
     rows = [(i, "http://hot.example/", f"<nav>n</nav><div><p>text {i}</p></div>") for i in range(200)]
     assert _texts(spark, rows) == {i: f"text {i}" for i in range(200)}
+
+
+def test_rows_without_an_id_are_told_apart_by_their_whole_key(spark):
+    """Two texts whose hashes share their low 32 bits: one repeats itself, the other repeats nothing."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"{x:x}" for x in rng.integers(1 << 40, 1 << 50, n))
+    twice, once = word(60), word(130)
+    low = {xxhash.xxh64_intdigest(f"{twice} {i} {twice}", 42) & 0xFFFFFFFF: i for i in range(150_000)}
+    j, i = next((j, low[h]) for j in range(1_000_000) if (h := xxhash.xxh64_intdigest(f"{once} {j}", 42) & 0xFFFFFFFF) in low)
+    shared = word(70)
+    texts = [f"{twice} {i} {twice}", f"{once} {j}", *(f"x{k} {shared}" for k in range(3)), *(f"{k} {k}" for k in range(3000))]
+    rows = [(None, t) for t in texts] + [(5, shared), (5, shared), (6, f"{once} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(docs).collect()}
+    plain = [(NONE if d is None else d, t) for d, t in rows]
+    assert got == {(d, *w[:3]) for (d, _), w in zip(rows, brute.removed_bytes(plain))}
+    assert (None, len(texts[1]), 0, 0) in got
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in phrases.remove_passages(docs).collect()}
+    assert got == {(d, *w[:2]) for (d, _), w in zip(rows, brute.removed_words(plain))}
+    left = sorted(r.text for r in phrases.drop_passages(docs).collect() if r.doc_id is None)
+    assert left == sorted(texts)
+
+
+CLASHES = ["row", "text_key", "doc", "key", "id", "low", "spans", "_spans", "_doc", "_low", "_copy", "copy", "copies", "number", "at", "_d", "_h", "_n", "block", "slot", "ticket", "size", "_row", "_t", "_w", "_l",
+           "_first_id", "root", "band", "first", "row_hash", "target", "words"]
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES[:-1]], ids=lambda s: s[0])
+def test_stages_take_rows_of_any_kind(spark, stage):
+    """Columns named like the stage's own, null and repeated ids, repeated rows, null, empty and long texts, an empty table."""
+    texts = [t for _, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()][:60]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1]), (None, None), (None, None), (3, texts[3]), (3, texts[4]), (70, ""), (71, None), (72, "word " * 20000)]
+    rows = [(d, t, f"s{(d or 0) % 3}" if d != 7 else None, len(t or ""), *(f"{c}{k % 2}" for c in CLASHES)) for k, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)
+    out = stage[1](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert 0 < len(got) and {tuple(r)[4:] for r in got} <= {r[4:] for r in rows}
+    assert {(r.doc_id, r.source) for r in got} <= {(r[0], r[2]) for r in rows}
+    plain = stage[1](spark, docs.select("doc_id", "text", "source", "n_chars"), SF).collect()
+    assert sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in got), key=repr) == sorted(map(tuple, plain), key=repr)
+    empty = stage[1](spark, docs.limit(0), SF)
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_repeated_rows_do_not_overshoot_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", "a")] * 300 + [(k, "x " * 10, "b") for k in range(300)], "doc_id long, text string, source string")
+    by = {r["source"]: r["n"] for r in mixing.mix_documents(docs, weights=(1,), share=0.5, repeats=2).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert set(by) == {"a", "b"} and all(abs(n - 1500) <= 10 for n in by.values())
+
+
+def test_empty_token_files(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    tokens.write_token_files(docs, f"{tmp_path}/none", brute.TOKENIZER, 2)
+    assert tokens.read_token_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_training_rows_stay_bounded_when_ids_repeat(spark, monkeypatch):
+    seen = []
+    whole = classifier.train_network
+    monkeypatch.setattr(classifier, "train_network", lambda x, y, *a, **k: (seen.append(len(x)), whole(x, y, *a, **k))[1])
+    docs = spark.createDataFrame([(i % 5, f"text number {i} of many words {i * i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    assert classifier.score_documents(docs, labels, 100).count() == 600
+    assert 0 < seen[0] <= 100
