@@ -235,6 +235,46 @@ def simplified_lines(spark, sf):
     return B.simplify(d, 0.1).select("id", F.size(G.vertices("geom")).cast("long").alias("n"))
 
 
+def bumped_shapes(spark, sf):
+    """Squares of ten units with a low bump (0), one that holds a hole (1), a high bump (2), a dent that holds a part of its own (3)."""
+    k = F.col("o_orderkey")
+    x, y = (k % 1000) * 20.0, F.floor(k / 1000) * 20.0
+    v = lambda a, b: G.vertex(x + a, y + b)
+    ring = lambda *p: F.array(*[v(a, b) for a, b in p])
+    side = lambda tip: ring((0, 0), (10, 0), (10, 4.5), (tip, 5), (10, 5.5), (10, 10), (0, 10), (0, 0))
+    inner = ring((10.125, 4.875), (10.25, 5), (10.125, 5.125), (10.125, 4.875))
+    island = ring((9.625, 5), (9.875, 4.9375), (9.875, 5.0625), (9.625, 5))
+    low, high, dent = side(10.5), side(13), side(9.5)
+    geom = (F.when(k % 4 == 0, G.polygon(low)).when(k % 4 == 1, G.polygon(low, inner)).when(k % 4 == 2, G.polygon(high))
+            .otherwise(G.make_geom(G.MULTI[G.POLYGON], F.array(F.array(dent), F.array(island)))))
+    return load(spark, sf, "orders").select(F.lit("BUMPS").alias("dataset"), k.cast("string").alias("feature_id"), k.alias("pos"), geom.alias("geom"))
+
+
+# A low bump goes; with a hole in it, or a part in a dent, the tip stays; a high bump loses nothing but is left as it was.
+@query("simplified_polygons", """
+SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 8 ELSE 10 END::BIGINT AS n,
+ CASE o_orderkey % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 102.5 - 0.015625 WHEN 2 THEN 101.5 ELSE 97.5 + 0.015625 END::DOUBLE AS area,
+ (o_orderkey % 2)::INT AS limited, 0::BIGINT AS faults FROM orders""")
+def simplified_polygons(spark, sf):
+    from ..operators.common import cut_lineage
+
+    d = cut_lineage(B.simplify(bumped_shapes(spark, sf), 1.0, refused="held"))
+    faults = Q.check_geometry(d).groupBy("pos").agg(F.count("*").alias("faults"))
+    out = d.join(faults, "pos", "left")
+    return out.select(F.col("pos").alias("id"), F.size(G.vertices("geom")).cast("long").alias("n"), F.round(G.st_area("geom"), 9).alias("area"),
+                      (F.col("held") > 0).cast("int").alias("limited"), F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+
+
+@query("simplified_build", """
+SELECT o_orderkey AS id, 'written' AS status, CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 8 ELSE 10 END::BIGINT AS n,
+ CASE WHEN o_orderkey % 2 = 1 THEN 'Gis.SimplificationLimited' END AS code FROM orders""")
+def simplified_build(spark, sf):
+    """The whole build with a tolerance: no fault but the note on what had to stay."""
+    f, notes = B.build_features(bumped_shapes(spark, sf), B.BuildProfile(simplify_tol=1.0))
+    n = notes.select(F.col("pos").alias("p"), "code")
+    return f.join(n, F.col("pos") == F.col("p"), "left").select(F.col("pos").alias("id"), "status", F.size(G.vertices("geom")).cast("long").alias("n"), "code")
+
+
 @query("interior_points", with_sql("plots", body="SELECT id, true AS inside FROM plots"))
 def interior_points(spark, sf):
     d = G.pin(V.plots(spark, sf).select("id", "geom"), p=B.point_on_surface("geom"))

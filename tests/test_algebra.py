@@ -196,7 +196,9 @@ def test_simplify_keeps_rings_closed_and_simple(spark):
     ring = B.simplify(d, 0.2).first()["geom"]["parts"][0][0]
     assert 4 <= len(ring) < 60 and ring[0] == ring[-1] and ring[0]["z"] == 1.0
     xy = np.array([[v["x"], v["y"]] for v in ring])
-    assert not B._crosses(xy)
+    turn = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    sides = list(zip(xy[:-1], xy[1:]))
+    assert not any(turn(a, b, c) * turn(a, b, e) < 0 and turn(c, e, a) * turn(c, e, b) < 0 for a, b in sides for c, e in sides)
 
 
 def test_simplify_keeps_holes_of_other_lengths(spark):
