@@ -340,14 +340,18 @@ def point_distance(g, x, y, geographic: bool = False) -> Column:
 
 def segment_distance(a: DataFrame, b: DataFrame, pair: DataFrame, ga: str = "geom_a", gb: str = "geom_b",
                      keys: list[str] | None = None) -> DataFrame:
-    """Planar distance and nearest points of geometry pairs ``(id_a, id_b)`` from their segments."""
+    """Planar distance and nearest points of the outlines of geometry pairs ``(id_a, id_b)``."""
+    from .nearness import pair_distance
+
     keys = keys or ["id_a", "id_b"]
-    sa = as_segments(a, ["id_a"], ga)
-    sb = as_segments(b, ["id_b"], gb).withColumnsRenamed(
-        {"x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
-    j = pair.join(sa, "id_a").join(sb, "id_b")
-    P = lambda x, y: {"x": F.col(x), "y": F.col(y)}
-    p1, p2, q1, q2 = P("x1", "y1"), P("x2", "y2"), P("u1", "v1"), P("u2", "v2")
+    one, two = a.select("id_a", F.col(ga).alias("_ga")), b.select("id_b", F.col(gb).alias("_gb"))
+    j = pair.join(one, "id_a").join(two, "id_b").where(~G.is_empty("_ga") & ~G.is_empty("_gb"))
+    found = j.select(*keys, pair_distance("_ga", "_gb").alias("n")).where(F.col("n").isNotNull())
+    return found.groupBy(*keys).agg(F.min("n").alias("n")).select(*keys, "n.*")
+
+
+def closest_points(p1: dict, p2: dict, q1: dict, q2: dict) -> Column:
+    """``struct<d, ax, ay, bx, by>`` of segments ``p1-p2`` and ``q1-q2``."""
     pick = lambda n, fx, fy, sx, sy: F.struct(n["d"].alias("d"), fx.alias("ax"), fy.alias("ay"), sx.alias("bx"), sy.alias("by"))
     to_b = lambda p: G.let(point_segment(p["x"], p["y"], q1, q2), lambda n: pick(n, p["x"], p["y"], n["x"], n["y"]))
     to_a = lambda q: G.let(point_segment(q["x"], q["y"], p1, p2), lambda n: pick(n, n["x"], n["y"], q["x"], q["y"]))
@@ -357,8 +361,7 @@ def segment_distance(a: DataFrame, b: DataFrame, pair: DataFrame, ga: str = "geo
     cx, cy = p1["x"] + s * (p2["x"] - p1["x"]), p1["y"] + s * (p2["y"] - p1["y"])
     crossing = F.when(s.between(0, 1) & t.between(0, 1), F.struct(
         F.lit(0.0).alias("d"), cx.alias("ax"), cy.alias("ay"), cx.alias("bx"), cy.alias("by")))
-    best = F.array_min(F.array_compact(F.array(crossing, to_b(p1), to_b(p2), to_a(q1), to_a(q2))))
-    return j.groupBy(*keys).agg(F.min(best).alias("n")).select(*keys, "n.*")
+    return F.array_min(F.array_compact(F.array(crossing, to_b(p1), to_b(p2), to_a(q1), to_a(q2))))
 
 
 def as_segments(df: DataFrame, keys: list[str], geom: str = "geom") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import nearness as N
 from ..operators import spatial as S
 from . import derive as V
 from .derive import with_sql
@@ -158,6 +159,59 @@ def clip_to_box(spark, sf):
     return c.select("id", "covered", F.round(area, 6).alias("area"))
 
 
+# --- distances between shapes of any kind ----------------------------------------------------------
+
+V.CTE["shape_segments"] = """
+SELECT 'L' || id AS rid, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_ FROM /*lines*/ lines UNION ALL SELECT 'L' || id, x2, y2, x3, y3 FROM lines
+UNION ALL SELECT 'P' || id, e.ax, e.ay, e.bx, e.by_ FROM (SELECT id, unnest([
+  {ax: x, ay: y, bx: x+s, by_: y}, {ax: x+s, ay: y, bx: x+s, by_: y+s/2}, {ax: x+s, ay: y+s/2, bx: x+s/2, by_: y+s/2}, {ax: x+s/2, ay: y+s/2, bx: x+s/2, by_: y+s},
+  {ax: x+s/2, ay: y+s, bx: x, by_: y+s}, {ax: x, ay: y+s, bx: x, by_: y}, {ax: x+s/8, ay: y+s/8, bx: x+s/4, by_: y+s/8}, {ax: x+s/4, ay: y+s/8, bx: x+s/4, by_: y+s/4},
+  {ax: x+s/4, ay: y+s/4, bx: x+s/8, by_: y+s/4}, {ax: x+s/8, ay: y+s/4, bx: x+s/8, by_: y+s/8}]) AS e FROM /*plots*/ plots)"""
+V.CTE["sites"] = """
+SELECT s_suppkey AS lid, (((s_suppkey*7919) % 20000)/10.0)::DOUBLE AS px, (((s_suppkey*104729) % 20000)/10.0)::DOUBLE AS py FROM supplier"""
+IN_PLOT = """px >= x AND py >= y AND ((px <= x+s AND py <= y+s/2) OR (px <= x+s/2 AND py <= y+s))
+ AND NOT (px > x+s/8 AND px < x+s/4 AND py > y+s/8 AND py < y+s/4)"""
+V.CTE["site_distances"] = f"""
+SELECT lid, rid, min(d) AS d FROM (
+ SELECT lid, rid, sqrt((fx-px)*(fx-px)+(fy-py)*(fy-py)) AS d FROM (SELECT lid, rid, px, py, ax + t*(bx-ax) AS fx, ay + t*(by_-ay) AS fy FROM (
+  SELECT *, coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/nullif((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay), 0))), 0.0::DOUBLE) AS t
+  FROM /*sites*/ sites CROSS JOIN /*shape_segments*/ shape_segments))
+ UNION ALL SELECT lid, 'P' || id, 0.0::DOUBLE FROM sites JOIN /*plots*/ plots ON {IN_PLOT}) GROUP BY lid, rid"""
+
+
+def _shapes(spark, sf):
+    """Bent lines and L-shaped plots with a hole."""
+    lines = V.line_geoms(spark, sf).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("rid"), F.col("geom").alias("rgeom"))
+    return lines.unionByName(V.plots(spark, sf).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("rid"), F.col("geom").alias("rgeom")))
+
+
+def _sites(spark, sf):
+    k = F.col("s_suppkey")
+    return load(spark, sf, "supplier").select(k.alias("lid"), G.point(((k * 7919) % 20000) / 10.0, ((k * 104729) % 20000) / 10.0).alias("lgeom"))
+
+
+@query("nearest_shapes", with_sql("site_distances", body="""
+SELECT lid, rid, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d, rid)::INT AS rank FROM site_distances) WHERE rank <= 4"""))
+def nearest_shapes(spark, sf):
+    return N.nearest(_sites(spark, sf), _shapes(spark, sf), 4).select("lid", "rid", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("radius_shapes", with_sql("site_distances", body="SELECT lid, rid, round(d, 6) AS distance FROM site_distances WHERE d <= 12.5"))
+def radius_shapes(spark, sf):
+    return N.within_distance(_sites(spark, sf), _shapes(spark, sf), 12.5).select("lid", "rid", F.round("distance", 6).alias("distance"))
+
+
+@query("containing_shapes", with_sql("plots", body=f"""
+SELECT p.lid, plots.id AS rid FROM (SELECT id AS lid, x + s*CASE WHEN id % 2 = 0 THEN 0.1875 ELSE 0.0625 END::DOUBLE AS px, y + s*CASE WHEN id % 2 = 0 THEN 0.1875 ELSE 0.0625 END::DOUBLE AS py FROM plots) p
+JOIN plots ON {IN_PLOT}"""))
+def containing_shapes(spark, sf):
+    """A radius of zero: the plots around a point, which stands in its own plot's hole or beside it."""
+    p = V.plots(spark, sf)
+    at = F.col("s") * F.when(F.col("id") % 2 == 0, 0.1875).otherwise(0.0625)
+    probes = p.select(F.col("id").alias("lid"), G.point(F.col("minx") + at, F.col("miny") + at).alias("lgeom"))
+    return N.within_distance(probes, p.select(F.col("id").alias("rid"), F.col("geom").alias("rgeom")), 0.0).select("lid", "rid")
+
+
 SNAP_TARGETS = """
 targets AS (
  SELECT id AS fid, 0 AS rank, 0 AS pos, x1 AS x, y1 AS y FROM lines UNION ALL SELECT id, 0, 1, x3, y3 FROM lines
