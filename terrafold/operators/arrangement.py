@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from . import spatial as S
-from .common import cut_lineage, row_id
+from .common import cut_lineage, row_id, stored
 from .relations import follow_chain
 from .shapes import assemble_polygons
 
@@ -137,6 +138,57 @@ def winding(points: DataFrame, edges: DataFrame, on: list[str], pid: str, band:
     return j.groupBy(pid).agg(F.sum(w).alias("w"))
 
 
+class CellWinding:
+    """Winding numbers of points about long outlines (``on, cell, x1..y2``), from the edges in each point's own cell.
+
+    Every cell knows the winding number at the middle of its left side: crossings to the right at that height, summed over
+    the cells of its row. From there the way to a point, up or down the side and then across, stays in the cell. The grid is set
+    off by odd fractions of a cell, so its lines meet no vertex.
+    """
+
+    def __init__(self, edges: DataFrame, on: str):
+        self.on = on
+        least, most = (lambda a: F.least(a + "1", a + "2")), (lambda a: F.greatest(a + "1", a + "2"))
+        f = edges.groupBy(on).agg(F.max("cell").alias("cell"), F.min(least("x")).alias("ox"), F.min(least("y")).alias("oy"), F.max(most("x")).alias("mx"), F.max(most("y")).alias("my"))
+        f = f.withColumns({"ox": F.col("ox") - F.col("cell") * 0.3819660112501051, "oy": F.col("oy") - F.col("cell") * 0.2360679774997896})
+        size = F.col("cell")
+        col, row = (lambda x: F.floor((x - F.col("ox")) / size).cast("long")), (lambda y: F.floor((y - F.col("oy")) / size).cast("long"))
+        self.frame = cut_lineage(f.select(on, "cell", "ox", "oy", col(F.col("mx")).alias("cols"), row(F.col("my")).alias("rows")))
+        e = edges.select(on, *EDGE).join(self.frame.select(on, "cell", "ox", "oy"), on)
+        wide = e.withColumn("cx", F.explode(F.sequence(col(least("x")), col(most("x")))))
+        left = F.col("ox") + F.col("cx") * size
+        slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+        at = lambda x: F.coalesce(F.col("y1") + (F.greatest(least("x"), F.least(most("x"), x)) - F.col("x1")) * slope, F.col("y1"))
+        a, b = at(left), F.when(F.col("x1") == F.col("x2"), F.col("y2")).otherwise(at(left + size))
+        pad = size * 1e-9
+        cells = wide.withColumn("cy", F.explode(F.sequence(row(F.least(a, b) - pad), row(F.greatest(a, b) + pad))))
+        self.edges = cut_lineage(cells.select(on, "cx", "cy", *EDGE))
+        tall = e.where(F.col("y1") != F.col("y2")).withColumn("cy", F.explode(F.sequence(row(least("y")), row(most("y")))))
+        mid = F.col("oy") + (F.col("cy") + 0.5) * size
+        up, down = (F.col("y1") <= mid) & (F.col("y2") > mid), (F.col("y2") <= mid) & (F.col("y1") > mid)
+        cut = F.col("x1") + (mid - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+        events = tall.where(up | down).groupBy(on, "cy", col(cut).alias("cx")).agg(F.sum(F.when(up, 1).otherwise(-1)).alias("n"))
+        grid = self.frame.withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols")))).withColumn("cy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows"))))
+        right = W.partitionBy(on, "cy").orderBy(F.desc("cx")).rowsBetween(W.unboundedPreceding, 0)
+        base = grid.join(events, [on, "cx", "cy"], "left").withColumn("base", F.sum(F.coalesce("n", F.lit(0))).over(right))
+        self.grid = cut_lineage(base.select(on, "cx", "cy", "base", (F.col("ox") + F.col("cx") * size).alias("gx"), (F.col("oy") + (F.col("cy") + 0.5) * size).alias("gy")))
+
+    def at(self, points: DataFrame, pid: str) -> DataFrame:
+        """``pid, w`` of ``points (pid, on, mx, my)`` within the outlines' extent."""
+        p = points.select(pid, self.on, "mx", "my").join(self.frame, self.on)
+        place = lambda v, o: F.floor((F.col(v) - F.col(o)) / F.col("cell")).cast("long")
+        p = p.withColumns({"cx": place("mx", "ox"), "cy": place("my", "oy")}).select(pid, self.on, "mx", "my", "cx", "cy")
+        j = p.join(self.grid, [self.on, "cx", "cy"]).join(self.edges, [self.on, "cx", "cy"], "left")
+        over = (F.col("x1") <= F.col("gx")) != (F.col("x2") <= F.col("gx"))
+        y = F.col("y1") + (F.col("gx") - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+        passed = over & ((y <= F.col("my")) != (y <= F.col("gy")))
+        side = F.when(passed, F.when((F.col("x2") > F.col("x1")) == (F.col("my") > F.col("gy")), 1).otherwise(-1)).otherwise(0)
+        up, down = (F.col("y1") <= F.col("my")) & (F.col("y2") > F.col("my")), (F.col("y2") <= F.col("my")) & (F.col("y1") > F.col("my"))
+        turn = lambda x: (F.col("x2") - F.col("x1")) * (F.col("my") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col(x) - F.col("x1"))
+        across = F.when(up & (turn("gx") > 0) & ~(turn("mx") > 0), -1).when(down & (turn("gx") < 0) & ~(turn("mx") < 0), 1).otherwise(0)
+        return j.groupBy(pid).agg((F.max("base") + F.sum(F.coalesce(side + across, F.lit(0)))).alias("w"))
+
+
 def _grid_size(edges: DataFrame, on: list[str], per_cell: int = 16) -> DataFrame:
     """Cell size per key: its span over the square root of its edges, a single cell for small keys."""
     n = edges.groupBy(*on).agg(
@@ -154,7 +206,18 @@ def label_pairs(pairs: DataFrame, key: str = "pair_id", a: str = "geom_a", b: st
     piece of one alone lies in the other's interior.
     """
     side = lambda g, s: directed_edges(pairs.select(key, F.col(g).alias("geom")), [key]).withColumn("side", F.lit(s))
-    edges = side(a, "A").unionByName(side(b, "B"))
+    edges, u, hit, mids = _noded(side(a, "A").unionByName(side(b, "B")), key)
+    solid = pairs.select(key, F.explode(F.array(F.when(G.base_kind(a) == G.POLYGON, "A"), F.when(G.base_kind(b) == G.POLYGON, "B"))).alias("side")).where(F.col("side").isNotNull())
+    w = winding(mids, edges.join(solid, [key, "side"], "left_semi").select(key, "side", "cell", *EDGE), [key, "side"], "uid", F.col("cell"))
+    u = u.join(w, "uid", "left").withColumn("inside", F.coalesce(F.col("w") > 0, F.lit(False))).drop("w")
+    return u, hit, edges
+
+
+def _noded(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges of sides A and B with cells, their pieces, the meeting points, and the middles of what one side has alone.
+
+    A middle's ``side`` is the one that it is to be located in.
+    """
     edges = edges.join(_grid_size(edges, [key]), key)
     edges = cut_lineage(edges.withColumn("eid", row_id(key, "side", *EDGE)))
     l, r = edges.where("side = 'A'"), edges.where("side = 'B'").withColumnRenamed("eid", "oid")
@@ -167,10 +230,7 @@ def label_pairs(pairs: DataFrame, key: str = "pair_id", a: str = "geom_a", b: st
     alone = u.where((F.col("fa") + F.col("ra") == 0) | (F.col("fb") + F.col("rb") == 0))
     mids = alone.select(key, "cell", "uid", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"),
                         F.when(F.col("fa") + F.col("ra") > 0, "B").otherwise("A").alias("side"))
-    solid = pairs.select(key, F.explode(F.array(F.when(G.base_kind(a) == G.POLYGON, "A"), F.when(G.base_kind(b) == G.POLYGON, "B"))).alias("side")).where(F.col("side").isNotNull())
-    w = winding(mids, edges.join(solid, [key, "side"], "left_semi").select(key, "side", "cell", *EDGE), [key, "side"], "uid", F.col("cell"))
-    u = u.join(w, "uid", "left").withColumn("inside", F.coalesce(F.col("w") > 0, F.lit(False))).drop("w")
-    return u, hit, edges
+    return edges, u, hit, mids
 
 
 def _emit(u: DataFrame, key: str, op: str) -> DataFrame:
@@ -216,7 +276,7 @@ def stitch_rings(edges: DataFrame, key: str) -> DataFrame:
     Each edge points to the next by the sharpest left turn at its end.  Pointer doubling finds the least
     edge of every cycle, then each edge's distance to it; only one ring's vertices are ever collected.
     """
-    e = cut_lineage(edges.withColumn("eid", row_id(key, *EDGE)).dropDuplicates(["eid"]))
+    e = stored(edges.withColumn("eid", row_id(key, *EDGE)).dropDuplicates(["eid"]))
     out = e.select(F.col(key).alias("_k"), F.col("eid").alias("nid"), F.col("x1").alias("vx"), F.col("y1").alias("vy"),
                    F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("ang"))
     j = e.join(out, (F.col(key) == F.col("_k")) & (F.col("x2") == F.col("vx")) & (F.col("y2") == F.col("vy")))
@@ -225,12 +285,12 @@ def stitch_rings(edges: DataFrame, key: str) -> DataFrame:
     gap = F.pmod(back - F.col("ang"), F.lit(2 * math.pi))
     gap = F.when(gap < 1e-12, F.lit(2 * math.pi)).otherwise(gap)
     nxt = j.groupBy("eid").agg(F.min_by("nid", gap).alias("nid"))
-    least = cut_lineage(nxt.withColumn("lo", F.least("eid", "nid")))
-    jump = least
+    jump = stored(nxt.withColumn("lo", F.least("eid", "nid")))
+    nxt = jump.select("eid", "nid")
     while True:  # each round doubles the reach, up to the longest ring
         ahead = jump.select(F.col("eid").alias("nid"), F.col("nid").alias("n2"), F.col("lo").alias("l2"))
         step = jump.join(ahead, "nid").select("eid", F.col("n2").alias("nid"), F.least("lo", "l2").alias("lo"), (F.col("l2") < F.col("lo")).alias("moved"))
-        step = cut_lineage(step)
+        step = stored(step)
         if step.where("moved").limit(1).isEmpty():
             break
         jump = step.drop("moved")
@@ -604,30 +664,113 @@ def st_buffer(df: DataFrame, key: str, distance: float, geom: str = "geom", size
 # --- clip ------------------------------------------------------------------------------------------------------------
 
 def clip(features: DataFrame, boundary: DataFrame, key: str, geom: str = "geom", size: float = 50.0) -> DataFrame:
-    """Polygons cut by boundary polygons (``boundary_id, boundary``): covered ones whole, others intersected.
+    """Features of any kind cut by boundary polygons (``boundary_id, boundary``): covered ones whole, others intersected.
 
-    Only features whose envelope meets an edge of the outline go through the overlay with it; of the others, which
-    lie wholly in or out, one point is enough.
+    Only features whose envelope meets an edge of the outline are cut, by those edges alone; what of them lies in the boundary
+    is told by crossings in bands of the outline, so no boundary is copied to a feature. Of features that meet no edge one
+    point is enough. Lines keep their direction and what runs along the outline; a line that only touches it gives
+    points; polygons that only touch it give nothing. Null and empty geometries have no row.
     """
     f = cut_lineage(G.with_envelope(features.select(key, F.col(geom).alias("geom"))).where(F.col("minx").isNotNull()))
     names = {c: "b_" + c for c in S.BOX}
     outline = boundary.select("boundary_id", F.col("boundary").alias("_b"))
     ids = [key, "boundary_id"]
     boxes = f.select(key, *S.BOX)
-    edges = cut_lineage(directed_edges(outline.select("boundary_id", F.col("_b").alias("geom")), ["boundary_id"]))
-    sides = edges.select("boundary_id", F.least("x1", "x2").alias("b_minx"), F.least("y1", "y2").alias("b_miny"), F.greatest("x1", "x2").alias("b_maxx"), F.greatest("y1", "y2").alias("b_maxy"))
-    near = cut_lineage(S.box_pairs(boxes, sides, size, S.BOX, tuple(names.values())).select(*ids).distinct())
+    edges = directed_edges(outline.select("boundary_id", F.col("_b").alias("geom")), ["boundary_id"])
+    edges = cut_lineage(edges.join(_grid_size(edges, ["boundary_id"]), "boundary_id"))
+    at = CellWinding(edges, "boundary_id").at
+    sides = edges.select("boundary_id", *EDGE, F.least("x1", "x2").alias("b_minx"), F.least("y1", "y2").alias("b_miny"), F.greatest("x1", "x2").alias("b_maxx"), F.greatest("y1", "y2").alias("b_maxy"))
+    beside = S.box_pairs(boxes, sides, size, S.BOX, tuple(names.values())).withColumn("pair_id", F.to_json(F.struct(*ids)))
+    beside = cut_lineage(beside.select("pair_id", *ids, *EDGE))
+    near = cut_lineage(beside.select("pair_id", *ids).distinct())
     b = G.with_envelope(outline, "_b").drop("_b").withColumnsRenamed(names)
-    rest = S.box_pairs(boxes, b, size, S.BOX, tuple(names.values())).join(near, ids, "left_anti")
-    rest = rest.join(_grid_size(edges, ["boundary_id"]), "boundary_id").withColumn("_pid", F.struct(*ids))
-    w = winding(rest.select("_pid", "boundary_id", "cell", F.col("minx").alias("mx"), F.col("miny").alias("my")),
-                edges.select("boundary_id", *EDGE).join(_grid_size(edges, ["boundary_id"]), "boundary_id"), ["boundary_id"], "_pid", F.col("cell"))
+    rest = S.box_pairs(boxes, b, size, S.BOX, tuple(names.values())).join(near, ids, "left_anti").withColumn("_pid", F.struct(*ids))
+    w = at(rest.select("_pid", "boundary_id", F.col("minx").alias("mx"), F.col("miny").alias("my")), "_pid")
     inside = f.select(key, "geom").join(w.where("w > 0").select("_pid.*"), key).select(*ids, F.lit(True).alias("covered"), "geom")
-    m = near.join(f.select(key, F.col("geom").alias("geom_a")), key).join(outline.withColumnRenamed("_b", "geom_b"), "boundary_id")
-    m = cut_lineage(m.select(F.to_json(F.struct(*ids)).alias("pair_id"), *ids, "geom_a", "geom_b"))
-    u, hit, _ = label_pairs(m)
+    m = cut_lineage(near.join(f.select(key, F.col("geom").alias("geom_a")), key).withColumn("kind", G.base_kind("geom_a")))
+    beside = beside.select("pair_id", *EDGE)
+    out = inside
+    # Three rows at most; kinds that no feature has cost no jobs.
+    for kind in sorted(r[0] for r in m.select("kind").distinct().collect()):
+        some = m.where(F.col("kind") == kind)
+        if kind == G.POLYGON:
+            out = out.unionByName(_clip_polygons(some, beside, at, ids, size))
+        elif kind == G.LINE:
+            out = out.unionByName(_clip_lines(some, beside, at, ids))
+        elif kind == G.POINT:
+            out = out.unionByName(_clip_points(some, beside, at, ids))
+    return out
+
+
+def _clip_polygons(m: DataFrame, beside: DataFrame, at, ids: list[str], size: float) -> DataFrame:
+    mine = directed_edges(m.select("pair_id", F.col("geom_a").alias("geom")), ["pair_id"]).withColumn("side", F.lit("A"))
+    theirs = beside.join(m.select("pair_id"), "pair_id", "left_semi").withColumn("side", F.lit("B"))
+    edges, u, _, mids = _noded(mine.unionByName(theirs), "pair_id")
+    here = winding(mids.where("side = 'A'"), edges.where("side = 'A'").select("pair_id", "cell", *EDGE), ["pair_id"], "uid", F.col("cell"))
+    there = at(mids.where("side = 'B'").join(m.select("pair_id", "boundary_id"), "pair_id"), "uid")
+    u = cut_lineage(u.join(here.union(there), "uid", "left").withColumn("inside", F.coalesce(F.col("w") > 0, F.lit(False))).drop("w"))
     out_a = u.where((F.col("fb") + F.col("rb") == 0) & ~F.col("inside")).select("pair_id").distinct()
-    whole = m.join(out_a, "pair_id", "left_anti").select(key, "boundary_id", F.lit(True).alias("covered"), F.col("geom_a").alias("geom"))
+    whole = m.join(out_a, "pair_id", "left_anti").select(*ids, F.lit(True).alias("covered"), F.col("geom_a").alias("geom"))
     part = polygons_of(cut_lineage(_emit(u, "pair_id", "intersection").join(out_a, "pair_id", "left_semi")), "pair_id", size)
-    cut = part.join(m.select("pair_id", key, "boundary_id"), "pair_id").select(key, "boundary_id", F.lit(False).alias("covered"), "geom")
-    return inside.unionByName(whole).unionByName(cut)
+    return whole.unionByName(part.join(m.select("pair_id", *ids), "pair_id").select(*ids, F.lit(False).alias("covered"), "geom"))
+
+
+def _clip_lines(m: DataFrame, beside: DataFrame, at, ids: list[str]) -> DataFrame:
+    pair = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    paths = m.select("pair_id", F.posexplode(G.rings("geom_a")).alias("path", "_r"))
+    segs = paths.select("pair_id", "path", F.posexplode(G.edges_of(F.col("_r"), pair)).alias("pos", "_e")).select("pair_id", "path", "pos", "_e.*")
+    segs = segs.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    theirs = beside.join(m.select("pair_id"), "pair_id", "left_semi")
+    cell = _grid_size(segs.select("pair_id", *EDGE).unionByName(theirs), ["pair_id"])
+    mine = segs.join(cell, "pair_id").withColumns({"eid": row_id("pair_id", "path", "pos"), "sx": F.col("x1"), "sy": F.col("y1"), "dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
+    mine = cut_lineage(mine)
+    theirs = theirs.join(cell, "pair_id").withColumn("oid", row_id(F.lit("boundary"), *EDGE))
+    hit = cut_lineage(meeting_points(mine, theirs, ["pair_id"], "eid", "oid", F.col("cell")))
+    cut = cut_edges(mine.drop("cell"), hit.select("eid", "x", "y"), "eid")
+    cut = cut.withColumn("t", (F.col("x1") - F.col("sx")) * F.col("dx") + (F.col("y1") - F.col("sy")) * F.col("dy"))
+    cut = cut_lineage(cut.select("pair_id", "eid", "path", "pos", "t", *EDGE, row_id("pair_id", "path", "pos", *EDGE).alias("uid")))
+    # Two meetings with one edge: the piece between them runs along it.
+    end = lambda c: hit.select("eid", "oid", F.col("x").alias("x" + c), F.col("y").alias("y" + c))
+    along = cut.join(end("1").join(end("2"), ["eid", "oid"]), ["eid", *EDGE]).select("uid").distinct().withColumn("along", F.lit(True))
+    mids = cut.select("uid", "pair_id", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my")).join(m.select("pair_id", "boundary_id"), "pair_id")
+    cut = cut.join(at(mids, "uid"), "uid", "left").join(along, "uid", "left")
+    cut = cut_lineage(cut.withColumn("kept", F.coalesce(F.col("along"), F.col("w") > 0, F.lit(False))).drop("along", "w", "uid", "eid"))
+    some = cut.groupBy("pair_id").agg(F.bool_and("kept").alias("all"), F.max("kept").alias("any"))
+    whole = m.join(some.where("all"), "pair_id").select(*ids, F.lit(True).alias("covered"), F.col("geom_a").alias("geom"))
+    order = W.partitionBy("pair_id", "path").orderBy("pos", "t")
+    islands = cut.withColumn("island", F.count_if(~F.col("kept")).over(order)).where("kept").join(some.where("not all").select("pair_id"), "pair_id", "left_semi")
+    run = islands.groupBy("pair_id", "path", "island").agg(F.sort_array(F.collect_list(F.struct("pos", "t", *EDGE))).alias("_s"))
+    last = F.element_at("_s", -1)
+    vertices = F.concat(F.transform("_s", lambda e: G.vertex(e["x1"], e["y1"])), F.array(G.vertex(last["x2"], last["y2"])))
+    # A cut that no turn needs goes, as the piece before it goes on straight.
+    line = run.select("pair_id", "path", "island", _straight_path(vertices).alias("_v"))
+    part = line.groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "island", "_v"))), lambda e: F.array(e["_v"])).alias("_p"))
+    part = part.withColumn("geom", G.make_geom(F.when(F.size("_p") > 1, G.MULTI[G.LINE]).otherwise(G.LINE), F.col("_p")))
+    dots = hit.join(some.where("not any").select("pair_id"), "pair_id", "left_semi").groupBy("pair_id").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("_d"))
+    dots = dots.withColumn("geom", G.make_geom(F.when(F.size("_d") > 1, G.MULTI[G.POINT]).otherwise(G.POINT), F.transform("_d", lambda v: F.array(F.array(G.vertex(v["x"], v["y"]))))))
+    found = part.select("pair_id", "geom").unionByName(dots.select("pair_id", "geom"))
+    return whole.unionByName(found.join(m.select("pair_id", *ids), "pair_id").select(*ids, F.lit(False).alias("covered"), "geom"))
+
+
+def _straight_path(v: Column) -> Column:
+    """A path without the vertices at which it goes straight on."""
+    def turns(p, q, r):
+        ax, ay, bx, by = q["x"] - p["x"], q["y"] - p["y"], r["x"] - q["x"], r["y"] - q["y"]
+        cross, size = ax * by - ay * bx, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
+        return (F.abs(cross) > size * 1e-12) | (ax * bx + ay * by < 0)
+
+    keep = lambda a: F.filter(F.transform(a, lambda q, i: F.when((i == 0) | (i == F.size(a) - 1) | turns(F.get(a, i - 1), q, F.get(a, i + 1)), q)), lambda q: q.isNotNull())
+    return G.let(v, keep)
+
+
+def _clip_points(m: DataFrame, beside: DataFrame, at, ids: list[str]) -> DataFrame:
+    dots = cut_lineage(m.select("pair_id", "boundary_id", F.posexplode(G.vertices("geom_a")).alias("pos", "v")).withColumns({"mx": F.col("v.x"), "my": F.col("v.y"), "uid": F.struct("pair_id", "pos")}))
+    w = at(dots.select("uid", "boundary_id", "mx", "my"), "uid")
+    cross = (F.col("x2") - F.col("x1")) * (F.col("my") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("mx") - F.col("x1"))
+    on = (cross == 0) & F.col("mx").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("my").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    rim = dots.join(beside, "pair_id").where(on).select("uid").distinct().withColumn("on", F.lit(True))
+    d = dots.join(w, "uid", "left").join(rim, "uid", "left").withColumn("kept", F.coalesce(F.col("on"), F.col("w") > 0, F.lit(False)))
+    g = d.groupBy("pair_id").agg(F.bool_and("kept").alias("covered"), F.transform(F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("pos", "v")))), lambda e: F.array(F.array(e["v"]))).alias("_p"))
+    g = g.where(F.size("_p") > 0).join(m.select("pair_id", *ids, "geom_a"), "pair_id")
+    some = G.make_geom(F.when(F.size("_p") > 1, G.MULTI[G.POINT]).otherwise(G.POINT), F.col("_p"))
+    return g.select(*ids, "covered", F.when(F.col("covered"), F.col("geom_a")).otherwise(some).alias("geom"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: like ``cut_lineage``, with its true size.
+
+    A checkpoint keeps the size estimated for its plan. In a loop of joins that estimate squares itself each round, until small
+    tables are no longer broadcast and, after some twenty rounds, the number itself overflows.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def row_id(*cols) -> Column:
     """128-bit content id: stable across retries, and free of collisions at any row count met in practice."""
     return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit("second"), *cols).alias("k"))

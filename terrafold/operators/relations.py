@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as G
-from .common import cut_lineage
+from .common import cut_lineage, stored
 
 # --- parent chains ----------------------------------------------------------------------------------
 
@@ -28,7 +28,7 @@ def follow_chain(df: DataFrame, node: str, parent: str, sums: list[str] = (), ro
     d = d.withColumn("root", F.col("_id"))
     nodes = None
     for done in itertools.count():
-        d = cut_lineage(d)
+        d = stored(d)
         if done == 8:
             nodes = d.count()
         if done == rounds or (nodes is not None and 1 << done > nodes):

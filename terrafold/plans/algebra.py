@@ -321,3 +321,43 @@ SELECT layer, pos, coalesce(pos = cut, false) AS abandoned FROM r LEFT JOIN c US
 def failure_breaker(spark, sf):
     e = load(spark, sf, "events").select(F.col("event_type").alias("layer"), F.col("event_id").alias("pos"), (F.col("user_id") % 3 != 0).alias("failed"))
     return B.failure_breaker(e, 9, block=64).select("layer", "pos", "abandoned")
+
+
+TEETH = 1250  # of a comb with four edges each
+COMB = (301.23, 302.53, 437.57, 897.53)  # left, bottom, top of the back, top of the teeth
+
+
+def comb(spark):
+    """A boundary of 5,002 edges: a back with teeth a quarter wide every half."""
+    x, y, back, top = COMB
+    i = F.col("id")
+    tooth = spark.range(TEETH).select(i, F.array(*[F.struct((F.lit(x) + i * 0.5 + a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.25, back), (0.25, top), (0.0, top), (0.0, back))]).alias("v"))
+    ring = tooth.groupBy().agg(F.sort_array(F.collect_list(F.struct((-i).alias("n"), "v"))).alias("t"))
+    right = x + TEETH * 0.5
+    body = F.transform(F.flatten(F.transform("t", lambda e: e["v"])), lambda v: G.vertex(v["x"], v["y"]))
+    path = F.concat(F.array(G.vertex(F.lit(x), F.lit(y)), G.vertex(F.lit(right), F.lit(y)), G.vertex(F.lit(right), F.lit(back))), body, F.array(G.vertex(F.lit(x), F.lit(y))))
+    return ring.select(F.lit("comb").alias("boundary_id"), G.polygon(path).alias("boundary"))
+
+
+V.CTE["comb"] = f"""SELECT {COMB[0]}::DOUBLE AS tx0, {COMB[0] + TEETH * 0.5}::DOUBLE AS tx1, {COMB[1]}::DOUBLE AS ty0, {COMB[2]}::DOUBLE AS ty1, true AS back
+UNION ALL SELECT {COMB[0]}::DOUBLE + i*0.5::DOUBLE, {COMB[0]}::DOUBLE + i*0.5::DOUBLE + 0.25::DOUBLE, {COMB[2]}::DOUBLE, {COMB[3]}::DOUBLE, false FROM range({TEETH}) t(i)"""
+
+
+@query("clip_shapes", with_sql("parcels", "lines", "comb", "sites", body="""
+SELECT id, bool_or(whole) AS covered, round(sum(m), 5) AS measure FROM (
+ SELECT 'P' || id AS id, back AND minx >= tx0 AND maxx <= tx1 AND miny >= ty0 AND maxy <= ty1 AS whole, greatest(0, least(maxx, tx1) - greatest(minx, tx0)) * greatest(0, least(maxy, ty1) - greatest(miny, ty0)) AS m
+ FROM parcels, comb WHERE minx < tx1 AND maxx > tx0 AND miny < ty1 AND maxy > ty0
+ UNION ALL SELECT 'L' || id, back AND x1 >= tx0 AND x3 <= tx1 AND y1 >= ty0 AND greatest(y1, y3) <= ty1, CASE WHEN y1 >= ty0 AND y1 <= ty1 THEN greatest(0, least(x2, tx1) - greatest(x1, tx0)) ELSE 0 END
+  + CASE WHEN y3 = y2 THEN CASE WHEN y1 >= ty0 AND y1 <= ty1 THEN greatest(0, least(x3, tx1) - greatest(x2, tx0)) ELSE 0 END
+    ELSE greatest(0, least(x3, tx1, x2 + ty1 - y2) - greatest(x2, tx0, x2 + ty0 - y2)) * sqrt(2) END
+ FROM lines, comb WHERE x1 < tx1 AND x3 > tx0 AND y1 <= ty1 AND greatest(y1, y3) >= ty0
+ UNION ALL SELECT 'S' || lid, true, 1.0 FROM sites, comb WHERE px >= tx0 AND px <= tx1 AND py >= ty0 AND py <= ty1) GROUP BY id HAVING sum(m) > 0"""))
+def clip_shapes(spark, sf):
+    """Polygons, lines and points by one long outline."""
+    from .spatial import _sites
+
+    named = lambda d, c, g: d.select(F.concat(F.lit(c), F.col(g[0]).cast("string")).alias("id"), F.col(g[1]).alias("geom"))
+    f = named(V.parcel_geoms(spark, sf), "P", ("id", "geom")).unionByName(named(V.line_geoms(spark, sf), "L", ("id", "geom"))).unionByName(named(_sites(spark, sf), "S", ("lid", "lgeom")))
+    c = A.clip(f, comb(spark), "id")
+    kind = G.base_kind("geom")
+    return c.select("id", "covered", F.round(F.when(kind == G.POINT, 1.0).when(kind == G.LINE, G.st_length("geom")).otherwise(G.st_area("geom")), 5).alias("measure"))
