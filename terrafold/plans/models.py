@@ -100,9 +100,9 @@ def answer_texts(spark, sf):
 
 @query("parsed_answers", """
 SELECT 'C' || conv_id AS subject_id, CASE k % 5 WHEN 0 THEN 'Unclassified' WHEN 1 THEN 'road' ELSE CASE WHEN role IN ('user','assistant') THEN role ELSE 'Unclassified' END END AS label,
- CASE k % 4 WHEN 0 THEN 0.85::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS confidence, 1 AS n_alternatives, 0.1::DOUBLE AS alternative FROM (SELECT *, conv_id*10 + turn AS k FROM conversations) WHERE k % 11 <> 0 AND conv_id % 3 <> 2""")
+ CASE k % 4 WHEN 0 THEN 0.85::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS confidence, 1 AS n_alternatives, 0.1::DOUBLE AS alternative FROM (SELECT *, conv_id*10 + turn AS k FROM conversations) WHERE k % 11 <> 0""")
 def parsed_answers(spark, sf):
-    s = load(spark, sf, "conversations").where(F.col("conv_id") % 3 != 2).select(F.concat(F.lit("c"), ks(F.col("conv_id"))).alias("subject_id"))
+    s = load(spark, sf, "conversations").select(F.concat(F.lit("c"), ks(F.col("conv_id"))).alias("subject_id"))
     p = S.parse_answers(answer_texts(spark, sf), s, ["Road", "User", "assistant", "Tree"])
     return p.select("subject_id", "label", "confidence", F.size("alternatives").alias("n_alternatives"), F.get("alternatives", F.lit(0))["confidence"].alias("alternative"))
 

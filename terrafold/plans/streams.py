@@ -74,7 +74,7 @@ def stream_response_cache(spark, sf):
 @query("stream_run_status", ORACLES.get("run_state_fold"))
 def stream_run_status(spark, sf):
     to = F.create_map(*[F.lit(x) for kv in {"view": "Running", "click": "Queued", "signup": "Succeeded", "purchase": "Cancelled", "error": "Failed"}.items() for x in kv])
-    e = stream_of(spark, sf, "events").where(F.col("event_type") != "click")
+    e = stream_of(spark, sf, "events")
     e = e.select(F.floor(F.col("event_id") / 7).alias("run_id"), F.col("event_id").alias("seq"), to[F.col("event_type")].alias("status"), F.col("ts").alias("at"))
     return drain(T.stream_runs(e), "update", ["run_id"])
 
