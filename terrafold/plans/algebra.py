@@ -236,6 +236,10 @@ def simplified_lines(spark, sf):
 
 
 def bumped_shapes(spark, sf):
+    return bumps_of(load(spark, sf, "orders"))
+
+
+def bumps_of(orders):
     """Squares of ten units with a low bump (0), one that holds a hole (1), a high bump (2), a dent that holds a part of its own (3)."""
     k = F.col("o_orderkey")
     x, y = (k % 1000) * 20.0, F.floor(k / 1000) * 20.0
@@ -247,7 +251,7 @@ def bumped_shapes(spark, sf):
     low, high, dent = side(10.5), side(13), side(9.5)
     geom = (F.when(k % 4 == 0, G.polygon(low)).when(k % 4 == 1, G.polygon(low, inner)).when(k % 4 == 2, G.polygon(high))
             .otherwise(G.make_geom(G.MULTI[G.POLYGON], F.array(F.array(dent), F.array(island)))))
-    return load(spark, sf, "orders").select(F.lit("BUMPS").alias("dataset"), k.cast("string").alias("feature_id"), k.alias("pos"), geom.alias("geom"))
+    return orders.select(F.lit("BUMPS").alias("dataset"), k.cast("string").alias("feature_id"), k.alias("pos"), geom.alias("geom"))
 
 
 # A low bump goes; with a hole in it, or a part in a dent, the tip stays; a high bump loses nothing but is left as it was.
@@ -343,7 +347,7 @@ V.CTE["comb"] = f"""SELECT {COMB[0]}::DOUBLE AS tx0, {COMB[0] + TEETH * 0.5}::DO
 UNION ALL SELECT {COMB[0]}::DOUBLE + i*0.5::DOUBLE, {COMB[0]}::DOUBLE + i*0.5::DOUBLE + 0.25::DOUBLE, {COMB[2]}::DOUBLE, {COMB[3]}::DOUBLE, false FROM range({TEETH}) t(i)"""
 
 
-@query("clip_shapes", with_sql("parcels", "lines", "comb", "sites", body="""
+CLIPPED = with_sql("parcels", "lines", "comb", "sites", body="""
 SELECT id, bool_or(whole) AS covered, round(sum(m), 5) AS measure FROM (
  SELECT 'P' || id AS id, back AND minx >= tx0 AND maxx <= tx1 AND miny >= ty0 AND maxy <= ty1 AS whole, greatest(0, least(maxx, tx1) - greatest(minx, tx0)) * greatest(0, least(maxy, ty1) - greatest(miny, ty0)) AS m
  FROM parcels, comb WHERE minx < tx1 AND maxx > tx0 AND miny < ty1 AND maxy > ty0
@@ -351,13 +355,19 @@ SELECT id, bool_or(whole) AS covered, round(sum(m), 5) AS measure FROM (
   + CASE WHEN y3 = y2 THEN CASE WHEN y1 >= ty0 AND y1 <= ty1 THEN greatest(0, least(x3, tx1) - greatest(x2, tx0)) ELSE 0 END
     ELSE greatest(0, least(x3, tx1, x2 + ty1 - y2) - greatest(x2, tx0, x2 + ty0 - y2)) * sqrt(2) END
  FROM lines, comb WHERE x1 < tx1 AND x3 > tx0 AND y1 <= ty1 AND greatest(y1, y3) >= ty0
- UNION ALL SELECT 'S' || lid, true, 1.0 FROM sites, comb WHERE px >= tx0 AND px <= tx1 AND py >= ty0 AND py <= ty1) GROUP BY id HAVING sum(m) > 0"""))
+ UNION ALL SELECT 'S' || lid, true, 1.0 FROM sites, comb WHERE px >= tx0 AND px <= tx1 AND py >= ty0 AND py <= ty1) GROUP BY id HAVING sum(m) > 0""")
+
+
+@query("clip_shapes", CLIPPED)
 def clip_shapes(spark, sf):
     """Polygons, lines and points by one long outline."""
     from .spatial import _sites
 
     named = lambda d, c, g: d.select(F.concat(F.lit(c), F.col(g[0]).cast("string")).alias("id"), F.col(g[1]).alias("geom"))
     f = named(V.parcel_geoms(spark, sf), "P", ("id", "geom")).unionByName(named(V.line_geoms(spark, sf), "L", ("id", "geom"))).unionByName(named(_sites(spark, sf), "S", ("lid", "lgeom")))
-    c = A.clip(f, comb(spark), "id")
+    return measured(A.clip(f, comb(spark), "id"))
+
+
+def measured(c):
     kind = G.base_kind("geom")
     return c.select("id", "covered", F.round(F.when(kind == G.POINT, 1.0).when(kind == G.LINE, G.st_length("geom")).otherwise(G.st_area("geom")), 5).alias("measure"))

@@ -35,7 +35,10 @@ def with_sql(*names: str, body: str) -> str:
 # --- square parcels from orders --------------------------------------------------------------
 
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
+    return parcels_of(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority"))
+
+
+def parcels_of(o: DataFrame) -> DataFrame:
     x = ((F.col("id") * 7919) % 20000) / 10.0
     y = ((F.col("id") * 104729) % 20000) / 10.0
     s = (F.lit(1) + F.col("id") % 17).cast("double")
@@ -100,7 +103,10 @@ SELECT 'S' || s_suppkey, 'S', ((s_suppkey*7919) % 36000)/100.0 - 180.0,
 # --- polylines along a 10-unit grid: a third end off the grid, one start in fifty is 5 mm off ------
 
 def lines(spark, sf) -> DataFrame:
-    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    return lines_of(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"))
+
+
+def lines_of(o: DataFrame) -> DataFrame:
     k = F.col("id")
     x = ((k % 300) * 10).cast("double")
     y = ((F.floor(k / 300) % 500) * 10).cast("double")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators.build import BuildProfile
 from ..streaming import features as T
-from ..streaming.drain import drain
+from ..streaming.drain import drain, drain_batches
+from . import algebra
 from . import derive as V
 from .classification import RULES
 from .derive import with_sql
@@ -41,6 +42,24 @@ def stream_clip(spark, sf):
     return drain(c.select("id", "covered", F.round((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 6).alias("area")))
 
 
+@query("stream_simplified_build", ORACLES.get("simplified_build"))
+def stream_simplified_build(spark, sf):
+    """The whole build, batch by batch."""
+    made = drain_batches(algebra.bumps_of(stream_of(spark, sf, "orders")), T.build_batch(BuildProfile(simplify_tol=1.0)))
+    n = made["findings"].select(F.col("pos").alias("p"), "code")
+    return made["features"].join(n, F.col("pos") == F.col("p"), "left").select(F.col("pos").alias("id"), "status", F.size(G.vertices("geom")).cast("long").alias("n"), "code")
+
+
+@query("stream_clip_shapes", f"SELECT * FROM ({algebra.CLIPPED}) WHERE id NOT LIKE 'S%'")
+def stream_clip_shapes(spark, sf):
+    """Polygons and lines of a stream by one long outline."""
+    o = stream_of(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
+    plot = V.parcels_of(o).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("id"), G.rect("minx", "miny", "maxx", "maxy").alias("geom"))
+    path = F.array(G.vertex("x1", "y1"), G.vertex("x2", "y2"), G.vertex("x3", "y3"))
+    line = V.lines_of(o).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("id"), G.line(path).alias("geom"))
+    return algebra.measured(drain_batches(plot.unionByName(line), T.clip_batch(algebra.comb(spark), "id"))["clipped"])
+
+
 @query("stream_classification", ORACLES.get("classification_decision"))
 def stream_classification(spark, sf):
     p = stream_of(spark, sf, "part")

@@ -36,3 +36,18 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
     last = F.struct("epoch", *([order] if order else []), *[c for c in stream.columns if c not in (keys or []) and c != order])
     rest = [c for c in stream.columns if c not in keys]
     return d.groupBy(*keys).agg(F.max(last).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
+
+
+def drain_batches(stream: DataFrame, operator) -> dict[str, DataFrame]:
+    """Process all available input batch by batch with ``operator`` (a micro-batch to named tables) and return the tables."""
+    from .features import each_batch
+
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    w = stream.writeStream.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+    w.foreachBatch(each_batch(operator, f"{base}/out")).start().awaitTermination()
+    # Of a stream without input the tables have their schema all the same.
+    layout = {name: made.schema for name, made in operator(spark.createDataFrame([], stream.schema)).items()}
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    some = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
+    return {name: spark.read.schema(schema).parquet(f"{base}/out/{name}") if some else spark.createDataFrame([], schema) for name, schema in layout.items()}

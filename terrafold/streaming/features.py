@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import geometry as G
+from ..operators import arrangement as A
+from ..operators import build as B
 from ..operators import classify as C
 from ..operators import quality as Q
 from ..operators import spatial as S
@@ -49,6 +51,29 @@ def stream_clip(stream: DataFrame, box: tuple[float, float, float, float]) -> Da
     return S.clip_to_box(stream, box)
 
 
+def build_batch(profile: BuildProfile):
+    """Operator of a micro-batch: the whole build, with its checks, repair, simplification and findings; every step looks at one feature."""
+    def run(batch: DataFrame) -> dict[str, DataFrame]:
+        features, findings = B.build_features(batch, profile)
+        return {"features": features, "findings": findings}
+
+    return run
+
+
+def clip_batch(boundary: DataFrame, key: str, **how):
+    """Operator of a micro-batch: features of any kind cut by stored boundaries (``boundary_id, boundary``)."""
+    return lambda batch: {"clipped": A.clip(batch, boundary, key, **how)}
+
+
+def each_batch(operator, path: str):
+    """``foreachBatch`` function: a table per name that ``operator`` gives; an epoch that is repeated replaces its own part."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        for name, made in operator(batch).items():
+            made.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+
+    return run
+
+
 def stream_classify(stream: DataFrame, rules: list[C.MappingRule]) -> DataFrame:
     """Rule decisions on a stream: rules are plan-time predicates, so there is no join and no state."""
     return C.decide(stream, rules)
