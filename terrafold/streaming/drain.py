@@ -44,10 +44,16 @@ def drain_batches(stream: DataFrame, operator) -> dict[str, DataFrame]:
 
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    layout = {}
+
+    def noted(batch: DataFrame) -> dict[str, DataFrame]:
+        made = operator(batch)
+        layout.update({name: d.schema for name, d in made.items()})
+        return made
+
     w = stream.writeStream.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
-    w.foreachBatch(each_batch(operator, f"{base}/out")).start().awaitTermination()
-    # Of a stream without input the tables have their schema all the same.
-    layout = {name: made.schema for name, made in operator(spark.createDataFrame([], stream.schema)).items()}
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
-    some = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
-    return {name: spark.read.schema(schema).parquet(f"{base}/out/{name}") if some else spark.createDataFrame([], schema) for name, schema in layout.items()}
+    w.foreachBatch(each_batch(noted, f"{base}/out")).start().awaitTermination()
+    if layout:
+        return {name: spark.read.schema(schema).parquet(f"{base}/out/{name}").select(*schema.names) for name, schema in layout.items()}
+    # A stream without input has its tables all the same.
+    return {name: spark.createDataFrame([], d.schema) for name, d in operator(spark.createDataFrame([], stream.schema)).items()}
