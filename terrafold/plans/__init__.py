@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("measures", "spatial", "quality", "attributes", "classification", "relations", "curves", "crs",
-           "algebra", "profiling", "ledger", "selection", "outputs", "models", "streams")
+           "algebra", "robust", "profiling", "ledger", "selection", "outputs", "models", "streams")
 
 
 def catalogue():
