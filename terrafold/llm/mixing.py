@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source queue in the order of a hash. An entry of the queue (a document, or its second copy) starts and
-finishes at virtual times: the words of its source before it, and with it, divided by the source's target. Entries of all
-sources are sorted by range on their finish time, and the mix is cut where the whole budget is sent: virtual time one, at
-which every source has sent its target. Entries in service at the cut give the words that are sent by then.
+Documents of a source queue in the order of a hash. Word ``p`` of a queue, which holds every document once and then its second
+copy, finishes at virtual time ``p / target``. Words of all sources are put in order of that time by range: an entry adds its words
+to the slices of virtual time that it spans, the running total over the slices shows the one in which the budget is reached, that
+one is cut finer until it holds few words, and those are sorted. What stands before the cut is the mix. The budget is the whole
+words of all targets.
 
 Targets share the budget by weight; a target over ``repeats`` times its source stops there and the rest is shared again,
 which in the end is ``least(cap, level * weight)`` for one level. Null sources make a source, the last; null texts have
@@ -22,6 +23,9 @@ from .shared import keep, row_key, words
 #: Documents of one source in one block of the queue, about.
 QUEUE_BLOCK = 20_000
 
+#: Slices of virtual time of one running total, and the words that one task sorts.
+SLICES, SORTED_WORDS = 256, 50_000
+
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
     """``source, source_size, target`` from ``(source, size)`` rows; windows hold one row per source."""
@@ -60,13 +64,54 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     return keep(joined.withColumn("begins", F.col("off") + F.col("own")).drop("s", "b", "off", "own", "ticket"))
 
 
+def entries(queued: DataFrame, repeats: int = 2) -> DataFrame:
+    """A row per document and copy that has words, with the words of its queue before it."""
+    copies = queued.filter("size > 0 AND target > 0").withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
+    return copies.withColumn("begins", F.col("begins") + F.col("copy") * F.col("source_size"))
+
+
+def _slices(rows: DataFrame, low: float, width: float) -> DataFrame:
+    """``rows`` by slice of virtual time, ``SLICES`` from ``low`` on: words ``first + 1`` to ``last`` of the queue finish in ``slice``."""
+    at = lambda position: (position / F.col("target") - F.lit(low)) / F.lit(width)
+    bound = lambda k: F.floor(F.col("target") * (F.lit(low) + k * F.lit(width)))
+    # One slice more on both ends makes up for the rounding of the quotient; slices without words go.
+    span = F.sequence(F.greatest(F.lit(0), F.floor(at(F.col("begins"))) - 1), F.least(F.lit(SLICES), F.greatest(F.lit(0), F.ceil(at(F.col("begins") + F.col("size"))) + 1)))
+    near = rows.filter((at(F.col("begins") + F.col("size")) >= -1) & (at(F.col("begins")) <= SLICES + 1))
+    cut = near.withColumn("slice", F.explode(span)).withColumns({
+        "first": F.greatest(F.col("begins"), bound(F.col("slice"))), "last": F.least(F.col("begins") + F.col("size"), bound(F.col("slice") + 1))})
+    return cut.filter("last > first")
+
+
+def cut_at_budget(rows: DataFrame) -> DataFrame:
+    """``source, sent``: how many words of each queue stand before the place where the running total reaches the budget."""
+    targets = keep(rows.groupBy("source").agg(F.max("target").alias("target")))
+    budget = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    low, width, before = 0.0, 1.0 / SLICES, 0
+    while True:
+        sums = _slices(rows, low, width).groupBy("slice").agg(F.sum(F.col("last") - F.col("first")).alias("words"))
+        total = F.sum("words").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0)) + before
+        found = sums.withColumn("total", total).filter(F.col("total") >= budget).orderBy("slice").first()
+        if found is None:  # no words at all
+            return targets.select("source", F.lit(0).cast("long").alias("sent"))
+        before = found["total"] - found["words"]
+        if found["words"] <= SORTED_WORDS or width < 1e-15:
+            break
+        low, width = low + found["slice"] * width, width / SLICES
+    held = _slices(rows, low, width).filter(F.col("slice") == found["slice"])
+    each = held.select("source", "target", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("position"))
+    place = F.row_number().over(W.orderBy(F.col("position") / F.col("target"), F.col("source").asc_nulls_last(), "position"))
+    last = each.withColumn("place", place).filter(F.col("place") <= budget - before).groupBy("source").agg(F.count("*").alias("more"))
+    last = last.select(F.col("source").alias("s"), "more")
+    whole = F.floor(F.col("target") * (F.lit(low) + found["slice"] * F.lit(width)))
+    return targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (whole + F.coalesce("more", F.lit(0))).alias("sent"))
+
+
 def schedule(queued: DataFrame, repeats: int = 2) -> DataFrame:
-    """The mix: entries in order of virtual finish time, with the words that each gives, cut at the total budget."""
-    entries = queued.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    begins = F.col("begins") + F.col("copy") * F.col("source_size")
-    entries = entries.withColumns({"virtual_finish": (begins + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)), "words": F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")) - begins))})
-    sent = entries.filter("words > 0")
-    return sent.repartitionByRange("virtual_finish", "source", "block", "slot").sortWithinPartitions("virtual_finish", "source", "block", "slot")
+    """The mix: entries with the words that stand before the cut."""
+    rows = entries(queued, repeats)
+    sent = keep(cut_at_budget(rows)).select(F.col("source").alias("s"), "sent")
+    rows = rows.join(sent, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return rows.withColumn("words", F.least(F.col("size"), F.col("sent") - F.col("begins"))).filter("words > 0")
 
 
 def mixed_sizes(docs: DataFrame, **how) -> DataFrame:

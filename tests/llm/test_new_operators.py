@@ -1,5 +1,6 @@
 """Periodic runs, page text and hard negatives beside plain versions."""
 
+import math
 import random
 
 import duckdb
@@ -217,6 +218,22 @@ def test_repeated_rows_do_not_overshoot_the_mix(spark):
     assert set(by) == {"a", "b"} and all(abs(n - 1500) <= 10 for n in by.values())
 
 
+@pytest.mark.parametrize("slices, few", [(256, 50_000), (4, 3), (3, 40)])
+def test_the_mix_is_cut_in_order_of_virtual_time(spark, monkeypatch, slices, few):
+    """Against one sorted list of all words, for slices of any number and size."""
+    monkeypatch.setattr(mixing, "SLICES", slices)
+    monkeypatch.setattr(mixing, "SORTED_WORDS", few)
+    rows = [("a", 0, 7, 30, 20.5), ("a", 7, 23, 30, 20.5), ("b", 0, 400, 405, 333.25), ("b", 400, 5, 405, 333.25), (None, 0, 1, 1, 2.0), ("c", 0, 0, 0, 0.0)]
+    queued = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "slot long, source string, begins long, size long, source_size long, target double")
+    got = {(r["slot"], r["copy"]): r["words"] for r in mixing.schedule(queued).collect()}
+    words = sorted((p / t, s is None, s or "", p, (i, c)) for i, (s, b, n, whole, t) in enumerate(rows) for c in range(2) if t for p in range(b + c * whole + 1, b + c * whole + n + 1))
+    budget = sum(math.floor(t) for t in {s: t for s, _, _, _, t in rows}.values())
+    want = {}
+    for w in words[:budget]:
+        want[w[-1]] = want.get(w[-1], 0) + 1
+    assert got == want
+
+
 def test_empty_token_files(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     tokens.write_token_files(docs, f"{tmp_path}/none", brute.TOKENIZER, 2)
