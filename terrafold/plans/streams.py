@@ -80,8 +80,10 @@ def stream_quality(spark, sf):
 
 @query("stream_failure_breaker", ORACLES.get("failure_breaker"))
 def stream_failure_breaker(spark, sf):
-    e = stream_of(spark, sf, "events").select(F.col("event_type").alias("layer"), F.col("event_id").alias("pos"), (F.col("user_id") % 3 != 0).alias("failed"))
-    return drain(T.stream_breaker(e, 9))
+    """The stream decides where a layer is abandoned; the landed rows are read up to there."""
+    of = lambda e: e.select(F.col("event_type").alias("layer"), F.col("event_id").alias("pos"), (F.col("user_id") % 3 != 0).alias("failed"), F.col("ts").alias("at"))
+    blocks = drain(T.stream_breaker(of(stream_of(spark, sf, "events")), 9), "update", ["layer", "blk"])
+    return T.rows_until_cut(of(load(spark, sf, "events")), T.breaker_cuts(blocks, 9)).select("layer", "pos", "abandoned")
 
 
 @query("stream_response_cache", ORACLES.get("response_cache"))

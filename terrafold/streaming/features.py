@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
@@ -109,40 +111,89 @@ def overlaps_against(stored_path: str, size: float):
 
 # --- keyed state --------------------------------------------------------------------------------------------
 
-class FailureBreaker(StatefulProcessor):
-    """Counts failures in a row per layer and drops a layer's rows after the limit; expects rows in order."""
+_AT = T.StructField("at_ms", T.LongType())
+
+class FailureRuns(StatefulProcessor):
+    """Runs of failures of one layer inside one block of positions, kept as two bits a position.
+
+    Every batch gives the block's summary anew: summaries add up, whatever order the rows came in. A block whose latest row the
+    watermark has passed is closed: its bits go, and rows that still come for it are dropped.
+    """
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, block: int):
+        self.limit, self.block = limit, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", T.StructType([T.StructField("n", T.LongType()), T.StructField("cut", T.BooleanType())]))
+        self.handle = handle
+        self.bits = handle.getValueState("bits", T.StructType([T.StructField("seen", T.BinaryType()), T.StructField("failed", T.BinaryType()), _AT]))
+        self.closed = handle.getValueState("closed", T.StructType([T.StructField("closed", T.BooleanType())]))
+
+    def _summary(self, seen: np.ndarray, failed: np.ndarray, start: int) -> dict:
+        at = np.flatnonzero(seen)
+        f = failed[at].astype(bool)
+        n = len(at)
+        fine = np.flatnonzero(~f)
+        runs = np.arange(n) - np.maximum.accumulate(np.where(f, -1, np.arange(n)))
+        full = np.flatnonzero(f & (runs >= self.limit))
+        head = int(fine[0]) if len(fine) else n
+        return {"n": n, "tail": n - 1 - int(fine[-1]) if len(fine) else n, "whole": not len(fine), "cut": start + int(at[full[0]]) if len(full) else None,
+                "head": [start + int(i) for i in at[:min(head, self.limit)]]}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
-        n, cut = self.run.get() if self.run.exists() else (0, False)
-        parts = [r for r in rows]
-        pdf = pd.concat(parts).sort_values("pos") if parts else None
-        out = []
-        if pdf is not None and not cut:
-            for pos, failed in zip(pdf["pos"], pdf["failed"]):
-                n = n + 1 if failed else 0
-                cut = n >= self.limit
-                out.append((key[0], int(pos), bool(cut)))
-                if cut:
-                    break
-        self.run.update((int(n), bool(cut)))
-        yield pd.DataFrame(out, columns=["layer", "pos", "abandoned"])
+        if self.closed.exists():
+            return
+        start = int(key[1]) * self.block
+        held = self.bits.get() if self.bits.exists() else None
+        seen, failed = (np.unpackbits(np.frombuffer(h, dtype=np.uint8))[: self.block] if held else np.zeros(self.block, dtype=np.uint8) for h in (held or (None, None))[:2])
+        latest = int(held[2]) if held else 0
+        for r in rows:
+            at = r["pos"].to_numpy() - start
+            seen[at] = 1
+            failed[at] = r["failed"].to_numpy().astype(np.uint8)
+            latest = max(latest, int(r["at_ms"].max()))
+        self.bits.update((np.packbits(seen).tobytes(), np.packbits(failed).tobytes(), latest))
+        self.handle.registerTimer(latest)
+        yield pd.DataFrame([{"layer": key[0], "blk": int(key[1]), **self._summary(seen, failed, start)}])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.bits.exists() and self.bits.get()[2] <= timerValues.getCurrentWatermarkInMs():
+            self.bits.clear()
+            self.closed.update((True,))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_breaker(stream: DataFrame, limit: int = 1000) -> DataFrame:
-    return stream.groupBy("layer").transformWithStateInPandas(
-        statefulProcessor=FailureBreaker(limit), outputStructType="layer string, pos long, abandoned boolean", outputMode="Append", timeMode="None")
+def stream_breaker(stream: DataFrame, limit: int = 1000, late: str = "1 hour", block: int = 4096) -> DataFrame:
+    """Summaries of blocks of positions, as updates by ``layer, blk``, from ``layer, pos, failed, at``; ``breaker_cuts`` reads them.
+
+    A null ``failed`` counts as no failure and a null ``at`` as the beginning of time.
+    """
+    d = stream.select("layer", F.floor(F.col("pos") / block).cast("long").alias("blk"), "pos", F.coalesce("failed", F.lit(False)).alias("failed"), _instant("at").alias("at"))
+    d = d.withWatermark("at", late).withColumn("at_ms", F.coalesce(F.unix_millis("at"), F.lit(0)))
+    return d.groupBy("layer", "blk").transformWithStateInPandas(
+        statefulProcessor=FailureRuns(limit, block), outputStructType="layer string, blk long, n long, tail long, whole boolean, cut long, head array<long>",
+        outputMode="Update", timeMode="EventTime")
+
+
+def breaker_cuts(blocks: DataFrame, limit: int = 1000) -> DataFrame:
+    """``layer, cut``: the position at which a layer has failed ``limit`` times in a row, from the latest summary of each block."""
+    before = W.partitionBy("layer").orderBy("blk")
+    d = blocks.withColumn("_isl", F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(before.rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_reach", F.sum("tail").over(W.partitionBy("layer", "_isl").orderBy("blk").rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_carry", F.coalesce(F.lag("_reach").over(before), F.lit(0)))
+    # A carry of the limit or more was cut in an earlier block.
+    joined = F.when(F.col("_carry") < limit, F.get("head", (F.lit(limit - 1) - F.col("_carry")).cast("int")))
+    return d.groupBy("layer").agg(F.min(F.least(joined, "cut")).alias("cut")).where("cut IS NOT NULL")
+
+
+def rows_until_cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of each layer up to its cut, with a flag on the row there."""
+    d = rows.join(cuts, "layer", "left").where(F.col("cut").isNull() | (F.col("pos") <= F.col("cut")))
+    return d.withColumn("abandoned", F.coalesce(F.col("pos") == F.col("cut"), F.lit(False))).drop("cut")
 
 
-_AT = T.StructField("at_ms", T.LongType())
 
 
 def _in_order(held: list[tuple], at: int, watermark: int) -> tuple[list[tuple], int]:
