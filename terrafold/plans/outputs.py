@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
 from ..functions import geometry as G
 from ..operators import quality as Q
+from ..operators.common import checkpoint_dir
 from ..sinks import formats as K
 from ..sinks import report as R
 from ..sources import bridge, landxml
@@ -200,3 +203,18 @@ def bridge_elements(spark, sf):
 SELECT p_brand AS doc_id, CAST(p_partkey AS VARCHAR) AS element_id, 'Reader.UnreadableGeometry' AS code FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT DISTINCT p_brand, NULL, 'Partial' FROM part""")
 def bridge_warnings(spark, sf):
     return bridge.parse_documents(bridge_documents(spark, sf))[1]
+
+
+@query("class_deliveries", """
+SELECT regexp_replace(regexp_replace(p_brand || '. ' || p_type, '[. ]', '_', 'g'), '^_+|_+$', '', 'g') AS class_file, count(*) AS n_features, count(*) AS n_written,
+ 'ok' AS status, 'Export.KmlRequiresWgs84' AS code, count(*) AS n_read, count(DISTINCT p_partkey) AS n_ids FROM part GROUP BY 1""")
+def class_deliveries(spark, sf):
+    """Products as placemarks of one class each brand and type, written in one job and read back from the folders."""
+    k = F.col("p_partkey")
+    d = load(spark, sf, "part").select(k.alias("feature_id"), F.concat_ws(". ", "p_brand", "p_type").alias("feature_class"), "p_name", G.point(k % 360 - 180.0, k % 180 - 90.0).alias("geom"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/classes-{uuid.uuid4().hex}"
+    status = K.write_classes(d, path, "kml", ["p_name"], crs="EPSG:27700")
+    # Names that read as numbers stay names.
+    back = spark.read.schema("value string, class_file string").text(path)
+    read = back.groupBy("class_file").agg(F.count("*").alias("n_read"), F.countDistinct(F.regexp_extract("value", r'^<Placemark id="([^"]*)"', 1)).alias("n_ids"))
+    return status.join(read, "class_file", "left")

@@ -36,11 +36,11 @@ def _property(df: DataFrame, name: str, keep_null: bool) -> Column:
 
 
 def geojson_rows(df: DataFrame, properties: list[str], fid: str = "feature_id", geom: str = "geom", omit_nulls: bool = True,
-                 digits: int | None = None) -> DataFrame:
-    """One GeoJSON feature per row as ``value``."""
+                 digits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON feature per row as ``value``, beside the columns ``carry``."""
     props = F.concat_ws(",", *[_property(df, p, not omit_nulls) for p in properties]) if properties else F.lit("")
     text = F.concat(F.lit('{"type":"Feature","id":'), _json_string(F.col(fid).cast("string")), F.lit(',"properties":{'), props, F.lit('},"geometry":'), E.to_geojson(geom, digits), F.lit("}"))
-    return df.select(text.alias("value"))
+    return df.select(*carry, text.alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str], crs: str = "EPSG:4326", **kw) -> None:
@@ -68,10 +68,10 @@ def write_elements_geojson(elements: DataFrame, path: str) -> None:
     elements_geojson_rows(elements).write.mode("overwrite").text(path)
 
 
-def csv_rows(df: DataFrame, fields: list[str], fid: str = "feature_id", geom: str = "geom") -> DataFrame:
+def csv_rows(df: DataFrame, fields: list[str], fid: str = "feature_id", geom: str = "geom", carry: tuple[str, ...] = ()) -> DataFrame:
     """``id, WKT`` and the schema fields as canonical text; null is empty, heights are left out."""
     cols = [canonical_string(c, DATA_TYPE.get(df.schema[c].dataType.simpleString(), "Text")).alias(c) for c in fields]
-    return df.select(F.col(fid).cast("string").alias("id"), F.coalesce(E.to_wkt(geom), F.lit("")).alias("WKT"), *cols)
+    return df.select(*carry, F.col(fid).cast("string").alias("id"), F.coalesce(E.to_wkt(geom), F.lit("")).alias("WKT"), *cols)
 
 
 def write_csv_wkt(df: DataFrame, path: str, fields: list[str], **kw) -> None:
@@ -94,12 +94,12 @@ def write_wkb(df: DataFrame, path: str, geom: str = "geom") -> None:
     with_wkb(df, geom).drop(geom).write.mode("overwrite").parquet(path)
 
 
-def kml_rows(df: DataFrame, fields: list[str], fid: str = "feature_id", geom: str = "geom") -> DataFrame:
+def kml_rows(df: DataFrame, fields: list[str], fid: str = "feature_id", geom: str = "geom", carry: tuple[str, ...] = ()) -> DataFrame:
     """One placemark per row; every schema field is a data value, empty when null."""
     data = [F.concat(F.lit(f'<Data name="{n}"><value>'), E.xml_escape(canonical_string(n, DATA_TYPE.get(df.schema[n].dataType.simpleString(), "Text"))), F.lit("</value></Data>")) for n in fields]
     ext = F.concat(F.lit("<ExtendedData>"), *data, F.lit("</ExtendedData>")) if fields else F.lit("")
     text = F.concat(F.lit('<Placemark id="'), E.xml_escape(F.col(fid).cast("string")), F.lit('">'), ext, E.to_kml(geom), F.lit("</Placemark>"))
-    return df.select(text.alias("value"))
+    return df.select(*carry, text.alias("value"))
 
 
 def kml_finding(crs: str) -> tuple[int, str] | None:
@@ -107,8 +107,20 @@ def kml_finding(crs: str) -> tuple[int, str] | None:
     return None if crs.upper() == "EPSG:4326" else (3, "Export.KmlRequiresWgs84")
 
 
-def write_kml(df: DataFrame, path: str, fields: list[str], **kw) -> None:
+def kml_findings(df: DataFrame, crs: str) -> DataFrame:
+    """The finding of a KML delivery in ``crs``, or no row."""
+    from ..operators.quality import finding
+
+    said = kml_finding(crs)
+    one = df.sparkSession.range(1 if said else 0)
+    severity, code = said or (3, "Export.KmlRequiresWgs84")
+    return finding(one, "Export.Kml", severity, "Crs", F.lit(f"KML holds WGS 84 positions, this delivery is in {crs}"), code)
+
+
+def write_kml(df: DataFrame, path: str, fields: list[str], crs: str = "EPSG:4326", **kw) -> DataFrame:
+    """Writes the placemarks and returns the findings of the delivery."""
     kml_rows(df, fields, **kw).write.mode("overwrite").text(path)
+    return kml_findings(df, crs)
 
 
 WRITERS: dict[str, Callable] = {"geojson": write_geojson, "csv": write_csv_wkt, "kml": write_kml}
@@ -119,19 +131,45 @@ def register_writer(key: str, fn: Callable) -> None:
     WRITERS.setdefault(key.lower(), fn)
 
 
+LINES: dict[str, Callable] = {"geojson": geojson_rows, "csv": csv_rows, "kml": kml_rows}
+
+
+def write_classes(df: DataFrame, path: str, fmt: str, fields: list[str], class_col: str = "feature_class", crs: str = "EPSG:4326",
+                  fid: str = "feature_id") -> DataFrame:
+    """All feature classes in one job, ``path/class_file=<safe name>`` each, and ``class_file, n_features, n_written, status, code`` per class.
+
+    Rows are dealt by range over class and feature, so a class fills few files and a large one several tasks. A feature that the
+    format cannot hold is left out and its class is ``incomplete``; the other classes are not touched by it.
+    """
+    named = df.withColumn("class_file", safe_file_name(class_col))
+    dealt = named.repartitionByRange("class_file", F.xxhash64(F.col(fid).cast("string")))
+    rows = LINES[fmt](dealt, fields, fid=fid, carry=("class_file",))
+    kept = rows if fmt == "csv" else rows.where("value IS NOT NULL")
+    out = kept.write.mode("overwrite").partitionBy("class_file")
+    out.option("header", True).option("escape", '"').option("emptyValue", "").csv(path) if fmt == "csv" else out.text(path)
+    lines = LINES[fmt](named, fields, fid=fid, carry=("class_file",))
+    written = F.count("*") if fmt == "csv" else F.count("value")
+    n = lines.groupBy("class_file").agg(F.count("*").alias("n_features"), written.alias("n_written"))
+    code = kml_finding(crs)[1] if fmt == "kml" and kml_finding(crs) else None
+    return n.select("*", F.when(F.col("n_features") == F.col("n_written"), "ok").otherwise("incomplete").alias("status"), F.lit(code).cast("string").alias("code"))
+
+
 def write_by_class(df: DataFrame, path: str, fmt: str, fields: list[str], class_col: str = "feature_class") -> dict[str, str]:
-    """One output per feature class under a safe name; a failing class does not stop the others.
+    """One output per feature class under a safe name, with the state of each; a failing class does not stop the others.
 
-    Parquet writes all classes in one partitioned job; text formats run one job per class.
+    The library's own formats write all classes in one partitioned job; a registered writer runs one job per class.
     """
-    named = df.withColumn("_file", safe_file_name(class_col))
     if fmt == "parquet":
-        named.withColumnRenamed("_file", "class_file").write.mode("overwrite").partitionBy("class_file").parquet(path)
+        named = df.withColumn("class_file", safe_file_name(class_col))
+        named.write.mode("overwrite").partitionBy("class_file").parquet(path)
         return {"*": "ok"}
+    if fmt in LINES:
+        return {r["class_file"]: r["status"] for r in write_classes(df, path, fmt, fields, class_col).toLocalIterator()}
+    named = df.withColumn("_file", safe_file_name(class_col))
     status = {}
     names = [r[0] for r in named.select("_file").distinct().orderBy("_file").limit(10001).collect()]
     if len(names) > 10000:
-        raise ValueError("more than 10000 classes: write parquet, which partitions by class in one job")
+        raise ValueError("more than 10000 classes for a writer that runs a job each")
     for n in names:
         try:
             WRITERS[fmt](named.where(F.col("_file") == n).drop("_file"), f"{path.rstrip('/')}/{n}", fields)

@@ -4,6 +4,7 @@ import json
 import re
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import encode as E
@@ -133,3 +134,24 @@ def test_selection_sets_and_finding_partitions(spark, tmp_path):
     assert one.count() == 6
     assert "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().executedPlan().toString()
     assert L.rewrite(f, str(tmp_path / "v"), "2").endswith("version=2")
+
+
+@pytest.mark.parametrize("fmt", ["geojson", "csv", "kml"])
+def test_many_classes_in_one_job(spark, tmp_path, fmt):
+    n = 120
+    d = spark.range(n * 3).select(F.col("id").alias("feature_id"), F.when(F.col("id") < n * 2, F.concat(F.lit("c "), (F.col("id") % n).cast("string"))).otherwise("large").alias("feature_class"),
+                                  F.lit('a"b').alias("name"), G.point(F.col("id").cast("double"), F.lit(1.0)).alias("geom"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    st = K.write_classes(d, str(tmp_path / "o"), fmt, ["name"], crs="EPSG:27700")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 4
+    got = {r["class_file"]: tuple(r)[1:] for r in st.collect()}
+    code = "Export.KmlRequiresWgs84" if fmt == "kml" else None
+    assert len(got) == n + 1 and got["large"] == (n, n, "ok", code) and got["c_17"] == (2, 2, "ok", code)
+    back = spark.read.option("header", fmt == "csv").format("csv" if fmt == "csv" else "text").load(str(tmp_path / "o"))
+    assert {r["class_file"]: r["count"] for r in back.groupBy("class_file").count().collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_kml_says_that_it_needs_wgs84(spark, tmp_path):
+    d = features(spark)
+    assert [r["code"] for r in K.write_kml(d, str(tmp_path / "k"), ["name"], crs="EPSG:27700").collect()] == ["Export.KmlRequiresWgs84"]
+    assert K.write_kml(d, str(tmp_path / "l"), ["name"]).count() == 0
