@@ -139,3 +139,17 @@ def test_stopped_read_is_told(spark):
     assert R.filter_layers(e, layers, max_elements=5).count() == 5
     assert [r["code"] for r in R.element_limit_warning(e, layers, 5).collect()] == ["Reader.ElementLimit"]
     assert R.element_limit_warning(e, layers, 8).count() == R.element_limit_warning(e, layers, 0).count() == 0
+
+
+def test_sides_that_grow_are_never_collected_on_the_driver(spark):
+    """Rows that Spark takes for a few bytes each hold a geometry, and an explode makes many of one."""
+    from terrafold.functions import geometry as G
+    from terrafold.operators import arrangement as A
+    from terrafold.operators import shapes as H
+
+    x = F.col("id") * 20.0
+    d = spark.range(50).select(F.col("id").alias("key"), x.alias("x"), G.rect(x, F.lit(0.0), x + 10, F.lit(10.0)).alias("geom"), F.lit(10.0).alias("cell"))
+    rings = d.select("key", (F.col("key") % 3).alias("ring_id"), G.rect_ring(F.col("x"), F.lit(0.0), F.col("x") + 10, F.lit(10.0)).alias("ring"))
+    dots = d.select("key", (F.col("x") + 1).alias("mx"), F.lit(1.0).alias("my"), "cell")
+    for df in (H.ring_depths(rings, 40.0), A.winding(dots, A.directed_edges(d, ["key", "cell"]), ["key"], "key", F.col("cell"))):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
