@@ -19,8 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, a similarity of 0.8 or more."""
-    return simhash.keep_one_of_each(docs, simhash.SIMILAR)
+    """One document of each group of near-duplicates stays.
+
+    Links are fingerprints of three bits at most, found by vantage-point trees, and sets of five-word shingles of a similarity of
+    0.8 or more, which move more bits than a tree can search.
+    """
+    return simhash.keep_one_of_each(docs, simhash.SIMILAR, trees=simhash.CLOSE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

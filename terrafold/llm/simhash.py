@@ -453,12 +453,26 @@ def simhash_components(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     return prints.join(names, "id").select("doc_id", *scheme.names, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+def _joined(docs: DataFrame, scheme: Scheme, trees: Scheme) -> DataFrame:
+    """``root, row`` of the groups of ``scheme``, those that links of ``trees`` connect under one root."""
+    prints, linked = _components(docs, scheme)
+    close, met = _components(docs, trees)
+    of = lambda p, c, root: p.join(c.select("id", F.col("root").alias(root)), "id").select("doc_id", "key", root).distinct()
+    a, b = of(prints, linked, "root"), of(close, met, "tree").toDF("_doc", "_key", "tree")
+    both = keep(a.join(b, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("root", "tree").distinct())
+    first = both.groupBy("tree").agg(F.min("root").alias("a"))
+    tops = components(both.join(first, "tree").select("a", F.col("root").alias("b")))
+    tops = tops.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return linked.join(tops, "root", "left").select(F.coalesce("top", "root").alias("root"), "row")
+
+
+def keep_one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR, trees: Scheme | None = None) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of the smallest ``doc_id`` and ``row_key``, nulls last.
 
-    Of rows that repeat both, the one with the smallest hash of all columns stays.
+    Of rows that repeat both, the one with the smallest hash of all columns stays. ``trees`` is a second scheme whose links
+    connect rows too.
     """
-    _, linked = _components(docs, scheme)
+    linked = _joined(docs, scheme, trees) if trees else _components(docs, scheme)[1]
     first = keep(linked.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.key").alias("key")))
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc"), row_key(docs["text"]).alias("text_key"))
     rows = whole.join(first, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select("id", "key", "row")

@@ -345,3 +345,17 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sum(r.length for r in got) == sum(len(brute.ids_of(r.text)) + 1 for r in mixed)
     assert os.path.isdir(SF)
+
+
+def test_near_duplicates_follow_links_of_trees(spark):
+    """Texts of one fingerprint whose sets of shingles differ, and a near copy of one of them."""
+    import corpus_pipeline
+
+    again = "one two three four five six seven " * 100
+    apart = [again + " ".join(f"{c}{i}" for i in range(12)) for c in "ab"]
+    texts = [*apart, apart[1] + " end", "nothing of it stands here at all but these few words"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = {r.doc_id: r.f0 for r in simhash.simhash_components(docs, simhash.CLOSE).collect()}
+    assert all((prints[0] ^ prints[i]).bit_count() <= 3 for i in (1, 2))
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == {0, 1, 3}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 3}
