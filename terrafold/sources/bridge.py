@@ -27,8 +27,11 @@ def read_bridge_json(spark: SparkSession, path, multiline: bool = False) -> tupl
 
 def parse_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     layers = docs.select(F.col("location").alias("doc_id"), F.posexplode("layers").alias("_lp", "l"))
-    el = layers.select("doc_id", "_lp", F.col("l.name").alias("layer"), F.coalesce("l.isVisible", F.lit(True)).alias("is_visible"), F.posexplode("l.elements").alias("_ep", "e"))
-    el = el.withColumn("_g", geom_from_wkt("e.geometryWkt"))
+    # What an element needs of its layer is taken first: otherwise every element row carries the whole layer.
+    layers = layers.select("doc_id", "_lp", F.col("l.name").alias("layer"), F.coalesce("l.isVisible", F.lit(True)).alias("is_visible"), F.col("l.elements").alias("_els"))
+    el = layers.select("doc_id", "_lp", "layer", "is_visible", F.posexplode("_els").alias("_ep", "e"))
+    # The elements of one document are read by many tasks.
+    el = el.repartition("doc_id", "_lp", "_ep").withColumn("_g", geom_from_wkt("e.geometryWkt"))
     kind = F.coalesce(*[F.when(F.lower("e.geometryKind") == k.lower(), F.lit(k)) for k in KINDS], F.lit("Unknown"))
     read = F.col("_g.kind").isNotNull()
     said = F.length(F.trim("e.geometryWkt")) > 0

@@ -1,6 +1,7 @@
 """Readers on small files of every supported kind."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,16 @@ def test_bridge_json(spark, tmp_path):
     assert sorted((r["element_id"] or "", r["code"]) for r in w.collect()) == [("", "part"), ("2", "Reader.UnreadableGeometry")]
 
 
+def test_bridge_elements_do_not_carry_their_layer(spark, tmp_path):
+    """Each element row of a large layer once held a copy of the whole layer."""
+    doc = {"location": "m", "layers": [{"name": "W", "elements": [{"id": str(i), "geometryWkt": f"POINT ({i} 1)"} for i in range(50)]}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    e, _ = bridge.read_bridge_json(spark, str(tmp_path))
+    carried = re.findall(r"Generate posexplode\((\w+)\S*\), \[(.*?)\]", e._jdf.queryExecution().executedPlan().toString())
+    assert [re.findall(r"(\w+)#", c) for g, c in carried if g == "_els"] == [["doc_id", "_lp", "layer", "is_visible"]]
+    assert sorted((r["pos"]["_lp"], r["pos"]["_ep"], r["element_id"]) for r in e.collect()) == [(0, i, str(i)) for i in range(50)]
+
+
 def test_rule_profiles(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"ProfileId": "p", "Name": "P", "Rules": [{"RuleName": "Road", "Priority": 9, "TargetFeatureClass": "Road", "LayerNames": ["ROAD_CL"], "GeometryTypes": ["Line"]}]}, indent=1))
     (tmp_path / "b.json").write_text("{ broken")
