@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import crs as C
 from ..functions import geometry as G
 from . import spatial as S
+from .common import GROWS, stored
 
 AREA_ALIASES = {  # fixed values: alias and the text it stands for
     "united arab emirates": "uae", "emirates": "uae", "usa": "united states", "america": "united states",
@@ -93,7 +94,8 @@ def crs_for_points(points: DataFrame, catalog: DataFrame, k: int = 20, pid: str
                    size: float = 10.0) -> DataFrame:
     """Projected entries whose area holds each point, smallest area first; areas may cross the antimeridian.
 
-    Each cell keeps its own short list of areas, so a point does not meet every area that holds it.
+    Each cell keeps its own short list of areas, so a point does not meet every area that holds it; crowded cells with long
+    lists are split.
     """
     box = catalog.where(F.col("is_projected") & F.col("south").isNotNull() & F.col("north").isNotNull() & F.col("west").isNotNull() & F.col("east").isNotNull())
     width = F.when(F.col("west") <= F.col("east"), F.col("east") - F.col("west")).otherwise(F.col("east") - F.col("west") + 360)
@@ -102,17 +104,66 @@ def crs_for_points(points: DataFrame, catalog: DataFrame, k: int = 20, pid: str
     pieces = F.when(F.col("west") <= F.col("east"), F.array(span(F.col("west"), F.col("east")))).otherwise(
         F.array(span(F.col("west"), F.lit(180.0)), span(F.lit(-180.0), F.col("east"))))
     box = box.withColumn("_s", F.explode(pieces)).withColumns({"_w": F.col("_s.w"), "_e": F.col("_s.e")}).drop("_s")
-    # Per cell, an area that comes after ``k`` smaller ones which cover the whole cell can be no point's answer there.
-    box = S.cells(box, size, ("_w", "south", "_e", "north"))
-    full = (F.col("_w") <= F.col("_cx") * size) & (F.col("_e") >= (F.col("_cx") + 1) * size) & (F.col("south") <= F.col("_cy") * size) & (F.col("north") >= (F.col("_cy") + 1) * size)
-    smaller = W.partitionBy("_cx", "_cy").orderBy("area_size", "code").rowsBetween(W.unboundedPreceding, -1)
-    box = box.withColumn("_over", F.coalesce(F.sum(full.cast("int")).over(smaller), F.lit(0))).where(F.col("_over") < k).drop("_over")
-    at = points.withColumns({"_cx": S._cell(F.col(lon), size), "_cy": S._cell(F.col(lat), size)})
-    j = at.join(box, ["_cx", "_cy"]).where(F.col(lon).between(F.col("_w"), F.col("_e")) & F.col(lat).between(F.col("south"), F.col("north"))).drop("_cx", "_cy", "_w", "_e")
+    box = box.where(F.col("south") <= F.col("north"))
+    fine = 2 ** SPLITS
+    at = points.withColumns({"_fx": S._cell(F.col(lon), size / fine), "_fy": S._cell(F.col(lat), size / fine)})
+    lists, places = _short_lists(box, at, k, size)
+    at = at.join(places, ["_fx", "_fy"]).withColumns({c: _above(f, F.lit(SPLITS) - F.col("_lv")) for c, f in CELL_OF.items()}).drop(*CELL_OF.values())
+    j = at.hint(GROWS).join(lists, ["_lv", *CELL_OF]).where(F.col(lon).between(F.col("_w"), F.col("_e")) & F.col(lat).between(F.col("south"), F.col("north")))
     w = W.partitionBy(pid).orderBy("area_size", "code")
+    # Dealt by point before the ranks: a task that joins would sort all its pairs.
+    j = j.drop("_lv", *CELL_OF, "_w", "_e").repartition(pid)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+CELL_OF = {"_cx": "_fx", "_cy": "_fy"}
+#: A cell is split, at most so often, where it holds so many points and its list of areas is long.
+SPLITS, CROWD = 6, 64
+
+
+def _above(c: str, levels) -> Column:
+    """The cell that holds a cell so many levels up."""
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), levels)).cast("long")
+
+
+def _short_lists(box: DataFrame, at: DataFrame, k: int, size: float) -> tuple[DataFrame, DataFrame]:
+    """``_lv, _cx, _cy`` with the areas that can be among the ``k`` smallest of a point there, and ``_fx, _fy, _lv`` of the points' cells.
+
+    In a cell, an area comes after ``k`` smaller ones that cover the whole cell, or after ``k`` that cover the same part of it, is no
+    point's answer. Crowded cells with long lists are split, list by list, so that large areas never meet the finest cells.
+    """
+    few = max(64, 4 * k)
+    crowd = stored(at.where("_fx IS NOT NULL AND _fy IS NOT NULL").groupBy("_fx", "_fy").agg(F.count("*").alias("_n")))
+    todo, lists, places = S.cells(box, size, ("_w", "south", "_e", "north")), None, None
+    more = lambda d, e: e if d is None else d.unionByName(e)
+    for lv in range(SPLITS + 1):
+        step = size / 2 ** lv
+        crowd = crowd.withColumns({c: _above(f, F.lit(SPLITS - lv)) for c, f in CELL_OF.items()})
+        there = crowd.groupBy(*CELL_OF).agg(F.sum("_n").alias("_n"))
+        low, high = {c: F.col(c) * step for c in CELL_OF}, {c: (F.col(c) + 1) * step for c in CELL_OF}
+        clip = [F.greatest("_w", low["_cx"]), F.least("_e", high["_cx"]), F.greatest("south", low["_cy"]), F.least("north", high["_cy"])]
+        full = (F.col("_w") <= low["_cx"]) & (F.col("_e") >= high["_cx"]) & (F.col("south") <= low["_cy"]) & (F.col("north") >= high["_cy"])
+        order = ["area_size", "code"]
+        todo = todo.join(there.select(*CELL_OF), [*CELL_OF], "left_semi").repartition(*CELL_OF)
+        todo = todo.withColumn("_pile", F.row_number().over(W.partitionBy(*CELL_OF, *clip).orderBy(*order))).where(F.col("_pile") <= k).drop("_pile")
+        smaller = W.partitionBy(*CELL_OF).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        todo = todo.withColumn("_over", F.coalesce(F.sum(full.cast("int")).over(smaller), F.lit(0))).where(F.col("_over") < k).drop("_over")
+        todo = stored(todo)
+        long = todo.groupBy(*CELL_OF).agg(F.count("*").alias("_m")).where(F.col("_m") > few).join(there, [*CELL_OF]).where(F.col("_n") >= CROWD)
+        last = lv == SPLITS
+        hot = None if last else stored(long.select(*CELL_OF))
+        last = last or hot.isEmpty()
+        rest = lambda d: d if last else d.join(hot, [*CELL_OF], "left_anti")
+        lists = more(lists, rest(todo).withColumn("_lv", F.lit(lv)))
+        places = more(places, rest(crowd).select("_fx", "_fy", F.lit(lv).alias("_lv")))
+        if last:
+            return lists, stored(places)
+        crowd = stored(crowd.join(hot, [*CELL_OF], "left_semi"))
+        half = step / 2
+        child = lambda c, a, b: F.explode(F.sequence(F.greatest(F.col(c) * 2, S._cell(a, half)), F.least(F.col(c) * 2 + 1, S._cell(b, half))))
+        todo = todo.join(hot, [*CELL_OF], "left_semi").withColumn("_cx", child("_cx", "_w", "_e")).withColumn("_cy", child("_cy", "south", "north"))
+
+
 # Fixed values of the zone guess.
 UTM_EAST, UTM_NORTH = (100_000.0, 900_000.0), (-1_000_000.0, 10_100_000.0)
 
