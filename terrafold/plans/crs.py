@@ -160,7 +160,8 @@ def crs_search(spark, sf):
 SELECT id, code, rank FROM (SELECT id, code, row_number() OVER (PARTITION BY id ORDER BY greatest(0, north - south)*CASE WHEN west <= east THEN east - west ELSE east - west + 360 END, code) AS rank
  FROM points JOIN catalog ON kind = 'projected' AND lat BETWEEN south AND north AND CASE WHEN west <= east THEN lon BETWEEN west AND east ELSE lon >= west OR lon <= east END) WHERE rank <= 20"""))
 def crs_by_location(spark, sf):
-    c = O.crs_for_points(V.points(spark, sf).select("id", "lon", "lat"), catalog(spark, sf), 20, "id")
+    areas = catalog(spark, sf).select("code", "is_projected", "south", "north", "west", "east")
+    c = O.crs_for_points(V.points(spark, sf).select("id", "lon", "lat"), areas, 20, "id")
     return c.select("id", F.col("code").cast("long").alias("code"), F.col("rank").cast("long").alias("rank"))
 
 
