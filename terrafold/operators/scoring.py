@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .classify import confidence
-from .common import dense_position
+from .common import dense_position, spread
 
 KIND_ORDER = ("Unknown", "Point", "Line", "Polygon", "Annotation")  # fixed values
 
@@ -39,6 +41,10 @@ def describe_subjects(subjects: DataFrame) -> DataFrame:
 BASIS, PRIME = np.uint32(2166136261), np.uint32(16777619)
 
 
+#: Vectors of texts that a task keeps.
+KEPT_TEXTS = 4096
+
+
 def hash_vector(text: str, dim: int, lo: int = 3, hi: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero buckets and values of the signed, length-one n-gram vector of a text."""
     flat = "".join(c.lower() if c.isalnum() and len(c.lower()) == 1 else c if c.isalnum() else " " for c in text)
@@ -59,19 +65,23 @@ def hash_vector(text: str, dim: int, lo: int = 3, hi: int = 5) -> tuple[np.ndarr
 
 
 def hash_features(subjects: DataFrame, dim: int = 512, text: str = "descriptor") -> DataFrame:
-    """Sparse features ``subject_id, bucket, value``; each distinct text is hashed once."""
-    pair = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("value", T.FloatType())]))
+    """Sparse features ``subject_id, bucket, value``, row by row: no vector is sorted or sent.
 
-    @F.pandas_udf(pair)
-    def encode(s: pd.Series) -> pd.Series:
-        def one(t):
-            i, v = hash_vector(t or "", dim)
-            return [{"bucket": int(a), "value": float(b)} for a, b in zip(i, v)]
-
-        return s.map(one)
+    A task keeps the vectors of the texts it met last, so that repeated texts are hashed once.
+    """
+    pair = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("value", T.FloatType())]))
 
-    d = subjects.select(F.col(text).alias("_t")).distinct().withColumn("_f", encode("_t"))
-    return subjects.select("subject_id", F.col(text).alias("_t")).join(d, "_t").select("subject_id", F.explode("_f").alias("f")).select("subject_id", "f.*")
+    @F.arrow_udf(pair)
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = lru_cache(KEPT_TEXTS)(lambda t: hash_vector(t, dim))
+        for part in parts:
+            found = [known(t or "") for t in part.to_pylist()]
+            ends = np.cumsum([0, *(len(i) for i, _ in found)]).astype(np.int32)
+            flat = lambda n, kind: pa.array(np.concatenate([np.zeros(0, kind), *(f[n] for f in found)]).astype(kind))
+            rows = pa.StructArray.from_arrays([flat(0, np.int32), flat(1, np.float32)], names=["bucket", "value"])
+            yield pa.ListArray.from_arrays(pa.array(ends), rows)
+
+    return spread(subjects.select("subject_id", F.col(text).alias("_t"))).select("subject_id", F.explode(encode("_t")).alias("f")).select("subject_id", "f.*")
 
 
 def softmax_scores(logits: DataFrame, labels: list[str], candidates: list[str], top: int = 4, unknown: str = "Unclassified") -> DataFrame:
