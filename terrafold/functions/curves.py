@@ -44,6 +44,14 @@ def ellipse_path(cx, cy, major, minor, rotation, start, sweep, tol: float, z=Non
     return F.when(good, G.let(frame, path)).otherwise(F.array(G.vertex(cx, cy, z)))
 
 
+def ellipse_frame(major, minor, rotation, start, sweep, tol: float) -> Column:
+    """What the vertices of ``ellipse_path`` are worked out from, as ``struct<n, t0, sw, c, s, a, b>``; without ``n`` it is one place."""
+    major, minor, rotation, start, sweep = (G._c(v) for v in (major, minor, rotation, start, sweep))
+    good = (major > 0) & (minor > 0) & (major != math.inf) & ~F.isnan(major)
+    return F.struct(F.when(good, segment_count(major, sweep, tol)).alias("n"), start.cast("double").alias("t0"), sweep.cast("double").alias("sw"),
+                    F.cos(rotation).alias("c"), F.sin(rotation).alias("s"), major.alias("a"), minor.alias("b"))
+
+
 def arc_path(cx, cy, radius, start, sweep, tol: float, z=None) -> Column:
     return ellipse_path(cx, cy, radius, radius, F.lit(0.0), start, sweep, tol, z)
 
