@@ -11,13 +11,14 @@ from pyspark.sql import Window as W
 from ..functions import crs as C
 from ..functions import geometry as G
 from . import spatial as S
-from .common import GROWS, stored
+from .common import GROWS, spread, stored
 
 AREA_ALIASES = {  # fixed values: alias and the text it stands for
     "united arab emirates": "uae", "emirates": "uae", "usa": "united states", "america": "united states",
     "uk": "united kingdom", "britain": "united kingdom", "korea": "republic of korea", "russia": "russian federation",
 }
 AREA = ("west", "south", "east", "north")
+PIECE = 5  # characters of a token by which a search meets entries
 
 
 def build_crs_catalog(t: dict[str, DataFrame]) -> DataFrame:
@@ -62,24 +63,26 @@ def _grams(text: Column, n: int) -> Column:
 def search_crs(queries: DataFrame, catalog: DataFrame, n: int = 50) -> DataFrame:
     """``query_id, rank, code, name, score``: every token inside the entry's text, or the exact code.
 
-    Pairs meet on one piece of the longest token, three characters where it has them, so that queries
-    join an index of text pieces and no query is compared with the whole catalogue.
+    Equal texts are searched once. They meet entries on one piece of the longest token, five characters or three where it has
+    them, so no text is compared with the whole catalogue; the texts are written first, so that few go to the index, not the
+    index to them.
     """
-    cat = G.pin(catalog, _hay=haystack()).select("code", "name", "_hay")
-    pieces = F.array_distinct(F.concat(*[_grams(F.col("_hay"), k) for k in (1, 2, 3)]))
+    cat = spread(G.pin(catalog, _hay=haystack()).select("code", "name", "_hay"))
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_hay"), k) for k in (1, 2, 3, PIECE)]))
     index = cat.select("code", "name", "_hay", F.explode(pieces).alias("_piece"))
-    q = queries.withColumn("_q", F.trim("query")).where(F.length("_q") > 0).withColumn("_low", F.lower("_q"))
-    q = q.withColumn("_tokens", F.filter(F.split("_low", "[ ,/-]"), lambda t: F.length(t) > 0))
-    longest = F.element_at(F.array_sort(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("l"), t.alias("t")))), -1)["t"]
-    by_text = q.where(F.size("_tokens") > 0).withColumn("_piece", F.substring(longest, 1, 3)).join(index, "_piece")
-    by_text = by_text.where(F.forall("_tokens", lambda t: F.col("_hay").contains(t)))
-    cols = ["query_id", "_q", "_low", "code", "name"]
-    exact = q.join(cat, F.col("_low") == F.col("code").cast("string"))
-    every = by_text.select(*cols).unionByName(exact.select(*cols)).distinct()
+    q = queries.withColumn("_q", F.trim("query")).where(F.length("_q") > 0).select("query_id", "_q", F.lower("_q").alias("_low")).distinct()
+    texts = q.select("_low").distinct().withColumn("_tokens", F.filter(F.split("_low", "[ ,/-]"), lambda t: F.length(t) > 0))
+    longest = F.array_max(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
+    texts = stored(texts.withColumn("_piece", G.let(longest, lambda t: F.substring(t, F.lit(1), F.when(F.length(t) >= PIECE, PIECE).otherwise(3)))))
+    by_text = texts.where(F.size("_tokens") > 0).join(index, "_piece").where(F.forall("_tokens", lambda t: F.col("_hay").contains(t)))
+    cols = ["_low", "code", "name"]
+    exact = texts.join(cat, F.col("_low") == F.col("code").cast("string"))
     score = F.when(F.col("_low") == F.col("code").cast("string"), 0).when(F.startswith(F.lower("name"), F.col("_low")), 1).otherwise(2)
-    every = every.withColumn("score", score)
-    w = W.partitionBy("query_id").orderBy("score", F.length("name"), "code")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "rank", "code", "name", "score")
+    every = by_text.select(*cols).unionByName(exact.select(*cols)).distinct().withColumn("score", score)
+    first = lambda d, key: d.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("score", F.length("name"), "code"))).where(F.col("rank") <= n)
+    best = first(every, "_low").drop("rank")
+    # An id may come with several texts.
+    return first(q.join(best, "_low"), "query_id").select("query_id", "rank", "code", "name", "score")
 
 
 def find_crs(requests: DataFrame, catalog: DataFrame, col: str, prefix: str) -> DataFrame:
